@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 HOT_GROUPS = 10_000
+KNOWN_PATTERNS = 16
 COLUMN = ["dataset_id", "pos"]
 
 #: The words that read as a boolean, in any case.
@@ -89,11 +90,10 @@ def variable_rules(variables: DataFrame) -> DataFrame:
     kind = F.coalesce(F.lower("var_type"), F.lit("string"))
     form = F.coalesce("var_format", F.lit("default"))
     spread = F.replace(F.replace(F.replace(form, F.lit("%Y"), F.lit("YYYY")), F.lit("%m"), F.lit("MM")), F.lit("%d"), F.lit("DD"))
-    plain = F.regexp_replace(spread, r"([^A-Za-z0-9 ])", r"\\$1")
-    date_pattern = F.concat(F.lit(r"\A"), F.regexp_replace(F.regexp_replace(plain, "YYYY", "[0-9]{4}"), "MM|DD", "[0-9]{2}"), F.lit(r"\z"))
+    shape = F.replace(F.replace(F.replace(spread, F.lit("YYYY"), F.lit("0000")), F.lit("MM"), F.lit("00")), F.lit("DD"), F.lit("00"))
     rule = F.struct(
         F.when(kind.isin("integer", "number", "boolean", "date"), kind).otherwise("string").alias("kind"),
-        F.when(kind == "date", date_pattern)
+        F.when(kind == "date", shape)
         .when(kind.isin("integer", "number", "boolean") | (form == "default"), F.lit(None))
         .otherwise(F.concat(F.lit(r"\A(?:"), form, F.lit(r")\z")))
         .alias("pattern"),
@@ -119,7 +119,7 @@ def _ordinal(value: Column, rule: Column) -> Column:
     day = F.substring(value, rule["id"], F.lit(2)).try_cast("int")
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
     last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    real = F.rlike(value, rule["pattern"]) & month.between(1, 12) & (day >= 1) & (day <= last)
+    real = (F.translate(value, "123456789", "000000000") == rule["pattern"]) & month.between(1, 12) & (day >= 1) & (day <= last)
     return (
         F.when(rule["kind"] == "integer", F.when(value.rlike(INTEGER), value.try_cast("double")))
         .when(rule["kind"] == "number", F.when(value.rlike(NUMBER), value.try_cast("double")))
@@ -127,12 +127,29 @@ def _ordinal(value: Column, rule: Column) -> Column:
     )
 
 
-def _fits(value: Column, rule: Column, ordinal: Column) -> Column:
+def frequent_patterns(variables: DataFrame) -> list[str]:
+    """The most used patterns, at most KNOWN_PATTERNS: they are compiled once instead of whenever the column changes.
+
+    Others take the general path with the same result.
+    """
+    used = variables.filter("var_format is not null and var_format <> 'default' and coalesce(lower(var_type), 'string') not in ('integer', 'number', 'boolean', 'date')")
+    top = used.groupBy("var_format").count().orderBy(F.desc("count"), "var_format").limit(KNOWN_PATTERNS).collect()
+    return [rf"\A(?:{r[0]})\z" for r in top]
+
+
+def _matches(value: Column, pattern: Column, known: list[str]) -> Column:
+    out = F.rlike(value, pattern)
+    for text in reversed(known):
+        out = F.when(pattern == F.lit(text), value.rlike(text)).otherwise(out)
+    return out
+
+
+def _fits(value: Column, rule: Column, ordinal: Column, known: list[str]) -> Column:
     return (
         F.when(rule["kind"].isin("integer", "number", "date"), ordinal.isNotNull())
         .when(rule["kind"] == "boolean", F.lower(value).isin(BOOLEAN_WORDS))
         .when(rule["pattern"].isNull(), F.lit(True))
-        .otherwise(F.rlike(value, rule["pattern"]))
+        .otherwise(_matches(value, rule["pattern"], known))
     )
 
 
@@ -140,7 +157,7 @@ def _lacks(value: Column, rule: Column) -> Column:
     return (value == "") | F.array_contains(rule["tokens"], value)
 
 
-def profile(deltas: DataFrame, rules: DataFrame, hint: str = "shuffle_hash") -> DataFrame:
+def profile(deltas: DataFrame, rules: DataFrame, known: list[str], hint: str = "shuffle_hash") -> DataFrame:
     """The exact profile of every (column, load) that has a rule, next to that of the load before."""
     now, before = F.col("now"), F.col("before")
     rows = deltas.join(rules.hint(hint), COLUMN).select(
@@ -149,8 +166,8 @@ def profile(deltas: DataFrame, rules: DataFrame, hint: str = "shuffle_hash") ->
     rows = rows.filter(now.isNotNull()).withColumn("x", _ordinal(F.col("value"), now))
     same = (now["kind"] == before["kind"]) & now["pattern"].eqNullSafe(before["pattern"])
     rows = rows.withColumn("x0", F.when(same, F.col("x")).otherwise(_ordinal(F.col("value"), before)))
-    rows = rows.withColumn("fit", _fits(F.col("value"), now, F.col("x"))).withColumn("miss", _lacks(F.col("value"), now))
-    rows = rows.withColumn("fit0", F.when(same, F.col("fit")).otherwise(_fits(F.col("value"), before, F.col("x0"))))
+    rows = rows.withColumn("fit", _fits(F.col("value"), now, F.col("x"), known)).withColumn("miss", _lacks(F.col("value"), now))
+    rows = rows.withColumn("fit0", F.when(same, F.col("fit")).otherwise(_fits(F.col("value"), before, F.col("x0"), known)))
     rows = rows.withColumn("miss0", F.when(before.isNull(), True).otherwise(_lacks(F.col("value"), before)))
     good, good0 = F.col("fit") & ~F.col("miss"), F.col("fit0") & ~F.col("miss0")
     rows = rows.select(
@@ -203,14 +220,14 @@ def hot_columns(cells: DataFrame, least: int = HOT_ROWS, groups: int = HOT_GROUP
 
 def profiles(table_cells: DataFrame, variables: DataFrame, least: int = HOT_ROWS) -> DataFrame:
     """profile() of whole tables, hot columns apart."""
-    cells, rules = trimmed_cells(table_cells), variable_rules(variables)
+    cells, rules, known = trimmed_cells(table_cells), variable_rules(variables), frequent_patterns(variables)
     hot = hot_columns(table_cells.select(F.col("dataset_id").cast("long"), F.col("pos").cast("int")), least)
     if not hot:
-        return profile(signed_deltas(value_counts(cells.repartition(*COLUMN))), rules)
+        return profile(signed_deltas(value_counts(cells.repartition(*COLUMN))), rules, known)
     spark = table_cells.sparkSession
     few = F.broadcast(spark.createDataFrame(hot, "dataset_id long, pos int"))
-    cold = profile(signed_deltas(value_counts(cells.join(few, COLUMN, "left_anti").repartition(*COLUMN))), rules)
-    crowded = profile(signed_deltas(value_counts(cells.join(few, COLUMN, "left_semi"))), rules.join(few, COLUMN, "left_semi"), "broadcast")
+    cold = profile(signed_deltas(value_counts(cells.join(few, COLUMN, "left_anti").repartition(*COLUMN))), rules, known)
+    crowded = profile(signed_deltas(value_counts(cells.join(few, COLUMN, "left_semi"))), rules.join(few, COLUMN, "left_semi"), known, "broadcast")
     return cold.unionByName(crowded)
 
 
@@ -264,7 +281,7 @@ def full_profile(spark: SparkSession, table_cells: DataFrame, variables: DataFra
     if not out:
         out = [log.select(*COLUMN, "load_no", "value", F.col("delta").alias("arrived"), F.lit(0).cast("long").alias("left")).limit(0)]
     states = reduce(DataFrame.unionByName, out)
-    p = profile(states, rules)
+    p = profile(states, rules, frequent_patterns(variables))
     present = F.col("cells") - F.col("missing")
     return p.select(
         *COLUMN,

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.operators import quality
+from tablewright.operators import badrows, quality, units
 from tablewright.session import shared_dir
 from tablewright.sources.tables import table
 
@@ -23,6 +23,32 @@ def p6_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+def _p4_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [table(spark, sf, name) for name in ("raw_rows", "dataset_structures", "dataset_variables")]
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return badrows.failed_rows(*_p4_tables(spark, sf)).select("dataset_id", "line_no", "reason")
+
+
+def p4_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """The records that load, as cells."""
+    return badrows.loaded_rows(*_p4_tables(spark, sf))
+
+
+def _p2_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [table(spark, sf, name) for name in ("dataset_variables", "column_contexts", "variable_definitions", "unit_list")]
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return units.other_units(*_p2_tables(spark, sf))
+
+
+def p2_converted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every variable's statistics in the common unit."""
+    return units.common_statistics(*_p2_tables(spark, sf))
+
+
 def _dates(sql: str) -> str:
     """Writes out <DATE x>: x as yyyymmdd if it is a real date in exactly the format form, else null."""
     spread = "replace(replace(replace(form,'%Y','YYYY'),'%m','MM'),'%d','DD')"
@@ -93,5 +119,30 @@ P6_PROFILE = (
   round(CASE WHEN cells > missing THEN log2(cells - missing) - nlogn / (cells - missing) END, 4) AS entropy_bits FROM p"""
 )
 
-QUERIES = {"p6_found": p6_found, "p6_profile": p6_profile}
-ORACLE = {"p6_found": _dates(P6_FOUND), "p6_profile": _dates(P6_PROFILE)}
+_ROWS = r"""
+WITH d AS (SELECT DISTINCT dataset_id, CASE WHEN lower(delimiter) = 'tab' THEN chr(9) ELSE delimiter END AS dl, quote_char AS qc, coalesce(header_row, 0) AS hr, field_count AS fc FROM dataset_structures),
+v AS (SELECT DISTINCT ON (dataset_id, pos) dataset_id, pos, lower(var_type) AS kind, coalesce(var_format, 'default') AS form, coalesce(missing_values, []) AS tokens FROM dataset_variables ORDER BY dataset_id, pos, load_no DESC),
+l AS (SELECT DISTINCT dataset_id, line_no, raw_line, dl, qc, fc, CASE WHEN dl IS NULL THEN '' ELSE '[' || CASE WHEN dl = chr(9) THEN chr(9) ELSE dl END || ']' END AS dr,
+        CASE WHEN dl IS NULL THEN '(?s:.)' ELSE '[^' || dl || ']' END AS nd
+      FROM raw_rows JOIN d USING (dataset_id) WHERE line_no > hr AND regexp_replace(coalesce(raw_line, ''), '\s', '', 'g') <> ''),
+f AS (SELECT *, CASE WHEN qc IS NULL THEN nd || '*' ELSE '(?:' || qc || '(?:[^' || qc || ']|' || qc || qc || ')*' || qc || '|[^' || qc || coalesce(dl, '') || ']' || nd || '*|)' END AS fld FROM l),
+r AS (SELECT *, regexp_full_match(raw_line, fld || '(?:' || dr || fld || ')*') AS sound FROM f),
+e AS (SELECT *, CASE WHEN sound THEN regexp_extract_all(dl || raw_line, dr || fld) END AS parts FROM r),
+u AS (SELECT dataset_id, line_no, fc, sound, len(parts) AS n, unnest(list_transform(parts, lambda x: x[2:])) AS part, generate_subscripts(parts, 1) AS pos, qc FROM e WHERE sound AND len(parts) = fc),
+w AS (SELECT u.dataset_id, u.line_no, u.pos, CASE WHEN qc IS NOT NULL AND part[1] = qc THEN replace(part[2:-2], qc || qc, qc) ELSE part END AS raw FROM u),
+t AS (SELECT w.*, kind, form, tokens, trim(raw, ' ') AS value FROM w JOIN v USING (dataset_id, pos)),
+bad AS (SELECT DISTINCT dataset_id, line_no FROM t WHERE value <> '' AND NOT list_contains(tokens, value) AND NOT coalesce(CASE kind
+   WHEN 'integer' THEN regexp_full_match(value, '[+-]?[0-9]+') WHEN 'number' THEN regexp_full_match(value, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')
+   WHEN 'boolean' THEN lower(value) IN ('true','t','yes','y','false','f','no','n') WHEN 'date' THEN <DATE value> IS NOT NULL
+   ELSE form = 'default' OR regexp_full_match(value, form) END, false))
+"""
+P4_FOUND = (
+    _ROWS
+    + """SELECT dataset_id, line_no, 'quoting' AS reason FROM e WHERE NOT sound
+UNION ALL SELECT dataset_id, line_no, 'field_count' FROM e WHERE sound AND len(parts) <> fc
+UNION ALL SELECT dataset_id, line_no, 'value' FROM bad"""
+)
+P4_LOADED = _ROWS + "SELECT dataset_id, line_no, pos, raw FROM w ANTI JOIN bad USING (dataset_id, line_no)"
+
+QUERIES = {"p2_found": p2_found, "p2_converted": p2_converted, "p4_found": p4_found, "p4_loaded": p4_loaded, "p6_found": p6_found, "p6_profile": p6_profile}
+ORACLE = {"p4_found": _dates(P4_FOUND), "p4_loaded": _dates(P4_LOADED), "p6_found": _dates(P6_FOUND), "p6_profile": _dates(P6_PROFILE)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of the session, once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_tablewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tablewright_ship_")
+    archive = shutil.make_archive(f"{folder}/tablewright_package", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._tablewright_shipped = True
