@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import canonical
+from tablewright.llm import canonical, names
 from tablewright.sources.tables import table
 
 
@@ -12,5 +12,9 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.found(table(spark, sf, "key_values"), table(spark, sf, "variable_definitions"), table(spark, sf, "canonical_terms"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.found(table(spark, sf, "persons"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
 ORACLE: dict[str, str] = {}
