@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import canonical, names
+from tablewright.llm import canonical, encoding, names
 from tablewright.sources.tables import table
 
 
@@ -16,5 +16,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.found(table(spark, sf, "persons"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.found(table(spark, sf, "decoded_texts"))
+
+
+def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every damaged record with its encoding chain and, where it can be regained, the original text."""
+    return encoding.judged(table(spark, sf, "decoded_texts")).filter("damaged").select("decode_id", "chain", "restored")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_restored": p5_restored}
 ORACLE: dict[str, str] = {}
