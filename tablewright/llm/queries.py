@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import canonical, encoding, names
+from tablewright.llm import canonical, encoding, leakage, names
 from tablewright.sources.tables import table
 
 
@@ -25,5 +25,9 @@ def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.judged(table(spark, sf, "decoded_texts")).filter("damaged").select("decode_id", "chain", "restored")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_restored": p5_restored}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.found(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
