@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import canonical, encoding, leakage, names
+from tablewright.llm import canonical, encoding, leakage, names, packing, reading
 from tablewright.sources.tables import table
 
 
@@ -25,9 +25,19 @@ def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.judged(table(spark, sf, "decoded_texts")).filter("damaged").select("decode_id", "chain", "restored")
 
 
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text in one container of each capacity (cut only if it exceeds it)."""
+    return packing.pack(table(spark, sf, "documents"), table(spark, sf, "pack_limits"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.found(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage rank, sentence complexity and estimated reading level of every document."""
+    return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "doc_ratings"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_restored": p5_restored, "p7_pack": p7_pack, "p8_found": p8_found, "p9_levels": p9_levels}
 ORACLE: dict[str, str] = {}
