@@ -50,24 +50,31 @@ def value_counts(cells: DataFrame) -> DataFrame:
     return cells.dropDuplicates([*keys, "row_no", "value"]).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def signed_deltas(counts: DataFrame) -> DataFrame:
+def signed_deltas(counts: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(dataset_id, pos, load_no, value, arrived, left): what a load adds to and takes from the maintained table.
 
     ``arrived - left`` is the signed delta; as a load replaces its predecessor, ``left`` is the count that the
-    state held before the load and ``arrived`` the count it holds after it.
+    state held before the load and ``arrived`` the count it holds after it. Numeric columns in ``carried`` come along
+    for both sides, those of the load before with the suffix 0.
     """
+    none = F.lit(0).cast("long")
     sides = F.array(
-        F.struct(F.col("load_no").alias("at"), F.col("n").alias("arrived"), F.lit(0).cast("long").alias("left")),
-        F.struct((F.col("load_no") + 1).alias("at"), F.lit(0).cast("long").alias("arrived"), F.col("n").alias("left")),
+        F.struct(F.col("load_no").alias("at"), F.col("n").alias("arrived"), none.alias("left"), *[x for c in carried for x in (F.col(c).alias(c), _null_like(counts, c).alias(f"{c}0"))]),
+        F.struct((F.col("load_no") + 1).alias("at"), none.alias("arrived"), F.col("n").alias("left"), *[x for c in carried for x in (_null_like(counts, c).alias(c), F.col(c).alias(f"{c}0"))]),
     )
+    kept = [F.max(x).alias(x) for c in carried for x in (c, f"{c}0")]
     return (
         counts.select(*COLUMN, "value", F.inline(sides))
         .groupBy(*COLUMN, "at", "value")
-        .agg(F.sum("arrived").alias("arrived"), F.sum("left").alias("left"))
+        .agg(F.sum("arrived").alias("arrived"), F.sum("left").alias("left"), *kept)
         .withColumnRenamed("at", "load_no")
     )
 
 
+def _null_like(rows: DataFrame, column: str) -> Column:
+    return F.lit(None).cast(rows.schema[column].dataType)
+
+
 def append_deltas(deltas: DataFrame, path: str) -> None:
     """Append a load's signed deltas to the persistent table at path (partitioned by load)."""
     changed = deltas.withColumn("delta", F.col("arrived") - F.col("left")).filter("delta <> 0")
@@ -114,17 +121,12 @@ def variable_rules(variables: DataFrame) -> DataFrame:
 
 def _ordinal(value: Column, rule: Column) -> Column:
     """The value as a number if it fits: numbers as they are, real dates as yyyymmdd; else null."""
-    year = F.substring(value, rule["iy"], F.lit(4)).try_cast("int")
-    month = F.substring(value, rule["im"], F.lit(2)).try_cast("int")
-    day = F.substring(value, rule["id"], F.lit(2)).try_cast("int")
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    real = (F.translate(value, "123456789", "000000000") == rule["pattern"]) & month.between(1, 12) & (day >= 1) & (day <= last)
-    return (
-        F.when(rule["kind"] == "integer", F.when(value.rlike(INTEGER), value.try_cast("double")))
-        .when(rule["kind"] == "number", F.when(value.rlike(NUMBER), value.try_cast("double")))
-        .when(rule["kind"] == "date", F.when(real, (year * 10000 + month * 100 + day).cast("double")))
+    year, month, day = (F.substring(value, rule[at], F.lit(size)) for at, size in (("iy", 4), ("im", 2), ("id", 2)))
+    real = (F.translate(value, "123456789", "000000000") == rule["pattern"]) & F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date").isNotNull()
+    number = F.when(rule["kind"] == "date", F.when(real, F.concat(year, month, day))).otherwise(
+        F.when(F.when(rule["kind"] == "integer", value.rlike(INTEGER)).when(rule["kind"] == "number", value.rlike(NUMBER)), value)
     )
+    return number.try_cast("double")
 
 
 def frequent_patterns(variables: DataFrame) -> list[str]:
@@ -157,55 +159,46 @@ def _lacks(value: Column, rule: Column) -> Column:
     return (value == "") | F.array_contains(rule["tokens"], value)
 
 
-def profile(deltas: DataFrame, rules: DataFrame, known: list[str], hint: str = "shuffle_hash") -> DataFrame:
-    """The exact profile of every (column, load) that has a rule, next to that of the load before."""
-    now, before = F.col("now"), F.col("before")
-    rows = deltas.join(rules.hint(hint), COLUMN).select(
-        *COLUMN, "load_no", "value", "arrived", "left", F.col("rules")[F.col("load_no")].alias("now"), F.col("rules")[F.col("load_no") - 1].alias("before")
-    )
+#: What a value is under the rules of its load.
+MISSING, MISFIT, FITS = 0, 1, 2
+JUDGED = ("state", "shares", "x")
+
+
+def judged_counts(counts: DataFrame, rules: DataFrame, known: list[str], hint: str = "shuffle_hash") -> DataFrame:
+    """The value counts of loads that have a rule, with what each value is and its ordinal; one test per value and load."""
+    now = F.col("now")
+    rows = counts.join(rules.hint(hint), COLUMN).select(*COLUMN, "load_no", "value", "n", F.col("rules")[F.col("load_no")].alias("now"))
     rows = rows.filter(now.isNotNull()).withColumn("x", _ordinal(F.col("value"), now))
-    same = (now["kind"] == before["kind"]) & now["pattern"].eqNullSafe(before["pattern"])
-    rows = rows.withColumn("x0", F.when(same, F.col("x")).otherwise(_ordinal(F.col("value"), before)))
-    rows = rows.withColumn("fit", _fits(F.col("value"), now, F.col("x"), known)).withColumn("miss", _lacks(F.col("value"), now))
-    rows = rows.withColumn("fit0", F.when(same, F.col("fit")).otherwise(_fits(F.col("value"), before, F.col("x0"), known)))
-    rows = rows.withColumn("miss0", F.when(before.isNull(), True).otherwise(_lacks(F.col("value"), before)))
-    good, good0 = F.col("fit") & ~F.col("miss"), F.col("fit0") & ~F.col("miss0")
-    rows = rows.select(
-        *COLUMN,
-        "load_no",
-        now["kind"].alias("kind"),
-        ((now["kind"] == "boolean") | ((now["kind"] == "string") & now["pattern"].isNull())).alias("shares"),
-        "arrived",
-        "left",
-        "miss",
-        "fit",
-        before.isNotNull().alias("had"),
-        F.when(good, F.col("arrived")).otherwise(0).alias("g"),
-        F.when(good0, F.col("left")).otherwise(0).alias("g0"),
-        F.when(before.isNotNull() & F.col("miss0"), F.col("left")).otherwise(0).alias("m0"),
-        F.when(good & (F.col("arrived") > 0), F.col("x")).alias("x"),
-        F.when(good0 & (F.col("left") > 0), F.col("x0")).alias("x0"),
-    )
+    fit = _fits(F.col("value"), now, F.col("x"), known)
+    state = F.when(_lacks(F.col("value"), now), MISSING).when(fit, FITS).otherwise(MISFIT)
+    shares = (now["kind"] == "boolean") | ((now["kind"] == "string") & now["pattern"].isNull())
+    rows = rows.select(*COLUMN, "load_no", "value", "n", state.alias("state"), shares.cast("int").alias("shares"), "x")
+    return rows.withColumn("x", F.when(F.col("state") == FITS, F.col("x")))
+
+
+def profile(deltas: DataFrame) -> DataFrame:
+    """The exact profile of every (column, load), next to that of the load before, from judged signed deltas."""
+    n, left = F.col("arrived"), F.col("left")
+    rows = deltas.withColumn("g", F.when(F.col("state") == FITS, n).otherwise(0)).withColumn("g0", F.when(F.col("state0") == FITS, left).otherwise(0))
     wide = "decimal(18,0)"
-    pair = lambda a, b: F.max(F.when(F.col("shares"), F.col(a).cast(wide) * F.lit(10**18).cast("decimal(19,0)") + F.col(b).cast(wide)))
-    n = F.col("arrived")
+    pair = lambda a, b: F.max(F.when((F.col("shares") == 1) | (F.col("shares0") == 1), F.col(a).cast(wide) * F.lit(10**18).cast("decimal(19,0)") + F.col(b).cast(wide)))
     return rows.groupBy(*COLUMN, "load_no").agg(
         F.sum("arrived").alias("cells"),
-        F.sum(F.when(F.col("miss"), n).otherwise(0)).alias("missing"),
-        F.sum(F.when(~F.col("miss") & (n > 0), 1).otherwise(0)).alias("distinct"),
-        F.sum(F.when(~F.col("miss") & ~F.col("fit"), n).otherwise(0)).alias("misfits"),
+        F.sum(F.when(F.col("state") == MISSING, n).otherwise(0)).alias("missing"),
+        F.sum(F.when((F.col("state") > MISSING) & (n > 0), 1).otherwise(0)).alias("distinct"),
+        F.sum(F.when(F.col("state") == MISFIT, n).otherwise(0)).alias("misfits"),
         F.min("x").alias("low"),
         F.max("x").alias("high"),
         F.sum("g").alias("fitting"),
         F.sum(F.col("g") * F.col("x")).alias("total"),
-        F.sum(F.when(F.col("had"), F.col("left")).otherwise(0)).alias("cells0"),
-        F.sum("m0").alias("missing0"),
+        F.sum("left").alias("cells0"),
+        F.sum(F.when(F.col("state0") == MISSING, left).otherwise(0)).alias("missing0"),
         F.sum("g0").alias("fitting0"),
         F.sum(F.col("g0") * F.col("x0")).alias("total0"),
         F.sum(F.col("g0") * F.col("x0") * F.col("x0")).alias("squares0"),
         pair("g", "g0").alias("mode"),
         pair("g0", "g").alias("mode0"),
-        F.sum(F.when((n > 0) & ~F.col("miss"), n * F.log2(n)).otherwise(0.0)).alias("nlogn"),
+        F.sum(F.when((n > 0) & (F.col("state") > MISSING), n * F.log2(n)).otherwise(0.0)).alias("nlogn"),
     )
 
 
@@ -222,13 +215,13 @@ def profiles(table_cells: DataFrame, variables: DataFrame, least: int = HOT_ROWS
     """profile() of whole tables, hot columns apart."""
     cells, rules, known = trimmed_cells(table_cells), variable_rules(variables), frequent_patterns(variables)
     hot = hot_columns(table_cells.select(F.col("dataset_id").cast("long"), F.col("pos").cast("int")), least)
+    path = lambda part, own, hint: profile(signed_deltas(judged_counts(value_counts(part), own, known, hint), JUDGED))
     if not hot:
-        return profile(signed_deltas(value_counts(cells.repartition(*COLUMN))), rules, known)
+        return path(cells.repartition(*COLUMN), rules, "shuffle_hash")
     spark = table_cells.sparkSession
     few = F.broadcast(spark.createDataFrame(hot, "dataset_id long, pos int"))
-    cold = profile(signed_deltas(value_counts(cells.join(few, COLUMN, "left_anti").repartition(*COLUMN))), rules, known)
-    crowded = profile(signed_deltas(value_counts(cells.join(few, COLUMN, "left_semi"))), rules.join(few, COLUMN, "left_semi"), known, "broadcast")
-    return cold.unionByName(crowded)
+    cold = path(cells.join(few, COLUMN, "left_anti").repartition(*COLUMN), rules, "shuffle_hash")
+    return cold.unionByName(path(cells.join(few, COLUMN, "left_semi"), rules.join(few, COLUMN, "left_semi"), "broadcast"))
 
 
 def check(profiled: DataFrame, rules: DataFrame) -> DataFrame:
@@ -277,11 +270,12 @@ def full_profile(spark: SparkSession, table_cells: DataFrame, variables: DataFra
     out = []
     for load in sorted(r[0] for r in loads if r[0] is not None):
         state = log.filter(F.col("load_no") <= load).groupBy(*COLUMN, "value").agg(F.sum("delta").alias("n")).filter("n > 0")
-        out.append(state.select(*COLUMN, F.lit(load).alias("load_no"), "value", F.col("n").alias("arrived"), F.lit(0).cast("long").alias("left")))
+        out.append(state.select(*COLUMN, F.lit(load).cast("int").alias("load_no"), "value", "n"))
     if not out:
-        out = [log.select(*COLUMN, "load_no", "value", F.col("delta").alias("arrived"), F.lit(0).cast("long").alias("left")).limit(0)]
-    states = reduce(DataFrame.unionByName, out)
-    p = profile(states, rules, frequent_patterns(variables))
+        out = [log.select(*COLUMN, "load_no", "value", F.col("delta").alias("n")).limit(0)]
+    states = judged_counts(reduce(DataFrame.unionByName, out), rules, frequent_patterns(variables))
+    blank = [F.lit(0).cast("long").alias("left"), F.lit(None).cast("int").alias("state0"), F.lit(None).cast("int").alias("shares0"), F.lit(None).cast("double").alias("x0")]
+    p = profile(states.select("*", F.col("n").alias("arrived"), *blank))
     present = F.col("cells") - F.col("missing")
     return p.select(
         *COLUMN,
