@@ -1,0 +1,257 @@
+"""Delimited text: dialect, header, units row, and the table as text columns."""
+
+from __future__ import annotations
+
+import csv
+import re
+from collections import Counter
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
+
+from tablewright.config import DELIMITERS, QUOTES, Config
+from tablewright.operators.units import stated_unit
+
+NUMBER = re.compile(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+DATE = re.compile(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}$")
+#: The delimiter an extension leads one to expect.
+PRIOR = {".csv": ",", ".tsv": "\t", ".tab": "\t"}
+
+
+@dataclass
+class Dialect:
+    delimiter: str
+    quote: str | None
+    width: int
+    consistency: float
+    preamble: int
+
+
+@dataclass
+class RawTable:
+    header: list[str]
+    original: list[str]
+    rows: list[list[str]]
+    dialect: Dialect
+    header_row: int | None
+    header_confidence: float
+    units: list[str | None]
+    issues: list[str] = field(default_factory=list)
+
+
+def parse(text: str, delimiter: str, quote: str | None) -> list[list[str]]:
+    if quote is None:
+        return [line.split(delimiter) for line in text.split("\n")]
+    return list(csv.reader(text.splitlines(keepends=True), delimiter=delimiter, quotechar=quote, strict=False))
+
+
+def sample(text: str, size: int) -> str:
+    if len(text) <= size:
+        return text
+    head = text[:size]
+    return head[: head.rfind("\n") + 1] or head
+
+
+def sniff(text: str, extension: str = "", config: Config = Config()) -> Dialect:
+    """The delimiter and quote under which most lines have the same, largest width."""
+    head = sample(text, config.sample_bytes)
+    prior = PRIOR.get(extension, None)
+    best: tuple[float, Dialect] | None = None
+    for d in DELIMITERS:
+        for q in QUOTES:
+            try:
+                rows = [r for r in parse(head, d, q) if any(c.strip() for c in r)]
+            except csv.Error:
+                continue
+            widths = Counter(len(r) for r in rows)
+            if not widths:
+                continue
+            width, n = max(widths.items(), key=lambda kv: (kv[1], kv[0]))
+            consistency = n / len(rows) if width > 1 else 0.0
+            runs = [i for i in range(len(rows) - 2) if all(len(r) == width for r in rows[i : i + 3])]
+            score = consistency + 0.001 * width + 0.01 * (d == prior)
+            if width > 1 and (best is None or score > best[0]):
+                best = score, Dialect(d, q, width, consistency, runs[0] if runs else 0)
+    return best[1] if best else Dialect(prior or ",", '"', 1, 0.0, 0)
+
+
+def _numeric_share(rows: list[list[str]]) -> float:
+    cells = [c.strip() for r in rows for c in r if c.strip()]
+    return sum(bool(NUMBER.match(c)) for c in cells) / len(cells) if cells else 0.0
+
+
+def is_unit_cell(cell: str) -> bool:
+    inner = re.sub(r"^[(\[](.*)[)\]]$", r"\1", cell.strip())
+    bracketed = inner != cell.strip()
+    if not inner or len(inner) > 20 or NUMBER.match(inner) or DATE.match(inner):
+        return False
+    return bool(re.search(r"[/%°µμ^²³‰]", inner)) or stated_unit(inner) is not None and (bracketed or len(inner) > 1)
+
+
+def is_units_row(row: list[str]) -> bool:
+    """No plain numbers, and most informative cells read as units."""
+    cells = [c.strip() for c in row]
+    told = [c for c in cells if c.lower() not in ("", "-", "—", "na", "n/a", "none", "unitless", "()")]
+    return bool(told) and not any(NUMBER.match(c) for c in told) and sum(map(is_unit_cell, told)) / len(told) >= 0.6
+
+
+def header_scores(grid: list[list[str]], width: int, config: Config = Config()) -> list[tuple[float, int]]:
+    out = []
+    for i, row in enumerate(grid[: config.header_scan_rows]):
+        filled = [c.strip() for c in row if c.strip()]
+        if not filled:
+            continue
+        textual = sum(not NUMBER.match(c) and not DATE.match(c) for c in filled) / len(filled)
+        contrast = max(0.0, _numeric_share(grid[i + 1 : i + 6]) - _numeric_share([row]))
+        score = 0.30 * min(1.0, len(filled) / max(1, width)) + 0.25 * textual + 0.15 * len(set(filled)) / len(filled) + 0.20 * contrast
+        score -= 0.4 * (len(filled) == 1 and width > 1) + 0.2 * (i > 0 and is_units_row(row))
+        out.append((score, i))
+    return out
+
+
+def choose_header(grid: list[list[str]], width: int, config: Config = Config()) -> tuple[int | None, float, bool]:
+    """(row or None, confidence, ambiguous)."""
+    ranked = sorted(header_scores(grid, width, config), key=lambda s: (-s[0], s[1]))
+    if not ranked or ranked[0][0] < config.header_min_score:
+        return None, 0.0, False
+    margin = ranked[0][0] - (ranked[1][0] if len(ranked) > 1 else 0.0)
+    return ranked[0][1], min(1.0, 0.5 + margin), margin < 0.05
+
+
+def clean_header(names: list[str]) -> tuple[list[str], list[str]]:
+    """Unique names, and what had to be changed."""
+    out, seen, issues = [], Counter(), []
+    for i, name in enumerate(names, 1):
+        base = name.strip()
+        if not base:
+            base = f"column_{i}"
+            issues.append("HEADER_BLANK")
+        seen[base] += 1
+        if seen[base] > 1:
+            issues.append("HEADER_DUPLICATE")
+            base = f"{base}__{seen[base]}"
+        out.append(base)
+    return out, sorted(set(issues))
+
+
+def fit_width(row: list[str], width: int) -> list[str]:
+    return (row + [""] * width)[:width]
+
+
+def read(text: str, extension: str = "", config: Config = Config()) -> RawTable:
+    """One table; never fails on bad data. Odd quotes turn quoting off, ragged rows are padded or cut."""
+    issues: list[str] = []
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    dialect = sniff(text, extension, config)
+    if dialect.consistency < 0.8:
+        issues.append("DELIMITER_UNCERTAIN")
+    if dialect.quote is not None:
+        try:
+            grid = parse(text, dialect.delimiter, dialect.quote)
+            lost = text.count(dialect.quote) % 2
+        except csv.Error:
+            grid, lost = [], 1
+        if lost:
+            issues.append("CSV_QUOTE_FALLBACK")
+            dialect = Dialect(dialect.delimiter, None, dialect.width, dialect.consistency, dialect.preamble)
+            grid = parse(text, dialect.delimiter, None)
+    else:
+        grid = parse(text, dialect.delimiter, None)
+    grid = grid[:-1] if grid and not any(c.strip() for c in grid[-1]) else grid
+    place, confidence, ambiguous = choose_header(grid, dialect.width, config)
+    width = max([dialect.width, *(len(r) for r in grid[place + 1 if place is not None else 0 :] if len(r) <= dialect.width)], default=dialect.width)
+    if place is None:
+        issues.append("HEADER_NOT_FOUND")
+        original, body = [""] * width, grid
+    else:
+        original, body = fit_width(grid[place], width), grid[place + 1 :]
+        if ambiguous:
+            issues.append("HEADER_AMBIGUOUS")
+    header, notes = clean_header(original)
+    issues += notes if place is not None else []
+    units: list[str | None] = [m[1].strip() if (m := re.search(r"[(\[]([^()\[\]]{1,20})[)\]]\s*$", h)) and is_unit_cell(f"({m[1]})") else None for h in original]
+    if body and is_units_row(body[0]):
+        units = [c.strip().strip("()[]") if is_unit_cell(c) else u for c, u in zip(fit_width(body[0], width), units)]
+        body = body[1:]
+    body = [r for r in body if any(c.strip() for c in r)]
+    if any(len(r) != width for r in body):
+        issues.append("CSV_PARSE_FAILED")
+    return RawTable(header, original, [fit_width(r, width) for r in body], dialect, None if place is None else place + 1, confidence, units, issues)
+
+
+def to_frame(spark: SparkSession, table: RawTable) -> DataFrame:
+    """A table read on the driver (a file of a repository, below max_file_bytes) as text columns."""
+    schema = Ty.StructType([Ty.StructField(n, Ty.StringType()) for n in table.header])
+    return spark.createDataFrame(table.rows, schema) if table.header else spark.createDataFrame([], "empty string")
+
+
+def read_large(spark: SparkSession, path: str, dialect: Dialect, header: list[str], skip: int = 1) -> DataFrame:
+    """A large well-formed file by the executors: all text, in its own columns, header lines left out by their content."""
+    schema = Ty.StructType([Ty.StructField(n, Ty.StringType()) for n in header])
+    frame = spark.read.schema(schema).option("sep", dialect.delimiter).option("quote", dialect.quote or "").option("mode", "PERMISSIVE").option("header", skip == 1).csv(path)
+    return frame
+
+
+# Content classification.
+
+
+def tabular_evidence(text: str) -> float:
+    """0 prose, 0.25 a list inside prose, 0.5 few rows, 1 a table; from the first 200 non-blank lines."""
+    lines = [line for line in text.split("\n") if line.strip()][:200]
+    if not lines:
+        return 0.0
+    if sum(bool(re.match(r"^\s*[^:,\t;|]{1,60}:\s+\S", x)) for x in lines) / len(lines) > 0.5 or any(re.match(r"^\s*\|?\s*:?-{3,}", x) for x in lines):
+        return 0.0
+    best = 0.0
+    for d in DELIMITERS:
+        rows = [x.split(d) for x in lines]
+        width, n = max(Counter(len(r) for r in rows).items(), key=lambda kv: (kv[1], kv[0]))
+        if width < 2:
+            continue
+        first = next(i for i, r in enumerate(rows) if len(r) == width)
+        body = [r for r in rows[first:]]
+        share = sum(len(r) == width for r in body) / len(body)
+        prose = sum(any(len(c.split()) >= 8 for c in r) for r in body) / len(body) > 0.5
+        if first <= 10 and share >= 0.8 and not prose:
+            best = max(best, 1.0 if len(body) >= 3 else 0.5)
+        elif share >= 0.5 and not prose and len(body) >= 3:
+            best = max(best, 0.25)
+    return best
+
+
+def identifier_share(cells: list[str]) -> float:
+    filled = [c for c in cells if c.strip()]
+    return sum(len(c) <= 64 and len(c.split()) <= 4 for c in filled) / len(filled) if filled else 0.0
+
+
+def is_dictionary(header: list[str], rows: list[list[str]]) -> tuple[int, int] | None:
+    """(name column, description column) if the table is a data dictionary."""
+    from tablewright.functions.text import py_role_of
+
+    roles = [py_role_of(h) for h in header]
+    if "name" not in roles or "description" not in roles:
+        return None
+    a, b = roles.index("name"), roles.index("description")
+    head = rows[:50]
+    names, told = [r[a] for r in head if r[a].strip()], [r[b] for r in head if r[b].strip()]
+    if not names or not told:
+        return None
+    numeric = lambda xs: sum(bool(NUMBER.match(x.strip())) for x in xs) / len(xs)
+    return (a, b) if numeric(names) <= 0.2 and identifier_share(names) >= 0.8 and len(told) >= 0.5 * len(names) and numeric(told) < 0.5 else None
+
+
+def is_notes(rows: list[list[str]]) -> bool:
+    filled = [[c for c in r if c.strip()] for r in rows if any(c.strip() for c in r)]
+    if not filled or _numeric_share(filled) > 0.2:
+        return False
+    single = sum(len(r) == 1 for r in filled) / len(filled)
+    words = sum(len(c.split()) for r in filled for c in r) / sum(len(r) for r in filled)
+    sentences = sum(any(re.search(r"\w+\s+\w+\s+\w+.*[.!?]$", c.strip()) for c in r) for r in filled) / len(filled)
+    consistent = max(Counter(map(len, filled)).values()) / len(filled)
+    return (single >= 0.7 and words >= 2.5) or (sentences >= 0.3 and consistent < 0.8)
+
+
+def numeric_cells(column: str):
+    return F.col(column).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
