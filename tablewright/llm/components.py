@@ -1,12 +1,14 @@
 """Connected components by label propagation with shortcuts, on DataFrames.
 
 Each round gives every node the least label among its neighbours' and its own, then follows that label one step
-further, so distances at least halve. Rounds are cut by checkpoint() into the shared folder, never kept on executors.
+further, so distances at least halve. Rounds are cut by checkpoint() into the shared folder, never kept on executors;
+the number of changed labels is observed while a round is written, so a round is one job. Joins are merge joins by hint:
+estimates over checkpointed plans are too rough to broadcast by.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewright.session import shared_dir
@@ -15,22 +17,23 @@ MOST_ROUNDS = 60
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) of any one type, either direction, repeats allowed -> (node, label), label the least node."""
+    """edges (u, v) of any one type, either direction, repeats and loops allowed -> (node, label), label the least node.
+
+    A node that only has loops is its own component.
+    """
     shared_dir(edges.sparkSession)
-    links = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct().checkpoint()
-    alone = edges.filter("u = v").select(F.col("u").alias("node"))
-    labels = links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")).checkpoint()
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links = both.filter("u is not null and v is not null").distinct().checkpoint()
+    labels = links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label"))
     for _ in range(MOST_ROUNDS):
         # Pre-aggregation keeps a hub's neighbours in partial minima.
-        near = links.join(labels, links.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = links.join(labels.hint("merge"), links.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("merge"), labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = step.join(far, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")).checkpoint()
-        changed = after.filter("label <> old").limit(1).count()
+        seen = Observation()
+        after = step.join(far.hint("merge"), "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
+        after = after.observe(seen, F.sum(F.when(F.col("label") != F.col("old"), 1).otherwise(0)).alias("changed")).checkpoint()
         labels = after.select("node", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
-    rest = alone.distinct().join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))
-    return labels.unionByName(rest)
+        if not seen.get.get("changed"):
+            return labels
+    raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")

@@ -253,11 +253,11 @@ def _alike_rows(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def _block_pairs(forms: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Distinct pairs of forms (by key, left < right) that share a block."""
+def _block_pairs(forms: DataFrame, key: str, columns: list[str], where: str = "true") -> DataFrame:
+    """Distinct pairs of forms (by key, left < right) that share a block and meet the condition."""
     spread = forms.select(key, *columns, F.explode("blocks").alias("block"))
     right = spread.select("block", *[F.col(c).alias(f"{c}2") for c in (key, *columns)])
-    return spread.join(right, "block").filter(F.col(key) < F.col(f"{key}2")).drop("block").dropDuplicates([key, f"{key}2"])
+    return spread.join(right.hint("merge"), "block").filter(F.col(key) < F.col(f"{key}2")).filter(where).drop("block").dropDuplicates([key, f"{key}2"])
 
 
 def organisations(persons: DataFrame) -> DataFrame:
@@ -271,17 +271,17 @@ def organisations(persons: DataFrame) -> DataFrame:
     near = pairs.filter(F.pandas_udf(_alike_rows, "boolean")("place", "place2")).select(F.col("form").alias("u"), F.col("form2").alias("v"))
     near = near.unionByName(forms.select(F.col("form").alias("u"), F.col("form").alias("v")))
     labels = connected_components(near)
-    return read.join(labels, F.col("form") == F.col("node")).select("affiliation", "kind", "place", F.col("label").alias("org"))
+    return read.join(labels.hint("merge"), F.col("form") == F.col("node")).select("affiliation", "kind", "place", F.col("label").alias("org"))
 
 
 def _pairs_within(members: DataFrame, group: str, key: str) -> DataFrame:
     other = members.select(group, F.col(key).alias("key_b"))
-    return members.select(group, F.col(key).alias("key_a")).join(other, group).filter("key_a < key_b").select("key_a", "key_b").distinct()
+    return members.select(group, F.col(key).alias("key_a")).join(other.hint("merge"), group).filter("key_a < key_b").select("key_a", "key_b").distinct()
 
 
 def affiliation_pairs(persons: DataFrame, orgs: DataFrame) -> DataFrame:
     first = persons.filter("affiliation is not null").groupBy("affiliation").agg(F.min("person_id").alias("first_id"))
-    return _pairs_within(first.join(orgs, "affiliation").select("org", "first_id"), "org", "first_id")
+    return _pairs_within(first.join(orgs.hint("merge"), "affiliation").select("org", "first_id"), "org", "first_id")
 
 
 def _node(prefix: str, *parts: Column) -> Column:
@@ -293,30 +293,30 @@ def people(persons: DataFrame, orgs: DataFrame) -> DataFrame:
     ship(persons.sparkSession)
     shared_mail = F.split_part(F.lower("email"), F.lit("@"), F.lit(1)).isin("data", "info", "contact", "office", "admin")
     rows = persons.filter("name is not null and trim(name) <> ''").dropDuplicates(["person_id"])
-    rows = rows.join(orgs.select("affiliation", F.substring_index("org", "|", -1).alias("work")), "affiliation", "left")
+    rows = rows.join(orgs.select("affiliation", F.substring_index("org", "|", -1).alias("work")).hint("merge"), "affiliation", "left")
     rows = rows.withColumn("n", F.pandas_udf(_read_names, _NAME)("name")).select(
         "person_id", "orcid", "n.full", "n.initial", "n.name_key", "n.blocks", "work", F.when(~shared_mail, F.lower("email")).alias("mail"),
         F.regexp_extract(F.lower("email"), r"@([^.]+)", 1).alias("domain"),
     ).checkpoint()
     forms = rows.filter(F.size("full") > 0).select("name_key", "full", "initial", "blocks").dropDuplicates(["name_key"])
-    pairs = _block_pairs(forms, "name_key", ["full", "initial"])
+    # Blocks of a token with an initial are for pairs with a short name.
+    pairs = _block_pairs(forms, "name_key", ["full", "initial"], "left(block, 1) not in ('i', 'p', 's') or initial <> '' or initial2 <> ''")
     pairs = pairs.filter(F.pandas_udf(_compatible_rows, "boolean")("full", "initial", "full2", "initial2"))
     pairs = pairs.select("name_key", "name_key2", F.size("full").alias("a"), F.size("full2").alias("b")).checkpoint()
 
     # Full names that are one name up to slips and nicknames.
-    both_full = pairs.filter("a > 1 and b > 1").select(F.col("name_key").alias("u"), F.col("name_key2").alias("v"))
+    same_kind = pairs.filter("(a = 1) = (b = 1)").select(F.col("name_key").alias("u"), F.col("name_key2").alias("v"))
     selves = forms.select(F.col("name_key").alias("u"), F.col("name_key").alias("v"))
-    both_short = pairs.filter("a = 1 and b = 1").select(F.col("name_key").alias("u"), F.col("name_key2").alias("v"))
-    called = connected_components(both_full.unionByName(both_short).unionByName(selves)).select(F.col("node").alias("name_key"), F.col("label").alias("call"))
-    rows = rows.join(called, "name_key").withColumn("short", F.size("full") == 1).checkpoint()
+    called = connected_components(same_kind.unionByName(selves)).select(F.col("node").alias("name_key"), F.col("label").alias("call"))
+    rows = rows.join(called.hint("merge"), "name_key").withColumn("short", F.size("full") == 1)
     many = rows.filter("not short").groupBy("call").agg(F.count_distinct("orcid").alias("ids"))
-    rows = rows.join(many, "call", "left")
+    rows = rows.join(many.hint("merge"), "call", "left").drop("full", "blocks").checkpoint()
 
     # A short name (family and initial) and the full names it may stand for.
     crossed = pairs.filter("(a = 1) <> (b = 1)").select(F.when(F.col("a") == 1, F.col("name_key")).otherwise(F.col("name_key2")).alias("s"), F.when(F.col("a") == 1, F.col("name_key2")).otherwise(F.col("name_key")).alias("f"))
     stands = (
-        crossed.join(called.select(F.col("name_key").alias("s"), F.col("call").alias("short_call")), "s")
-        .join(called.select(F.col("name_key").alias("f"), F.col("call").alias("full_call")), "f")
+        crossed.join(called.select(F.col("name_key").alias("s"), F.col("call").alias("short_call")).hint("merge"), "s")
+        .join(called.select(F.col("name_key").alias("f"), F.col("call").alias("full_call")).hint("merge"), "f")
         .select("short_call", "full_call")
         .distinct()
     )
@@ -331,17 +331,17 @@ def people(persons: DataFrame, orgs: DataFrame) -> DataFrame:
     edges = edges.unionByName(at.select(person.alias("u"), spot.alias("v")))
     edges = edges.unionByName(rows.filter("not short and ids <= 1").select(person.alias("u"), _node("n", F.col("call")).alias("v")))
     # At one place a short name is the only full name there that it fits, if it is one only.
-    there = at.select("call", "spot").distinct().checkpoint()
-    fits = stands.join(there.select(F.col("call").alias("short_call"), "spot"), "short_call").join(there.select(F.col("call").alias("full_call"), "spot"), ["full_call", "spot"])
+    there = at.select("call", "spot").distinct()
+    fits = stands.join(there.select(F.col("call").alias("short_call"), "spot").hint("merge"), "short_call").join(there.select(F.col("call").alias("full_call"), "spot").hint("merge"), ["full_call", "spot"])
     only = fits.groupBy("short_call", "spot").agg(F.count(F.lit(1)).alias("calls"), F.min("full_call").alias("full_call")).filter("calls = 1")
     edges = edges.unionByName(only.select(_node("c", F.col("short_call"), F.col("spot")).alias("u"), _node("c", F.col("full_call"), F.col("spot")).alias("v")))
     # A mail address ties a short name to the full name that uses it.
     mailed = rows.filter("mail is not null").select("mail", "call", "short").distinct()
-    tied = mailed.filter("short").select("mail", F.col("call").alias("short_call")).join(stands, "short_call").join(mailed.filter("not short").select("mail", F.col("call").alias("full_call")), ["mail", "full_call"])
+    tied = mailed.filter("short").select("mail", F.col("call").alias("short_call")).join(stands.hint("merge"), "short_call").join(mailed.filter("not short").select("mail", F.col("call").alias("full_call")).hint("merge"), ["mail", "full_call"])
     edges = edges.unionByName(tied.select(_node("m", F.col("short_call"), F.col("mail")).alias("u"), _node("m", F.col("full_call"), F.col("mail")).alias("v")))
     # Without any evidence a short name is the one person of that family and initial, if there is but one.
     lone = rows.filter(F.col("short") & F.col("orcid").isNull() & F.col("mail").isNull() & (F.size(places) == 0))
-    placed = lone.join(single.withColumnRenamed("short_call", "call"), "call").join(many.filter("ids <= 1").select(F.col("call").alias("full_call")), "full_call")
+    placed = lone.join(single.withColumnRenamed("short_call", "call").hint("merge"), "call").join(many.filter("ids <= 1").select(F.col("call").alias("full_call")).hint("merge"), "full_call")
     edges = edges.unionByName(placed.select(person.alias("u"), _node("n", F.col("full_call")).alias("v")))
     labels = connected_components(edges.filter("u is not null and v is not null"))
     return labels.filter(F.col("node").startswith("p\u0001")).select(F.split_part("node", F.lit("\u0001"), F.lit(2)).cast("long").alias("person_id"), F.col("label").alias("person"))
