@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.components import connected_components
 from tablewright.session import ship
 
-LIKE = 0.88
+LIKE = 0.80
 
 #: Nicknames by given name.
 NICKNAMES = {
@@ -179,7 +179,7 @@ _ACRONYMS = {"".join(w[0] for w in kind.split()): kind for kind in _KINDS if " "
 _STOP = {"of", "for", "the", "de", "di", "la", "le", "der", "fur", "des", "du", "and", "at", "in"}
 
 
-_SHORT_WORDS = {**{w: full for w, full in _WORD_OF.items() if 2 < len(w) <= 5}, **dict.fromkeys(_STOP, ""), "dept": ""}
+_SHORT_WORDS = {**{w: full for w, full in _WORD_OF.items() if 2 < len(w) <= 5}, **dict.fromkeys(_STOP, ""), "dept": "", "nat": ""}
 
 
 @lru_cache(maxsize=100_000)
@@ -196,7 +196,11 @@ def _institution_word(token: str) -> str | None:
 def organisation(text: str) -> tuple[str, str] | None:
     """(kind, place) of an affiliation."""
     segments = [s for s in (fold(p) for p in re.split(r"[,;]", text)) if s.strip()]
-    kept = [s for s in segments if not re.match(r"(?:dept|department|depart|school|faculty|division|section|chair|unit|group)\b", s)] or segments
+    unit = re.compile(r"\b(?:dept|department|depart|school|faculty|division|section|chair|group)\b")
+    whole = {"university", "institute", "college", "museum", "laboratory", "centre"}
+    names_one = lambda s: any(_institution_word(t) in whole for t in re.findall(r"[^\W\d_]+", s))
+    kept = [s for s in segments if not unit.search(s) or names_one(s)] or segments
+    kept = [re.sub(r"^(?:dept|department|depart)\b\.?\s+(?:of\s+)?[^\W\d_]+\s+(?=\S)", "", s) for s in kept]
     tokens = [t for s in kept for t in re.findall(r"[^\W\d_]+", s) if t not in _STOP]
     words: list[str] = []
     places: list[str] = []
