@@ -279,13 +279,13 @@ def f25(spark, sf):
 
 
 # Set operations, ordering, first-wins.
-@query("h01_sorted_files", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size < 10 THEN 0 ELSE 1 END, p_name, p_partkey) AS place FROM part WHERE p_partkey <= 500")
+@query("h01_sorted_files", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size < 10 THEN 0 ELSE 1 END, p_name, p_partkey) AS place FROM part")
 def h01(spark, sf):
-    """Files in the order of role and path; a catalogue of at most max_files, so one sort."""
+    """Files of each repository in the order of role and path."""
     from pyspark.sql import Window
 
-    files = table(spark, sf, "part").filter("p_partkey <= 500")
-    order = Window.orderBy(F.when(F.col("p_size") < 10, 0).otherwise(1), "p_name", "p_partkey")
+    files = table(spark, sf, "part")
+    order = Window.partitionBy("p_brand").orderBy(F.when(F.col("p_size") < 10, 0).otherwise(1), "p_name", "p_partkey")
     return files.select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
 
 

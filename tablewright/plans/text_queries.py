@@ -96,14 +96,15 @@ def a23(spark, sf):
     return text.select(F.from_json("j", f"n_nationkey {kinds['n_nationkey']}, n_name string, r_name string").alias("x")).select("x.*")
 
 
-@query("a24_event_log", "SELECT row_number() OVER (ORDER BY event_id) AS seq, event_type AS stage FROM events WHERE event_id <= 200")
+@query("a24_event_log", "SELECT row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq, event_type AS stage, event_id FROM events")
 def a24(spark, sf):
     import uuid
 
     path = f"{shared_dir(spark)}/events_{uuid.uuid4().hex}"
-    w = Window.orderBy("event_id")  # one run's log: a few hundred events
-    table(spark, sf, "events").filter("event_id <= 200").select(F.row_number().over(w).cast("long").alias("seq"), F.col("event_type").alias("stage")).write.json(path)
-    return spark.read.schema("seq long, stage string").json(path)
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    rows = table(spark, sf, "events").select(F.row_number().over(w).cast("long").alias("seq"), F.col("event_type").alias("stage"), "event_id")
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path)
 
 
 @query("a25_excerpt", f"WITH {_LINES} SELECT file, line_no, line FROM l WHERE line_no BETWEEN 3 AND 6")
@@ -313,9 +314,9 @@ def i23(spark, sf):
     return k.select("kv_id", T.date_range(F.col("value_text"))["start"].alias("start"))
 
 
-@query("i29_file_names", f"WITH {_LINES} SELECT file, line_no, list_sort(list_distinct(regexp_extract_all(line, '([A-Za-z0-9_\\-.]+\\.(?:csv|txt|xlsx))', 1))) AS found FROM l WHERE line LIKE 'see %' AND file NOT IN ('3', '12', '20', '24', '23')")
+@query("i29_file_names", f"WITH {_LINES} SELECT file, line_no, list_sort(list_distinct(regexp_extract_all(line, '([A-Za-z0-9_\\-.]+\\.(?:csv|txt|xlsx))', 1))) AS found FROM l WHERE line LIKE 'see %'")
 def i29(spark, sf):
-    return lines(spark, sf).filter("line like 'see %' and file not in ('3', '12', '20', '24', '23')").select("file", F.col("line_no").cast("long").alias("line_no"), F.sort_array(T.file_names(F.col("line"))).alias("found"))
+    return lines(spark, sf).filter("line like 'see %'").select("file", F.col("line_no").cast("long").alias("line_no"), F.sort_array(T.file_names(F.col("line"))).alias("found"))
 
 
 @query("i27_text_facts")
@@ -382,7 +383,7 @@ def f24(spark, sf):
     return L.codes_in_force(defs.select("group_id", F.explode("codes").alias("code")), bound)
 
 
-@query("f26_unassigned", "SELECT DISTINCT d.def_id FROM variable_definitions d WHERE NOT EXISTS (SELECT 1 FROM column_contexts c WHERE lower(regexp_replace(c.name, '[\\s_\\-.]+', '', 'g')) = lower(regexp_replace(CASE WHEN d.declared_type IS NULL THEN d.name || '_old' ELSE d.name END, '[\\s_\\-.]+', '', 'g')))")
+@query("f26_unassigned", f"SELECT DISTINCT d.def_id FROM variable_definitions d WHERE NOT EXISTS (SELECT 1 FROM column_contexts c WHERE {_NORM('c.name')} = {_NORM("CASE WHEN d.declared_type IS NULL THEN d.name || '_old' ELSE d.name END")})")
 def f26(spark, sf):
     d = table(spark, sf, "variable_definitions").dropDuplicates(["def_id"])
     d = d.select("def_id", F.lit("all").alias("group_id"), F.when(F.col("declared_type").isNull(), F.concat("name", F.lit("_old"))).otherwise(F.col("name")).alias("name"))
