@@ -147,6 +147,9 @@ def read(text: str, extension: str = "", config: Config = Config()) -> RawTable:
     dialect = sniff(text, extension, config)
     if dialect.consistency < 0.8:
         issues.append("DELIMITER_UNCERTAIN")
+    if dialect.quote != '"' and text.count('"') % 2:
+        issues.append("CSV_QUOTE_FALLBACK")  # unpaired quotes made reading without them the better dialect
+        dialect = Dialect(dialect.delimiter, None, dialect.width, dialect.consistency, dialect.preamble)
     if dialect.quote is not None:
         try:
             grid = parse(text, dialect.delimiter, dialect.quote)
