@@ -6,6 +6,8 @@ one shuffle, pre-aggregated, and all column analysis then runs over distinct val
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,23 @@ def histogram(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEY, "name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_of(df: DataFrame, dataset_id: str, columns: list[str] | None = None) -> DataFrame:
+    """The histogram of a columnar table, column by column.
+
+    Each column is read alone and grouped by its own type, so only distinct values are turned into text; the bytes read
+    are those of one scan, and no row is unfolded into cells.
+    """
+    kinds = dict(df.dtypes)
+    parts = []
+    for pos, name in enumerate(columns or df.columns, 1):
+        kind, own = kinds[name], F.col(f"`{name}`")
+        key = own.cast("decimal(24,4)") if kind.startswith(("double", "float", "decimal")) else F.nullif(F.trim(own), F.lit("")) if kind == "string" else own
+        grouped = df.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        text = F.date_format("key", "yyyy-MM-dd HH:mm:ss") if kind.startswith("timestamp") else F.col("key").cast("string")
+        parts.append(grouped.select(F.lit(dataset_id).alias("dataset_id"), F.lit(pos).alias("pos"), F.lit(name).alias("name"), text.alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def present(hist: DataFrame, config: Config = Config()) -> DataFrame:
     """The values that are not missing."""
     return hist.filter(F.col("value").isNotNull() & ~F.col("value").isin(*[t for t in config.missing_value_tokens if t]))
@@ -63,15 +82,29 @@ def is_integer(value: Column) -> Column:
     return value.rlike(INTEGER) & value.try_cast("bigint").isNotNull()
 
 
+def census(hist: DataFrame, config: Config = Config()) -> DataFrame:
+    """Cells, missing cells and distinct present values of every column, in one pass."""
+    there = F.col("value").isNotNull() & ~F.coalesce(F.col("value").isin(*[t for t in config.missing_value_tokens if t]), F.lit(False))
+    return hist.groupBy(*KEY, "name").agg(
+        F.sum("n").alias("cells"), F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("missing"), F.count_if(there).alias("distinct_values"),
+    )
+
+
 def infer_types(hist: DataFrame, config: Config = Config()) -> DataFrame:
-    """(dataset_id, pos, name, type, format, role, total, distinct): one type per column, by tests all values pass."""
-    v = F.col("value")
-    every = lambda test: F.every(F.coalesce(test, F.lit(False)))
-    dates = {f: every(F.try_to_timestamp(v, F.lit(p)).isNotNull() & v.rlike(r"^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$")) for f, p in DATE_FORMATS.items()}
-    times = {f: every(F.try_to_timestamp(v, F.lit(p)).isNotNull() & v.contains(":")) for f, p in DATETIME_FORMATS.items()}
-    tests = {"boolean": every(F.lower(v).isin(BOOLEAN_WORDS)), "integer": every(is_integer(v)), "number": every(is_number(v)), "zero": F.bool_or(v.rlike(LEADING_ZERO))}
+    """(dataset_id, pos, name, type, format, role, total, distinct): one type per column, by tests all values pass.
+
+    One pass over the distinct values; missing ones take part in no test. The costly date tests only see values of the
+    shape of a date.
+    """
+    v = F.when(~F.col("value").isin(*[t for t in config.missing_value_tokens if t]), F.col("value"))
+    every = lambda test: F.coalesce(F.every(F.when(F.col("v").isNotNull(), F.coalesce(test, F.lit(False)))), F.lit(False))
+    v_ = F.col("v")
+    day, moment = v_.rlike(r"^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$"), v_.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]")
+    dates = {f: every(F.when(day, F.try_to_timestamp(v_, F.lit(p)).isNotNull())) for f, p in DATE_FORMATS.items()}
+    times = {f: every(F.when(moment, F.try_to_timestamp(v_, F.lit(p)).isNotNull())) for f, p in DATETIME_FORMATS.items()}
+    tests = {"boolean": every(F.lower(v_).isin(BOOLEAN_WORDS)), "integer": every(is_integer(v_)), "number": every(is_number(v_)), "zero": F.coalesce(F.bool_or(v_.rlike(LEADING_ZERO)), F.lit(False))}
     named = [t.alias(k) for k, t in tests.items()] + [t.alias(f"d{i}") for i, t in enumerate(dates.values())] + [t.alias(f"t{i}") for i, t in enumerate(times.values())]
-    a = present(hist, config).groupBy(*KEY, "name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), *named)
+    a = hist.withColumn("v", v).groupBy(*KEY, "name").agg(F.sum(F.when(v_.isNotNull(), F.col("n")).otherwise(0)).alias("total"), F.count("v").alias("distinct"), *named)
     fitting = sum((F.col(f"d{i}").cast("int") for i in range(len(dates))), F.lit(0))
     first_time = F.coalesce(*[F.when(F.col(f"t{i}"), F.lit(f)) for i, f in enumerate(times)])
     first_date = F.coalesce(*[F.when(F.col(f"d{i}"), F.lit(f)) for i, f in enumerate(dates)])
@@ -94,11 +127,7 @@ def infer_types(hist: DataFrame, config: Config = Config()) -> DataFrame:
         .when(F.col("type").isin("date", "datetime"), "temporal")
         .otherwise(text_role)
     )
-    everything = hist.select(*KEY, "name").distinct().join(a.withColumn("role", role), [*KEY, "name"], "left")
-    return everything.select(
-        *KEY, "name", F.coalesce("type", F.lit("string")).alias("type"), "format", F.coalesce("role", F.lit("text")).alias("role"), F.coalesce("total", F.lit(0)).alias("total"),
-        F.coalesce("distinct", F.lit(0)).alias("distinct"), F.coalesce("ambiguous_date", F.lit(False)).alias("ambiguous_date"),
-    )
+    return a.select(*KEY, "name", "type", "format", F.when(total == 0, "text").otherwise(role).alias("role"), "total", "distinct", "ambiguous_date")
 
 
 def blocking_examples(hist: DataFrame, config: Config = Config(), most: int = 5) -> DataFrame:

@@ -43,10 +43,6 @@ def _columns(name: str) -> list[tuple[str, str]]:
     return [tuple(c.split(":")) for c in _COLUMNS[name].split()]
 
 
-def cells(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return H.cells_of(table(spark, sf, name), name, [c for c, _ in _columns(name)])
-
-
 def hist_sql(*names: str) -> str:
     """The value histogram in SQL."""
     parts = []
@@ -58,20 +54,17 @@ def hist_sql(*names: str) -> str:
 
 
 def hist(spark: SparkSession, sf: str, *names: str) -> DataFrame:
-    return H.histogram(reduce(DataFrame.unionByName, [cells(spark, sf, n) for n in names]))
+    return reduce(DataFrame.unionByName, [H.histogram_of(table(spark, sf, n), n, [c for c, _ in _columns(n)]) for n in names])
 
 
 @query("e01_profile_lineitem", f"WITH {hist_sql('lineitem')} SELECT dataset_id, pos, name, sum(n)::BIGINT AS cells, coalesce(sum(n) FILTER (value IS NULL OR value IN ({_TOKENS})), 0)::BIGINT AS missing, count(DISTINCT value) FILTER (value NOT IN ({_TOKENS})) AS distinct_values FROM hist GROUP BY ALL")
 def e01(spark, sf):
-    h = hist(spark, sf, "lineitem")
-    total = h.groupBy(*H.KEY, "name").agg(F.sum("n").alias("cells"))
-    seen = H.present(h).groupBy(*H.KEY).agg(F.count(F.lit(1)).alias("distinct_values"))
-    return total.join(H.missing_census(h).select(*H.KEY, "missing"), H.KEY).join(seen, H.KEY, "left").fillna(0, ["distinct_values"])
+    return H.census(hist(spark, sf, "lineitem"))
 
 
-@query("e02_numeric_stats", f"WITH {hist_sql('lineitem', 'part')}, x AS (SELECT *, value::DOUBLE AS x FROM pres WHERE regexp_full_match(value, {_NUM})), m AS (SELECT dataset_id, pos, name, sum(n)::BIGINT AS count, min(x) AS min, max(x) AS max, sum(x*n)/sum(n) AS m FROM x GROUP BY ALL) SELECT m.dataset_id, m.pos, m.name, count, min, max, round(m, 6) AS mean, round(sqrt((SELECT sum(n*(x-m.m)^2) FROM x WHERE x.dataset_id = m.dataset_id AND x.pos = m.pos)/(count-1)), 6) AS std FROM m")
+@query("e02_numeric_stats", f"WITH {hist_sql('lineitem', 'part')}, x AS (SELECT *, value::DOUBLE AS x FROM pres WHERE regexp_full_match(value, {_NUM})), m AS (SELECT dataset_id, pos, name, sum(n)::BIGINT AS count, min(x) AS min, max(x) AS max, sum(x*n)/sum(n) AS m FROM x GROUP BY ALL) SELECT m.dataset_id, m.pos, m.name, count, min, max, round(m, 5) AS mean, round(sqrt((SELECT sum(n*(x-m.m)^2) FROM x WHERE x.dataset_id = m.dataset_id AND x.pos = m.pos)/(count-1)), 6) AS std FROM m")
 def e02(spark, sf):
-    return H.numeric_stats(hist(spark, sf, "lineitem", "part"))
+    return H.numeric_stats(hist(spark, sf, "lineitem", "part")).withColumn("mean", F.round("mean", 5))
 
 
 @query("e03_temporal_bounds", "SELECT 'orders' AS dataset_id, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day FROM orders")
@@ -181,8 +174,8 @@ def f27(spark, sf):
     parts = []
     for name, own in (("orders", {"o_custkey": "Cust_Key"}), ("customer", {"c_custkey": "custkey", "c_nationkey": "nation key"}), ("lineitem", {"l_suppkey": "supp.key"}), ("supplier", {"s_suppkey": "suppkey", "s_nationkey": "nationkey"})):
         t = table(spark, sf, name)
-        parts.append(H.cells_of(t.select(*[F.col(c).alias(n) for c, n in own.items()]), name))
-    return H.shared_variables(H.histogram(reduce(DataFrame.unionByName, parts)))
+        parts.append(H.histogram_of(t.select(*[F.col(c).alias(n) for c, n in own.items()]), name))
+    return H.shared_variables(reduce(DataFrame.unionByName, parts))
 
 
 @query("f28_canonical_values", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(CAST(p_size AS DOUBLE) AS VARCHAR) WHEN 1 THEN CAST(CAST(p_size AS DOUBLE) AS VARCHAR) ELSE 'size ' || p_size END AS v FROM part")
