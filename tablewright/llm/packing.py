@@ -7,7 +7,7 @@ source with the largest deficit whose queue holds something that fits gives its
 Deficits carry over from window to window.
 
 The items are dealt by hash into shards of about ITEMS_PER_SHARD, each packed by one task, so neither a source nor the
-whole corpus is ever one group. A shard gives back its windows that are not nearly full, with its deficits; these
+whole corpus is ever one group. A shard gives back its emptiest windows (one in MERGE at most), with its deficits; these
 leftovers are merged, MERGE shards at a time, and packed again with the deficits carried over, until one shard is left.
 Target shares are those of all tokens of the corpus.
 
@@ -142,8 +142,11 @@ def _pack_shard(rows: pd.DataFrame, shares: dict[str, float], level: int, last:
         if not windows:
             windows = [[]]
         windows[0] = [*windows[0], *empty]
+    # The emptiest windows go on to the next level, at most one in MERGE, so a merged shard is no larger than a first one.
+    filled = sorted((sum(i[0] for i in window), number) for number, window in enumerate(windows))
+    loose = set() if last else {n for size, n in filled[: max(1, len(windows) // MERGE)] if size < NEARLY_FULL * capacity}
     for number, window in enumerate(windows):
-        done = last or sum(i[0] for i in window) >= NEARLY_FULL * capacity
+        done = number not in loose
         for tokens, source, doc_id, part, parts, start in window:
             out.append((limit_id, capacity, shard, doc_id, source, part, parts, start, tokens, f"{limit_id}-{level}-{shard}-{number}", done, 0.0))
     if not last:
