@@ -148,7 +148,7 @@ def numeric_stats(hist: DataFrame, config: Config = Config()) -> DataFrame:
 
 def top_values(hist: DataFrame, config: Config = Config(), k: int = 10) -> DataFrame:
     """The k most frequent values, ties in the order of the values."""
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("n"), "value"))
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("n"), "value")).cast("long")
     return present(hist, config).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
