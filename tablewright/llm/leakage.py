@@ -6,8 +6,8 @@ in a row, however it is laid out, interrupted or altered elsewhere; so windows a
 must be found, not as the whole item, which would miss passages quoted in part. Four blocks of 16 bits index the
 fingerprints of the items: two fingerprints within Hamming distance 3 agree in one block at least, so the index finds
 all of them. Windows with more than FOREIGN words that no item has are not hashed: none of them is part of a case.
-Candidates are then verified exactly: words of document and item are aligned around the hit, and the words
-in shared shingles of SHINGLE words or more, in order, are counted and weighted.
+Candidates are then verified exactly: their WINDOW words must be equal, then words of document and item are
+aligned around the hit, and the words in shared shingles of SHINGLE words or more, in order, are counted and weighted.
 
 The items are the stated query set. They go to every task in blocks of ITEMS_PER_BLOCK; the documents are read once per
 block and never shuffled, so a source or a group of copies with a third of all rows is just rows.
