@@ -258,8 +258,14 @@ def i03(spark, sf):
 
 @query("i04_tokenize", "SELECT DISTINCT original_name AS name, list_filter(string_split_regex(lower(regexp_replace(strip_accents(original_name), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS tokens FROM dataset_variables WHERE original_name IS NOT NULL AND regexp_full_match(original_name, '[ -~]*')")
 def i04(spark, sf):
-    v = table(spark, sf, "dataset_variables").select(F.col("original_name").alias("name")).filter("original_name is not null").filter(F.col("name").rlike(r"\A[ -~]*\z")).distinct()
-    return v.withColumn("tokens", T.tokenize(F.col("name")))
+    """The part of i04_tokenize_all that DuckDB can say."""
+    return i04_all(spark, sf).filter(F.col("name").rlike(r"\A[ -~]*\z"))
+
+
+@query("i04_tokenize_all")
+def i04_all(spark, sf):
+    v = table(spark, sf, "dataset_variables").select(F.col("original_name").alias("name")).filter("original_name is not null").distinct()
+    return v.withColumn("tokens", T.tokenize(T.spell_out(F.col("name"))))
 
 
 @query("i05_abbreviations_of", "WITH v(a, b) AS (VALUES ('chg','change'),('smth','smooth'),('prt','fat'),('x','xylem'),('temp','temperature'),('tmp','temperature'),('ba','ab')) SELECT a, b, a IN ('chg','smth','temp','tmp') AS abbreviates FROM v")
@@ -270,7 +276,13 @@ def i05(spark, sf):
 
 @query("i07_labels", r"SELECT DISTINCT label, trim(regexp_replace(regexp_replace(replace(lower(label), '(s)', ''), '^\s*[0-9]+[.)]\s*', ''), '[^a-z0-9]+', ' ', 'g'), ' ') AS norm FROM key_values WHERE label IS NOT NULL AND regexp_full_match(label, '[ -~]*')")
 def i07(spark, sf):
-    k = table(spark, sf, "key_values").select("label").filter("label is not null").filter(F.col("label").rlike(r"\A[ -~]*\z")).distinct()
+    """The part of i07_labels_all that DuckDB can say."""
+    return i07_all(spark, sf).filter(F.col("label").rlike(r"\A[ -~]*\z"))
+
+
+@query("i07_labels_all")
+def i07_all(spark, sf):
+    k = table(spark, sf, "key_values").select("label").filter("label is not null").distinct()
     return k.withColumn("norm", T.normalize_label(F.col("label")))
 
 
