@@ -310,7 +310,7 @@ def f30(spark, sf):
 
 # Text.
 @query("g02_look_around", f"WITH {_LINES}, k AS (SELECT *, {_KIND} AS kind FROM l) SELECT file, line_no, lag(kind) OVER w AS before, lead(kind) OVER w AS after FROM k WINDOW w AS (PARTITION BY file ORDER BY line_no)")
-def g02(spark, sf):
+def g02(spark, sf, lines=lines):
     w = Window.partitionBy("file").orderBy("line_no")
     k = lines(spark, sf).withColumn("kind", T.line_kind(F.col("line")))
     return k.select("file", F.col("line_no").cast("long").alias("line_no"), F.lag("kind").over(w).alias("before"), F.lead("kind").over(w).alias("after"))
@@ -367,12 +367,12 @@ def i06(spark, sf):
 
 
 @query("i09_key_value_split", f"WITH {_KV} SELECT file, key, length(value) AS size FROM kv")
-def i09(spark, sf):
+def i09(spark, sf, lines=lines):
     return D.key_values(lines(spark, sf)).select("file", "key", F.length("value").cast("long").alias("size"))
 
 
 @query("i10_headings", f"WITH {_LINES} SELECT file, line_no FROM l WHERE {_KIND} = 'heading'")
-def i10(spark, sf):
+def i10(spark, sf, lines=lines):
     return lines(spark, sf).filter(T.line_kind(F.col("line")) == "heading").select("file", F.col("line_no").cast("long").alias("line_no"))
 
 

@@ -1,6 +1,7 @@
 """Queries on files, dialects, documentation text, scoping and review (A, B, C, G, I, F19-F34, K), with SQL twins where SQL can say it.
 
-Documentation lines are derived from the nations and parts in both engines, so that no query is vacuous.
+Where there is SQL, documentation lines are derived from the nations and parts in both engines; document_queries has the
+same steps over all documents.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ def lines(spark, sf) -> DataFrame:
     return D.lines_of(docs(spark, sf), "file", "text")
 
 
+def documented(spark, sf) -> DataFrame:
+    """The lines of all documents."""
+    return D.lines_of(table(spark, sf, "documents"), "doc_id", "text")
+
+
 _KIND = r"""CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_full_match(line, '\s*(?:[-=_*]{3,}|-)\s*') THEN 'rule' WHEN regexp_full_match(line, '\s*\|.*\|\s*') THEN 'pipe_row'
  WHEN regexp_matches(line, '^\s*(?:[0-9]+[.)]\s*)?([^:]{1,60}?):\s*(.*)$') THEN 'key_value' WHEN regexp_matches(line, '^\s*(?:[-*•·]|[0-9]+[.)])\s+\S') THEN 'list_item' WHEN upper(trim(line)) = trim(line) AND regexp_matches(line, '[A-Z]') THEN 'heading' ELSE 'text' END"""
 
@@ -83,7 +89,7 @@ def a15(spark, sf):
 
 
 @query("a19_lines", f"WITH {_LINES} SELECT file, line_no, rtrim(line) AS line FROM l")
-def a19(spark, sf):
+def a19(spark, sf, lines=lines):
     return lines(spark, sf).select("file", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
@@ -108,7 +114,7 @@ def a24(spark, sf):
 
 
 @query("a25_excerpt", f"WITH {_LINES} SELECT file, line_no, line FROM l WHERE line_no BETWEEN 3 AND 6")
-def a25(spark, sf):
+def a25(spark, sf, lines=lines):
     return lines(spark, sf).filter("line_no between 3 and 6").select("file", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
@@ -196,12 +202,12 @@ def c04(spark, sf):
 
 
 @query("i11_line_kinds", f"WITH {_LINES} SELECT file, line_no, {_KIND} AS kind FROM l")
-def i11(spark, sf):
+def i11(spark, sf, lines=lines):
     return lines(spark, sf).select("file", F.col("line_no").cast("long").alias("line_no"), T.line_kind(F.col("line")).alias("kind"))
 
 
 @query("g01_sections", f"WITH {_LINES}, k AS (SELECT *, {_KIND} AS kind0 FROM l), k2 AS (SELECT *, CASE WHEN kind0 = 'text' AND lead(kind0) OVER (PARTITION BY file ORDER BY line_no) = 'rule' THEN 'heading' ELSE kind0 END AS kind FROM k) SELECT file, line_no, CAST(sum((kind = 'heading')::INT) OVER w AS BIGINT) AS section_id, last_value(CASE WHEN kind = 'heading' THEN trim(line) END IGNORE NULLS) OVER w AS section_title FROM k2 WINDOW w AS (PARTITION BY file ORDER BY line_no)")
-def g01(spark, sf):
+def g01(spark, sf, lines=lines):
     return D.sections(lines(spark, sf)).select("file", F.col("line_no").cast("long").alias("line_no"), "section_id", "section_title")
 
 
@@ -210,12 +216,12 @@ kv AS (SELECT file, max(CASE WHEN kind = 'key_value' THEN trim(split_part(line,
 
 
 @query("g03_key_values", f"WITH {_KV} SELECT file, key, value, line_start, line_end FROM kv")
-def g03(spark, sf):
+def g03(spark, sf, lines=lines):
     return D.key_values(lines(spark, sf)).select("file", "key", "value", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
 @query("g04_carried_context", f"WITH {_KV} SELECT file, key, last_value(CASE WHEN key = 'Filename' THEN value END IGNORE NULLS) OVER w AS in_file, last_value(CASE WHEN key = 'Missing data codes' THEN value END IGNORE NULLS) OVER w AS in_codes FROM kv WINDOW w AS (PARTITION BY file ORDER BY line_start)")
-def g04(spark, sf):
+def g04(spark, sf, lines=lines):
     return D.carried(D.key_values(lines(spark, sf))).select("file", "key", "in_file", "in_codes")
 
 
@@ -294,7 +300,9 @@ def i08(spark, sf):
 
 @query("i13_definitions")
 def i13(spark, sf):
-    return D.definitions(lines(spark, sf), ["size_1", "size_2", "size_3"]).select("file", "name", "description", "unit", "position", "method")
+    """Definitions in all documents; the distinct column names are a vocabulary and are collected."""
+    names = [r[0] for r in table(spark, sf, "column_contexts").select("name").filter("name is not null").distinct().collect()]
+    return D.definitions(documented(spark, sf), names).select("file", "name", "description", "unit", "position", "method")
 
 
 @query("i18_value_labels", "WITH v(t) AS (VALUES ('1 = Male; 2 = Female; -9 = missing'), ('a: one, b: two'), ('none')) SELECT t, list_transform(list_filter(string_split_regex(t, '\\s*[;,]\\s*'), lambda x: regexp_matches(x, '^\\s*\\S+\\s*[=:]\\s*\\S')), lambda x: regexp_extract(x, '^\\s*(\\S+?)\\s*[=:]', 1)) AS codes FROM v")
@@ -312,11 +320,13 @@ def i19(spark, sf):
 
         return pd.Series([D.missing_codes(t) for t in texts])
 
-    return D.key_values(lines(spark, sf)).filter("key = 'Missing data codes'").select("file", F.pandas_udf(run, "array<string>")("value").alias("codes"))
+    read = D.key_values(documented(spark, sf)).select(F.lit("document").alias("origin"), F.concat_ws(":", "file", "line_start").alias("place"), "key", "value")
+    given = table(spark, sf, "key_values").select(F.lit("key_value").alias("origin"), F.col("kv_id").cast("string").alias("place"), F.col("label").alias("key"), F.col("value_text").alias("value")).distinct()
+    return read.unionByName(given).filter(F.col("key").rlike(T.MISSING_KEY)).select("origin", "place", F.pandas_udf(run, "array<string>")("value").alias("codes"))
 
 
 @query("i22_declared_counts", f"WITH {_LINES} SELECT file, line_no, CAST(regexp_extract(line, '([0-9]+)', 1) AS BIGINT) AS n FROM l WHERE line LIKE 'Number of rows:%'")
-def i22(spark, sf):
+def i22(spark, sf, lines=lines):
     return D.declared_counts(lines(spark, sf)).select("file", F.col("line_no").cast("long").alias("line_no"), "n")
 
 
@@ -339,7 +349,7 @@ def i27(spark, sf):
 
 @query("i31_relations")
 def i31(spark, sf):
-    return D.text_facts(docs(spark, sf), "file", "text").filter("kind = 'relation'")
+    return D.text_facts(table(spark, sf, "documents"), "doc_id", "text").filter("kind = 'relation'")
 
 
 @query("i34_rounding", "SELECT l_orderkey, l_linenumber, round(l_extendedprice::DOUBLE, 0) AS whole, least(greatest(l_tax::DOUBLE, 0.02), 0.06) AS clipped FROM lineitem")
@@ -406,9 +416,9 @@ def f26(spark, sf):
 
 @query("f29_stated_relations")
 def f29(spark, sf):
-    facts = D.text_facts(docs(spark, sf), "file", "text").filter("kind = 'relation'").select(F.col("file").alias("relation_id"), F.split("value", r"\|").alias("files"))
-    n = table(spark, sf, "nation").select(F.lower("n_name").alias("dataset_id"), F.concat(F.lower("n_name"), F.lit(".csv")).alias("file"))
-    hints = L.resolve_hints(facts.select(F.explode("files").alias("hint")).distinct(), n)
+    facts = i31(spark, sf).select(F.concat_ws("#", "file", "value").alias("relation_id"), F.split("value", r"\|").alias("files"))
+    s, _, _ = _scoping(spark, sf)
+    hints = L.resolve_hints(facts.select(F.explode("files").alias("hint")).distinct(), s)
     return L.document_relations(facts, hints)
 
 
