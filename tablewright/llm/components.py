@@ -1,19 +1,57 @@
-"""Connected components by label propagation with shortcuts, on DataFrames.
+"""Connected components by contraction, on DataFrames.
 
-Each round gives every node the least label among its neighbours' and its own, then follows that label one step
-further, so distances at least halve. Rounds are cut by checkpoint() into the shared folder, never kept on executors;
-the number of changed labels is observed while a round is written, so a round is one job. Joins are merge joins by hint:
-estimates over checkpointed plans are too rough to broadcast by.
+Every partition first joins its own edges by union-find and passes on one row per node with the least node it reaches
+there. Nodes that meet several such roots link these roots, and the same is done with the links, which only run between
+roots and are far fewer, until no node has two roots. A hub's edges are never gathered: they are joined where they are,
+so a node has at most one root from each partition (or each MOST_NODES nodes of it). Levels are cut by checkpoint() into
+the shared folder; the number of clashes is observed while a level is written, so a level is one job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablewright.session import shared_dir
+from tablewright.session import shared_dir, ship
+
+#: Nodes joined in memory at a time.
+MOST_NODES = 1_000_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+
+    def root(x):
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    kind = None
+
+    def out() -> pa.RecordBatch:
+        nodes = list(parent)
+        rows = pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "root"])
+        parent.clear()
+        return rows
 
-MOST_ROUNDS = 60
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a < b:
+                parent[b] = a
+            elif b < a:
+                parent[a] = b
+        if len(parent) > MOST_NODES:
+            yield out()
+    if parent:
+        yield out()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,18 +60,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     A node that only has loops is its own component.
     """
     shared_dir(edges.sparkSession)
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    links = both.filter("u is not null and v is not null").distinct().checkpoint()
-    labels = links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label"))
-    for _ in range(MOST_ROUNDS):
-        # Pre-aggregation keeps a hub's neighbours in partial minima.
-        near = links.join(labels.hint("merge"), links.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near.hint("merge"), labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        seen = Observation()
-        after = step.join(far.hint("merge"), "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        after = after.observe(seen, F.sum(F.when(F.col("label") != F.col("old"), 1).otherwise(0)).alias("changed")).checkpoint()
-        labels = after.select("node", "label")
-        if not seen.get.get("changed"):
-            return labels
-    raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
+    ship(edges.sparkSession)
+    kind = edges.schema["u"].dataType.simpleString()
+    stars = edges.select("u", "v").filter("u is not null and v is not null").mapInArrow(_contract, f"node {kind}, root {kind}")
+    seen = Observation()
+    met = stars.groupBy("node").agg(F.collect_set("root").alias("roots"))
+    met = met.select("node", "roots", F.array_min("roots").alias("label")).observe(seen, F.sum(F.size("roots") - 1).alias("clashes")).checkpoint()
+    found = met.select("node", "label")
+    if not seen.get.get("clashes"):
+        return found
+    links = met.filter("size(roots) > 1").select(F.explode("roots").alias("u"), F.col("label").alias("v"))
+    above = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return found.join(above.hint("merge"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))

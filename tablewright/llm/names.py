@@ -1,19 +1,19 @@
 """Variant spellings of people and organisations, linked (problem 3).
 
-Spellings are reduced to sorted tokens, blocked by phonetic codes of these (a code of the consonants, joined with the
-beginning or the end of the other token so that one slip never hides a pair), compared by Jaro-Winkler similarity with
-a table of nicknames, and the accepted pairs are clustered by connected components.
+Spellings are reduced to sorted tokens, blocked by phonetic codes of these, compared by Jaro-Winkler similarity with
+a table of nicknames, and the accepted pairs are clustered by connected components. Organisations are in their own
+module.
 
 People. Two spellings of a name are compatible if family and given names agree up to slips, nicknames or an initial.
-Compatible rows are one person if they share an ORCID, a personal mail address or a place of work (of the affiliation
-or the mail's domain). A full name that occurs under one ORCID at most is one person wherever it stands (people move);
-a full name under several ORCIDs, or an initial that fits several people, needs shared evidence.
-
-Organisations. A spelling is a kind of institution (by its words, abbreviations or acronym) and a place; departments
-and country codes are left off. Spellings of one kind whose places agree up to slips are one organisation.
+A block holds the codes of all tokens, or of all but one together with the beginning, the end or, in short tokens,
+what remains of that one without a letter; so one slip never hides a pair. Compatible rows are one person if they share
+an ORCID, a personal mail address or a place of work (the proper name of the affiliation or the mail's domain). A full
+name that occurs under one ORCID at most is one person wherever it stands (people move); a full name under several
+ORCIDs, or an initial that fits several people, needs shared evidence.
 
 Evidence joins rows through key nodes (orcid, mail, name at place), never row by row, so a crowded organisation, mail
-box or name adds edges in proportion to its rows. Names and spellings are compared once per distinct form.
+box or name adds edges in proportion to its rows. Names are compared once per distinct form, blocks hold 64-bit hashes
+and the forms' numbers only.
 
 Edge cases (tested): null or blank names and affiliations join nothing; repeated rows count once; equal spellings of
 different people stay apart if their ORCIDs differ; empty tables give no rows; extra columns are ignored.
@@ -23,35 +23,49 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from itertools import islice, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import connected_components
+from tablewright.llm.organisations import organisations
+from tablewright.llm.strings import fold, jaro_winkler, lessened, phonetic, slips
 from tablewright.session import ship
 
 LIKE = 0.80
+#: Readings that nicknames of several names may give for blocking.
+MOST_READINGS = 16
 
-#: Nicknames by given name.
+#: Common nicknames by given name.
 NICKNAMES = {
-    "alexander": "alex sasha sandy xander", "andrzej": "jedrek andrew", "christopher": "chris kit topher", "dimitrios": "dimitris dima mitsos", "edouard": "ed eddy edward",
-    "ekaterina": "katya katia", "elizabeth": "beth liz lizzie betty eliza libby", "francisco": "paco pancho fran", "gabriela": "gabi gaby", "giuseppe": "beppe peppe pino",
-    "hiroshi": "hiro", "ingrid": "inga", "johannes": "hannes hans jan", "jose": "pepe", "katherine": "kate kathy katie kat", "leonardo": "leo nardo", "margaret": "maggie meg peggy greta",
-    "michael": "mike mick mickey", "nicholas": "nick nico", "oluwaseun": "seun", "ondrej": "ondra", "patricia": "pat patty trish tricia", "richard": "rick dick rich ricky",
-    "robert": "rob bob bobby robbie", "susanna": "sue susie suzy sanna", "theodore": "ted theo teddy", "ulrich": "uli", "victoria": "vicky tori vicki", "vincent": "vince vinnie",
-    "william": "bill will billy liam", "xiomara": "xio", "yolanda": "yoli", "fatima": "fati", "wanjiru": "ciru shiru",
+    "abigail": ("abby", "gail"), "agnieszka": ("aga",), "albert": ("al", "bert", "bertie"), "aleksandra": ("ola",), "alexander": ("alex", "sasha", "sandy", "xander"), "alexandra": ("lexi", "sandra"), "alfred": ("alf", "fred", "alfie"),
+    "amanda": ("mandy",), "andreas": ("andi",), "andrew": ("andy", "drew"), "andrzej": ("jedrek",), "anthony": ("tony",), "antonio": ("toni", "toño"), "arthur": ("art", "artie"), "barbara": ("barb", "babs", "basia"), "bartholomew": ("bart",),
+    "beatrice": ("bea", "trixie"), "benjamin": ("ben", "benny", "benji"), "bernard": ("bernie",), "caroline": ("carrie", "caro"), "catarina": ("cati",), "charles": ("charlie", "chuck", "chas"), "christina": ("tina", "chrissy"),
+    "christopher": ("chris", "kit", "topher"), "daniel": ("dan", "danny"), "david": ("dave", "davy"), "deborah": ("deb", "debbie"), "dimitrios": ("dimitris", "dima", "mitsos"), "dmitri": ("mitya",), "donald": ("don", "donny"), "dorothy": ("dot", "dolly", "dottie"),
+    "edouard": ("ed", "eddy"), "edward": ("eddie", "ted", "ned"), "ekaterina": ("katya", "katia"), "eleanor": ("ellie", "nora", "nell"), "elizabeth": ("beth", "liz", "lizzie", "betty", "eliza", "libby"), "emily": ("em", "emmy"), "eugene": ("gene",),
+    "evgenia": ("zhenya",), "fatima": ("fati",), "fernando": ("nando",), "florence": ("flo", "flossie"), "frances": ("fanny", "frankie"), "francis": ("frank",), "francisco": ("paco", "pancho", "fran"), "franziska": ("franzi",), "frederick": ("freddie", "fritz"),
+    "gabriel": ("gabe",), "gabriela": ("gabi", "gaby"), "gerald": ("gerry", "jerry"), "giovanni": ("gianni", "nino"), "giuseppe": ("beppe", "peppe", "pino"), "gregory": ("greg",), "grzegorz": ("grzesiek",), "harold": ("hal",), "helen": ("nellie", "lena"),
+    "henry": ("harry", "hank"), "hiroshi": ("hiro",), "ignacio": ("nacho",), "ingrid": ("inga",), "irina": ("ira",), "isabella": ("bella", "izzy"), "ivan": ("vanya",), "jacob": ("jake",), "jacqueline": ("jackie",), "james": ("jim", "jimmy", "jamie"),
+    "janet": ("jan",), "jeffrey": ("jeff",), "jennifer": ("jen", "jenny"), "jessica": ("jess", "jessie"), "joachim": ("jochen", "achim"), "johannes": ("hannes", "hans", "jan"), "john": ("jack", "johnny"), "jonathan": ("jon", "jonny"), "jose": ("pepe",), "joseph": ("joe", "joey"),
+    "joshua": ("josh",), "judith": ("judy", "jude"), "katherine": ("kate", "kathy", "katie", "kat"), "kenneth": ("ken", "kenny"), "konstantinos": ("kostas", "costas"), "lawrence": ("larry", "laurie"), "leonard": ("len", "lenny"), "leonardo": ("leo", "nardo"),
+    "lillian": ("lily", "lil"), "lucas": ("luke",), "luis": ("lucho",), "malgorzata": ("gosia",), "manuel": ("manolo", "manny"), "margaret": ("maggie", "meg", "peggy", "greta"), "maria": ("mia", "mari"), "martha": ("marty", "patsy"), "matthew": ("matt", "matty"),
+    "maximilian": ("max",), "michael": ("mike", "mick", "mickey", "misha"), "nancy": ("nan",), "natalia": ("natasha", "nat"), "nathaniel": ("nathan", "nate"), "nicholas": ("nick", "nico", "nicky"), "nikolaos": ("nikos",), "olga": ("olya",), "oliver": ("ollie",), "oluwaseun": ("seun",),
+    "ondrej": ("ondra",), "pamela": ("pam",), "patricia": ("pat", "patty", "trish", "tricia"), "patrick": ("paddy", "rick"), "pavel": ("pasha",), "peter": ("pete",), "philip": ("phil", "pip"), "rachel": ("rae",), "raymond": ("ray",), "rebecca": ("becky", "becca"),
+    "richard": ("rick", "dick", "rich", "ricky"), "robert": ("rob", "bob", "bobby", "robbie"), "roberto": ("beto",), "ronald": ("ron", "ronnie"), "rosemary": ("rosie",), "samuel": ("sam", "sammy"), "sebastian": ("seb", "basti"), "sergei": ("seryozha",), "simon": ("si",), "sophia": ("sophie",),
+    "stanislaw": ("staszek",), "stephen": ("steve", "stevie"), "susanna": ("sue", "susie", "suzy", "sanna"), "tatiana": ("tanya",), "theodore": ("ted", "theo", "teddy"), "theresa": ("terry", "tess"), "thomas": ("tom", "tommy"), "timothy": ("tim", "timmy"), "tomasz": ("tomek",),
+    "ulrich": ("uli",), "valentina": ("valya",), "veronica": ("ronni", "vera"), "victor": ("vic",), "victoria": ("vicky", "tori", "vicki"), "vincent": ("vince", "vinnie"), "virginia": ("ginny",), "vladimir": ("volodya", "vova"), "walter": ("walt", "wally"), "wanjiru": ("ciru", "shiru"),
+    "wilhelm": ("willi",), "william": ("bill", "will", "billy", "liam"), "xiomara": ("xio",), "yolanda": ("yoli",), "zachary": ("zach", "zack"),
 }
-_FULL = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()}
-
+_FULL: dict[str, tuple[str, ...]] = {}
+for _full, _shorts in NICKNAMES.items():
+    for _short in _shorts:
+        _FULL[_short] = (*_FULL.get(_short, ()), _full)
 _TITLES = re.compile(r"\b(?:dr|prof|professor|mr|mrs|ms|mx|miss|sir|dame)\b\.?", re.I)
 _DEGREES = re.compile(r"[,\s]+(?:m\.?\s?sc\.?|b\.?\s?sc\.?|ph\.?\s?d\.?|m\.?d\.?|jr\.?|sr\.?|ii|iii|m\.?c\.?)(?=\W*$)", re.I)
 
 
-def fold(text: str) -> str:
-    text = unicodedata.normalize("NFKD", text).casefold().replace("ł", "l").replace("ø", "o").replace("đ", "d")
-    return re.sub(r"\s+", " ", "".join(c for c in text if not unicodedata.combining(c))).strip()
 
 
 def name_tokens(name: str) -> tuple[list[str], str]:
@@ -70,62 +84,15 @@ def name_tokens(name: str) -> tuple[list[str], str]:
             tokens += [raw[0].casefold(), raw[1].casefold()]
         else:
             tokens.append(fold(raw))
-    full = [_FULL.get(t, t) for t in tokens if len(t) > 1]
+    # A nickname of several names stays as it is; alike() and the blocks know all of them.
+    full = [_FULL[t][0] if len(_FULL.get(t, ())) == 1 else t for t in tokens if len(t) > 1]
     short = [t for t in tokens if len(t) == 1]
     return sorted(full), (short[0] if short and len(full) == 1 else "")
 
 
-def phonetic(word: str) -> str:
-    """The first letter and the consonants by sound, without repeats."""
-    groups = str.maketrans({**dict.fromkeys("bfpv", "1"), **dict.fromkeys("cgjkqsxz", "2"), **dict.fromkeys("dt", "3"), "l": "4", **dict.fromkeys("mn", "5"), "r": "6", **dict.fromkeys("aeiouyhw", "")})
-    return word[:1] + re.sub(r"(.)\1+", r"\1", word[1:].translate(groups))
-
-
-@lru_cache(maxsize=200_000)
-def jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    used, left = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == x:
-                used[j] = True
-                left.append(x)
-                break
-    m = len(left)
-    if not m:
-        return 0.0
-    right = [y for y, u in zip(b, used) if u]
-    half = sum(x != y for x, y in zip(left, right)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - half) / m) / 3
-    same = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro)
-
-
-@lru_cache(maxsize=200_000)
-def slips(a: str, b: str) -> int:
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        before, last = last, row
-    return last[-1]
-
-
 def alike(a: str, b: str) -> bool:
     """One token up to slips: close by Jaro-Winkler and at most one letter in six wrong, two in long tokens."""
-    if a == b:
+    if a == b or a in _FULL.get(b, ()) or b in _FULL.get(a, ()):
         return True
     if min(len(a), len(b)) < 3 or jaro_winkler(a, b) < LIKE - 0.08 * (a[0] != b[0]):
         return False
@@ -152,140 +119,56 @@ def compatible(a: list[str], ai: str, b: list[str], bi: str) -> bool:
 
 
 def name_blocks(full: list[str], initial: str) -> list[str]:
+    """Keys of a name: of all tokens (f), of one token with a part of the other (b, e, d), of one with the other's initial (i)."""
+    if any(t in _FULL for t in full):
+        plain = [t for t in full if t not in _FULL]
+        readings = islice(product(*((t, *_FULL[t]) for t in full if t in _FULL)), MOST_READINGS)
+        return sorted({k for r in readings for k in _blocks(sorted([*plain, *r]), initial)})
+    return sorted(_blocks(full, initial))
+
+
+def _blocks(full: list[str], initial: str) -> set[str]:
     if not full:
-        return []
+        return set()
     if len(full) == 1:
-        t = full[0]
-        return sorted({f"i|{phonetic(t)}|{initial}", f"p|{t[:4]}|{initial}", f"s|{t[-4:]}|{initial}"}) if initial else []
+        return {f"i|{k}|{initial}" for k in _parts(full[0])} if initial else set()
     out = {"f|" + "|".join(phonetic(t) for t in full)}
     for i, t in enumerate(full):
-        for k, o in enumerate(full):
-            if i != k:
-                out |= {f"b|{phonetic(t)}|{o[:3]}", f"e|{phonetic(t)}|{o[-3:]}", f"i|{phonetic(t)}|{o[0]}", f"p|{t[:4]}|{o[0]}", f"s|{t[-4:]}|{o[0]}"}
-    return sorted(out)
+        rest = "|".join(phonetic(o) for k, o in enumerate(full) if k != i)
+        out.update(f"p|{rest}|{k}" for k in _parts(t)[1:])
+        if len(full) > 2:
+            out.add(f"f|{rest}")
+        out.update(f"i|{k}|{o[0]}" for n, o in enumerate(full) if n != i for k in _parts(t))
+    return out
 
 
-#: Words of institution names with their abbreviations and translations.
-_INSTITUTION_WORDS = {
-    "university": "univ u universitat universite universidad universita universiteit uni universities", "institute": "inst instituto institut", "technology": "tech technol technological technische",
-    "centre": "center ctr centro", "marine": "mar", "research": "res", "museum": "mus museo musee ms", "natural": "naturhistorisches", "history": "hist", "national": "natl",
-    "soil": "soils", "laboratory": "lab laboratories", "agricultural": "agric ag agriculture agr", "college": "coll",
-}
-_WORD_OF = {w: full for full, forms in _INSTITUTION_WORDS.items() for w in [full, *forms.split()]}
-#: Kinds of institution, words in the order of their acronym.
-_KINDS = ["university", "institute technology", "centre marine research", "museum natural history", "national soil laboratory", "agricultural college"]
-_KEY_WORDS = {"university": "university", "technology": "institute technology", "marine": "centre marine research", "museum": "museum natural history", "natural": "museum natural history", "history": "museum natural history", "national": "national soil laboratory", "laboratory": "national soil laboratory", "soil": "national soil laboratory", "agricultural": "agricultural college"}
-_ACRONYMS = {"".join(w[0] for w in kind.split()): kind for kind in _KINDS if " " in kind}
-_STOP = {"of", "for", "the", "de", "di", "la", "le", "der", "fur", "des", "du", "and", "at", "in"}
-
-
-_SHORT_WORDS = {**{w: full for w, full in _WORD_OF.items() if 2 < len(w) <= 5}, **dict.fromkeys(_STOP, ""), "dept": "", "nat": ""}
-
-
-@lru_cache(maxsize=100_000)
-def _institution_word(token: str) -> str | None:
-    if token in _WORD_OF:
-        return _WORD_OF[token]
-    if len(token) >= 5:
-        near = {full for w, full in _WORD_OF.items() if len(w) >= 5 and abs(len(w) - len(token)) <= 2 and slips(token, w) <= (1 if len(w) <= 6 else 2)}
-        if len(near) == 1:
-            return near.pop()
-    return None
-
-
-def organisation(text: str) -> tuple[str, str] | None:
-    """(kind, place) of an affiliation."""
-    segments = [s for s in (fold(p) for p in re.split(r"[,;]", text)) if s.strip()]
-    unit = re.compile(r"\b(?:dept|department|depart|school|faculty|division|section|chair|group)\b")
-    whole = {"university", "institute", "college", "museum", "laboratory", "centre"}
-    names_one = lambda s: any(_institution_word(t) in whole for t in re.findall(r"[^\W\d_]+", s))
-    kept = [s for s in segments if not unit.search(s) or names_one(s)] or segments
-    kept = [re.sub(r"^(?:dept|department|depart)\b\.?\s+(?:of\s+)?[^\W\d_]+\s+(?=\S)", "", s) for s in kept]
-    tokens = [t for s in kept for t in re.findall(r"[^\W\d_]+", s) if t not in _STOP]
-    words: list[str] = []
-    places: list[str] = []
-    for t in tokens:
-        if t in _ACRONYMS:
-            words += _ACRONYMS[t].split()
-        elif (w := _institution_word(t)) is not None:
-            words.append(w)
-        elif t == "nat":
-            continue
-        elif len(t) > 2:
-            places.append(t)
-    if len(places) > 1:
-        for t in [t for t in places if len(t) <= 5]:
-            near = {full for w, full in _SHORT_WORDS.items() if abs(len(w) - len(t)) <= 1 and slips(t, w) == 1}
-            if near and len(places) > 1:
-                places.remove(t)
-                words += sorted(near - {""}) if len(near) == 1 else []
-    kind = next((_KEY_WORDS[w] for w in words if w in _KEY_WORDS), None) or " ".join(sorted(set(words)))
-    if not places:
-        return (kind, "") if kind else None
-    return kind, " ".join(sorted(places))
-
-
-def place_blocks(kind: str, place: str) -> list[str]:
-    return [f"{kind}|c{phonetic(place)}", f"{kind}|b{place[:4]}", f"{kind}|e{place[-4:]}"] if place else []
-
-
-_NAME = "struct<full:array<string>,initial:string,name_key:string,blocks:array<string>>"
-_ORGANISATION = "struct<kind:string,place:string,blocks:array<string>>"
+def _parts(token: str) -> list[str]:
+    """The code of a token, and parts of which two tokens one slip apart share one."""
+    return [phonetic(token), *(lessened(token) if len(token) <= 7 else []), *([f"<{token[:4]}", f">{token[-4:]}"] if len(token) >= 7 else [])]
+
+
+_NAME = "struct<full:array<string>,initial:string,name_key:string,blocks:array<bigint>>"
 
 
 def _read_names(names: pd.Series) -> pd.DataFrame:
+    import xxhash
+
     rows = []
     for name in names:
         full, initial = name_tokens(name or "")
-        rows.append((full, initial, " ".join(full) + (f" {initial}." if initial else ""), name_blocks(full, initial)))
+        keys = [xxhash.xxh64_intdigest(k) - (1 << 63) for k in name_blocks(full, initial)]
+        rows.append((full, initial, " ".join(full) + (f" {initial}." if initial else ""), keys))
     return pd.DataFrame(rows, columns=["full", "initial", "name_key", "blocks"])
 
 
-def _read_organisations(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        kind, place = organisation(text or "") or (None, None)
-        rows.append((kind, place, place_blocks(kind, place) if place else []))
-    return pd.DataFrame(rows, columns=["kind", "place", "blocks"])
-
-
 def _compatible_rows(a: pd.Series, ai: pd.Series, b: pd.Series, bi: pd.Series) -> pd.Series:
     return pd.Series([compatible(list(x), xi, list(y), yi) for x, xi, y, yi in zip(a, ai, b, bi)], dtype=bool)
 
 
-def _alike_rows(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
-def _block_pairs(forms: DataFrame, key: str, columns: list[str], where: str = "true") -> DataFrame:
-    """Distinct pairs of forms (by key, left < right) that share a block and meet the condition."""
-    spread = forms.select(key, *columns, F.explode("blocks").alias("block"))
-    right = spread.select("block", *[F.col(c).alias(f"{c}2") for c in (key, *columns)])
-    return spread.join(right.hint("merge"), "block").filter(F.col(key) < F.col(f"{key}2")).filter(where).drop("block").dropDuplicates([key, f"{key}2"])
-
-
-def organisations(persons: DataFrame) -> DataFrame:
-    """(affiliation, kind, org): each distinct affiliation text with its organisation."""
-    ship(persons.sparkSession)
-    texts = persons.filter("affiliation is not null and trim(affiliation) <> ''").select("affiliation").distinct()
-    read = texts.withColumn("o", F.pandas_udf(_read_organisations, _ORGANISATION)("affiliation")).select("affiliation", "o.*").filter("kind is not null")
-    read = read.withColumn("form", F.concat_ws("|", "kind", "place")).checkpoint()
-    forms = read.select("form", "kind", "place", "blocks").dropDuplicates(["form"])
-    pairs = _block_pairs(forms, "form", ["place"])
-    near = pairs.filter(F.pandas_udf(_alike_rows, "boolean")("place", "place2")).select(F.col("form").alias("u"), F.col("form2").alias("v"))
-    near = near.unionByName(forms.select(F.col("form").alias("u"), F.col("form").alias("v")))
-    labels = connected_components(near)
-    return read.join(labels.hint("merge"), F.col("form") == F.col("node")).select("affiliation", "kind", "place", F.col("label").alias("org"))
-
-
 def _pairs_within(members: DataFrame, group: str, key: str) -> DataFrame:
+    """The pairs that p3_found asks for; clusters() has the same links as one row per member."""
     other = members.select(group, F.col(key).alias("key_b"))
-    return members.select(group, F.col(key).alias("key_a")).join(other.hint("merge"), group).filter("key_a < key_b").select("key_a", "key_b").distinct()
-
-
-def affiliation_pairs(persons: DataFrame, orgs: DataFrame) -> DataFrame:
-    first = persons.filter("affiliation is not null").groupBy("affiliation").agg(F.min("person_id").alias("first_id"))
-    return _pairs_within(first.join(orgs.hint("merge"), "affiliation").select("org", "first_id"), "org", "first_id")
+    return members.select(group, F.col(key).alias("key_a")).join(other.hint("merge"), group).filter("key_a < key_b")
 
 
 def _node(prefix: str, *parts: Column) -> Column:
@@ -297,15 +180,20 @@ def people(persons: DataFrame, orgs: DataFrame) -> DataFrame:
     ship(persons.sparkSession)
     shared_mail = F.split_part(F.lower("email"), F.lit("@"), F.lit(1)).isin("data", "info", "contact", "office", "admin")
     rows = persons.filter("name is not null and trim(name) <> ''").dropDuplicates(["person_id"])
-    rows = rows.join(orgs.select("affiliation", F.substring_index("org", "|", -1).alias("work")).hint("merge"), "affiliation", "left")
+    rows = rows.join(orgs.select("affiliation", F.col("spot").alias("work")).hint("merge"), "affiliation", "left")
     rows = rows.withColumn("n", F.pandas_udf(_read_names, _NAME)("name")).select(
         "person_id", "orcid", "n.full", "n.initial", "n.name_key", "n.blocks", "work", F.when(~shared_mail, F.lower("email")).alias("mail"),
         F.regexp_extract(F.lower("email"), r"@([^.]+)", 1).alias("domain"),
     ).checkpoint()
-    forms = rows.filter(F.size("full") > 0).select("name_key", "full", "initial", "blocks").dropDuplicates(["name_key"])
-    # Blocks of a token with an initial are for pairs with a short name.
-    pairs = _block_pairs(forms, "name_key", ["full", "initial"], "left(block, 1) not in ('i', 'p', 's') or initial <> '' or initial2 <> ''")
-    pairs = pairs.filter(F.pandas_udf(_compatible_rows, "boolean")("full", "initial", "full2", "initial2"))
+    forms = rows.filter("size(full) > 0").groupBy("name_key").agg(F.first("full").alias("full"), F.first("initial").alias("initial"), F.first("blocks").alias("blocks"))
+    forms = forms.withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    keyed = forms.select("id", F.size("full").alias("n"), F.explode("blocks").alias("block"))
+    other = keyed.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "block")
+    # Keys of a token with an initial are shared by full names too; those meet by the keys of whole tokens.
+    met = keyed.join(other.hint("merge"), "block").filter("id < id2").select("id", "id2").distinct()
+    named = forms.select("id", "name_key", "full", "initial")
+    right = named.select(F.col("id").alias("id2"), F.col("name_key").alias("name_key2"), F.col("full").alias("full2"), F.col("initial").alias("initial2"))
+    pairs = met.join(named.hint("merge"), "id").join(right.hint("merge"), "id2").filter(F.pandas_udf(_compatible_rows, "boolean")("full", "initial", "full2", "initial2"))
     pairs = pairs.select("name_key", "name_key2", F.size("full").alias("a"), F.size("full2").alias("b")).checkpoint()
 
     # Full names that are one name up to slips and nicknames.
@@ -351,8 +239,17 @@ def people(persons: DataFrame, orgs: DataFrame) -> DataFrame:
     return labels.filter(F.col("node").startswith("p\u0001")).select(F.split_part("node", F.lit("\u0001"), F.lit(2)).cast("long").alias("person_id"), F.col("label").alias("person"))
 
 
+def clusters(persons: DataFrame) -> DataFrame:
+    """(field, key, cluster, members): each person row and affiliation spelling with the least key of its cluster and the cluster's size."""
+    orgs = organisations(persons).checkpoint()
+    members = people(persons, orgs).select(F.lit("name").alias("field"), F.col("person").alias("group"), F.col("person_id").alias("key"))
+    members = members.unionByName(orgs.select(F.lit("affiliation").alias("field"), F.col("org").alias("group"), F.col("first_id").alias("key"))).checkpoint()
+    sizes = members.groupBy("field", "group").agg(F.min("key").alias("cluster"), F.count(F.lit(1)).alias("members"))
+    return members.join(sizes, ["field", "group"]).select("field", "key", "cluster", "members")
+
+
 def found(persons: DataFrame) -> DataFrame:
     """(field, key_a, key_b), key_a < key_b."""
     orgs = organisations(persons).checkpoint()
     names = _pairs_within(people(persons, orgs), "person", "person_id").select(F.lit("name").alias("field"), "key_a", "key_b")
-    return names.unionByName(affiliation_pairs(persons, orgs).select(F.lit("affiliation").alias("field"), "key_a", "key_b"))
+    return names.unionByName(_pairs_within(orgs, "org", "first_id").select(F.lit("affiliation").alias("field"), "key_a", "key_b"))

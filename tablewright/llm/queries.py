@@ -16,6 +16,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.found(table(spark, sf, "persons"))
 
 
+def p3_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every person row and affiliation spelling with its class: the links of p3_found as membership."""
+    return names.clusters(table(spark, sf, "persons"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.found(table(spark, sf, "decoded_texts"))
 
@@ -39,5 +44,5 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "doc_ratings"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_restored": p5_restored, "p7_pack": p7_pack, "p8_found": p8_found, "p9_levels": p9_levels}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_restored": p5_restored, "p7_pack": p7_pack, "p8_found": p8_found, "p9_levels": p9_levels}
 ORACLE: dict[str, str] = {}
