@@ -6,7 +6,8 @@ module.
 
 People. Two spellings of a name are compatible if family and given names agree up to slips, nicknames or an initial.
 A block holds the codes of all tokens, or of all but one together with the beginning, the end or, in short tokens,
-what remains of that one without a letter; so one slip never hides a pair. Compatible rows are one person if they share
+what remains of that one without a letter, or the ends of two tokens; so one slip never hides a pair, nor one in each of
+two longer tokens. Compatible rows are one person if they share
 an ORCID, a personal mail address or a place of work (the proper name of the affiliation or the mail's domain). A full
 name that occurs under one ORCID at most is one person wherever it stands (people move); a full name under several
 ORCIDs, or an initial that fits several people, needs shared evidence.
@@ -119,7 +120,7 @@ def compatible(a: list[str], ai: str, b: list[str], bi: str) -> bool:
 
 
 def name_blocks(full: list[str], initial: str) -> list[str]:
-    """Keys of a name: of all tokens (f), of one token with a part of the other (b, e, d), of one with the other's initial (i)."""
+    """Keys of a name: of all tokens (f), of one with a part of the other (p), of parts of two (q), of one with the other's initial (i)."""
     if any(t in _FULL for t in full):
         plain = [t for t in full if t not in _FULL]
         readings = islice(product(*((t, *_FULL[t]) for t in full if t in _FULL)), MOST_READINGS)
@@ -139,9 +140,16 @@ def _blocks(full: list[str], initial: str) -> set[str]:
         if len(full) > 2:
             out.add(f"f|{rest}")
         out.update(f"i|{k}|{o[0]}" for n, o in enumerate(full) if n != i for k in _parts(t))
+        out.update(f"q|{k}|{m}" for o in full[i + 1 :] for k in _ends(t) for m in _ends(o))
     return out
 
 
+def _ends(token: str) -> tuple[str, str]:
+    """The beginning and the end of a token, of which one slip leaves one as it was."""
+    size = max(2, min(4, (len(token) + 1) // 2))
+    return f"<{token[:size]}", f">{token[-size:]}"
+
+
 def _parts(token: str) -> list[str]:
     """The code of a token, and parts of which two tokens one slip apart share one."""
     return [phonetic(token), *(lessened(token) if len(token) <= 7 else []), *([f"<{token[:4]}", f">{token[-4:]}"] if len(token) >= 7 else [])]
@@ -156,7 +164,8 @@ def _read_names(names: pd.Series) -> pd.DataFrame:
     rows = []
     for name in names:
         full, initial = name_tokens(name or "")
-        keys = [xxhash.xxh64_intdigest(k) - (1 << 63) for k in name_blocks(full, initial)]
+        # The last bit marks keys of a token with an initial.
+        keys = [((xxhash.xxh64_intdigest(k) >> 1 << 1) + k.startswith("i|")) - (1 << 63) for k in name_blocks(full, initial)]
         rows.append((full, initial, " ".join(full) + (f" {initial}." if initial else ""), keys))
     return pd.DataFrame(rows, columns=["full", "initial", "name_key", "blocks"])
 
@@ -189,8 +198,8 @@ def people(persons: DataFrame, orgs: DataFrame) -> DataFrame:
     forms = forms.withColumn("id", F.monotonically_increasing_id()).checkpoint()
     keyed = forms.select("id", F.size("full").alias("n"), F.explode("blocks").alias("block"))
     other = keyed.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "block")
-    # Keys of a token with an initial are shared by full names too; those meet by the keys of whole tokens.
-    met = keyed.join(other.hint("merge"), "block").filter("id < id2").select("id", "id2").distinct()
+    # A token with an initial is a key for pairs with a short name; two full names meet by the keys of whole tokens.
+    met = keyed.join(other.hint("merge"), "block").filter("id < id2 and (block % 2 = 0 or n = 1 or n2 = 1)").select("id", "id2").distinct()
     named = forms.select("id", "name_key", "full", "initial")
     right = named.select(F.col("id").alias("id2"), F.col("name_key").alias("name_key2"), F.col("full").alias("full2"), F.col("initial").alias("initial2"))
     pairs = met.join(named.hint("merge"), "id").join(right.hint("merge"), "id2").filter(F.pandas_udf(_compatible_rows, "boolean")("full", "initial", "full2", "initial2"))
