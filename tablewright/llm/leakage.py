@@ -2,15 +2,21 @@
 
 Every window of WINDOW words of a document and of the test items gets a 64-bit SimHash of its words, weighted by how
 rare they are among the items. A case holds at least MIN_WORDS words of an item in order with at least WINDOW of them
-in a row, however it is laid out, interrupted or altered elsewhere; so windows are as long as the shortest passage that
+in a row, however it is laid out, interrupted or altered elsewhere; so windows are as long as the shortest run that
 must be found, not as the whole item, which would miss passages quoted in part. Four blocks of 16 bits index the
-fingerprints of the items: two fingerprints within Hamming distance 3 agree in one block at least, so the index finds
-all of them. Windows with more than FOREIGN words that no item has are not hashed: none of them is part of a case.
-Candidates are then verified exactly: their WINDOW words must be equal, then words of document and item are
-aligned around the hit, and the words in shared shingles of SHINGLE words or more, in order, are counted and weighted.
+fingerprints of the items: two fingerprints within Hamming distance RADIUS agree in one block at least, so the index
+finds all of them. Windows with more than FOREIGN words that no item has are not hashed: none of them is part of a case.
 
-The items are the stated query set. They go to every task in blocks of ITEMS_PER_BLOCK; the documents are read once per
-block and never shuffled, so a source or a group of copies with a third of all rows is just rows.
+Every document and item that meet within the radius are then verified exactly, over the whole text: the document's
+shingles of SHINGLE words that the item has are joined to runs, and of these the chain that goes forward in both texts
+and weighs most is taken; runs of fewer than FAR words only count within reach of a run of WINDOW. What decides is the
+weight of the item's words in the chain, as a share of the item (``held``): it must reach the share of the item's
+lightest MIN_WORDS words, and the chain must have MIN_WORDS words with WINDOW in a row. It does not matter what lies
+between the runs.
+
+The items are the stated query set. Their index is built once, sent as arrays and kept by each worker; the documents are
+read once for every ITEMS_PER_BLOCK items and never shuffled, so a source or a group of copies with a third of all rows
+is just rows.
 
 Edge cases (tested): null or empty documents and items hold nothing; items shorter than MIN_WORDS cannot be held; texts
 of any length are read whole; a document with several items gives one row each; repeated rows give one row; an empty
@@ -22,7 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from heapq import heappop, heappush
 from math import log2
 
 import numpy as np
@@ -36,9 +42,11 @@ from tablewright.session import ship
 WINDOW = 8
 MIN_WORDS = 15
 SHINGLE = 3
+FAR = 5
+REACH = 40
 RADIUS = 3
 FOREIGN = 2
-ITEMS_PER_BLOCK = 20_000
+ITEMS_PER_BLOCK = 100_000
 CHUNK = 150_000
 MOST_FORMS_KEPT = 1_000_000
 FOREIGN_ROWS = 4096
@@ -133,10 +141,6 @@ class Index:
         prints = [fingerprints(n, self.vocabulary.rows) for n in self.numbers]
         self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
         self.owner = np.concatenate([np.full(len(p), i) for i, p in enumerate(prints)]) if prints else np.zeros(0, int)
-        begins = np.cumsum([0, *(len(n) for n in self.numbers)])
-        self.joined = np.concatenate([*self.numbers, np.zeros(0, np.int64)])
-        self.begin = np.concatenate([b + np.arange(len(p)) for b, p in zip(begins, prints)]) if prints else np.zeros(0, int)
-        self.place = np.concatenate([np.arange(len(p)) for p in prints]) if prints else np.zeros(0, int)
         self.blocks = []
         for b in range(RADIUS + 1):
             key = self._block(self.prints, b)
@@ -167,21 +171,68 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(left), np.concatenate(right)
 
-    def verify(self, text: np.ndarray, item: int, hits: list[tuple[int, int]]) -> float | None:
-        """The weighted share of the item that the text holds around a hit, or None if it is no case."""
-        own = self.numbers[item]
-        best, seen_to = None, -1
-        for at, place in sorted(hits):
-            if at < seen_to:
-                continue
-            low, high = max(0, at - 2 * place - 40), min(len(text), at + 2 * (len(own) - place) + 40)
-            blocks = [m for m in SequenceMatcher(None, own.tolist(), text[low:high].tolist(), autojunk=False).get_matching_blocks() if m.size >= SHINGLE]
-            if sum(m.size for m in blocks) >= MIN_WORDS and max(m.size for m in blocks) >= WINDOW:
-                weight = lambda ns: sum(self.weights[self.items[item][1][k]] for k in ns)
-                share = weight(k for m in blocks for k in range(m.a, m.a + m.size)) / weight(range(len(own)))
-                best = max(best or 0.0, share)
-                seen_to = high
-        return best
+    def runs(self, text: np.ndarray, item: int) -> list[tuple[int, int, int]]:
+        """(place in the text, place in the item, words) of the longest common runs of SHINGLE words or more."""
+        own = self.numbers[item].tolist()
+        at: dict[tuple, list[int]] = {}
+        for j in range(len(own) - SHINGLE + 1):
+            at.setdefault(tuple(own[j : j + SHINGLE]), []).append(j)
+        known = np.isin(text, self.numbers[item])
+        spots = np.flatnonzero(np.convolve(known, np.ones(SHINGLE, int), "valid") == SHINGLE) if len(text) >= SHINGLE else np.zeros(0, int)
+        words = text.tolist()
+        open_runs: dict[int, tuple[int, int]] = {}  # by diagonal: (first, last) place of its shingles
+        out = []
+        for i in spots.tolist():
+            for j in at.get(tuple(words[i : i + SHINGLE]), ()):
+                first, last = open_runs.get(i - j, (i, i - 1))
+                if last != i - 1:
+                    out.append((first, first - (i - j), last - first + SHINGLE))
+                    first = i
+                open_runs[i - j] = (first, i)
+        out += [(first, first - d, last - first + SHINGLE) for d, (first, last) in open_runs.items()]
+        return sorted(out)
+
+    def chain(self, runs: list[tuple[int, int, int]], item: int) -> list[tuple[int, int]]:
+        """The item's stretches (place, words) of the chain of runs that weighs most, forward in both texts."""
+        weights = [self.weights[w] for w in self.items[item][1]]
+        upto = np.concatenate([[0], np.cumsum(weights)]).tolist()
+        # best[j]: the heaviest chain whose last word is the item's word j - 1 or before, as (weight, last link).
+        ends: list[tuple[int, int, int, tuple]] = []  # (end in the text, end in the item, number, link)
+        best: list[tuple[int, tuple | None]] = [(0, None)] * (len(weights) + 1)
+        pushed = 0
+        for place, at, size in runs:
+            while ends and ends[0][0] <= place:  # runs that ended before this one begins may precede it
+                _, stop, _, link = heappop(ends)
+                for j in range(stop, len(best)):
+                    if best[j][0] >= link[0]:
+                        break
+                    best[j] = (link[0], link)
+            for cut in range(0, max(1, size - SHINGLE + 1)):  # a run may give up its beginning where it overlaps the chain
+                before = best[at + cut]
+                if cut == 0 or before[0] > best[at + cut - 1][0]:
+                    pushed += 1
+                    heappush(ends, (place + size, at + size, pushed, (before[0] + upto[at + size] - upto[at + cut], before[1], at + cut, size - cut)))
+        top = max((link for *_, link in ends), key=lambda k: k[0], default=None)
+        top = max((x for x in (top, best[-1][1]) if x is not None), key=lambda k: k[0], default=None)
+        out = []
+        while top is not None:
+            out.append((top[2], top[3]))
+            top = top[1]
+        return out[::-1]
+
+    def verify(self, text: np.ndarray, item: int) -> float | None:
+        """The weighted share of the item that the text holds, or None if it is no case."""
+        runs = self.runs(text, item)
+        size = len(self.numbers[item])
+        hits = [(place - 2 * at - REACH, place + 2 * (size - at) + REACH) for place, at, n in runs if n >= WINDOW]
+        if not hits:
+            return None
+        near = [r for r in runs if r[2] >= FAR or any(low <= r[0] and r[0] + r[2] <= high for low, high in hits)]
+        held = self.chain(near, item)
+        weights = np.array([self.weights[w] for w in self.items[item][1]])
+        share = sum(int(weights[at : at + n].sum()) for at, n in held) / int(weights.sum())
+        least = int(np.sort(weights)[:MIN_WORDS].sum()) / int(weights.sum())
+        return share if share >= least and sum(n for _, n in held) >= MIN_WORDS and max(n for _, n in held) >= WINDOW else None
 
 
 def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,16 +252,10 @@ def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             if len(places):
                 at, other = index.near(fingerprints(joined, vocabulary.rows, places))
                 at = places[at]
-                same = np.ones(len(at), bool)
-                for k in range(WINDOW):
-                    same &= joined[at + k] == index.joined[index.begin[other] + k]
-                at, other = at[same], other[same]
                 whole = document[at] == document[at + WINDOW - 1]
-                hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for a, o in zip(at[whole].tolist(), other[whole].tolist()):
-                    hits.setdefault((int(document[a]), int(index.owner[o])), []).append((a - int(starts[document[a]]), int(index.place[o])))
-                for (d, i), found in hits.items():
-                    share = index.verify(pending[d][1], i, found)
+                met = np.unique(np.stack([document[at[whole]], index.owner[other[whole]]], 1), axis=0)
+                for d, i in met.tolist():
+                    share = index.verify(pending[d][1], i)
                     if share is not None:
                         out.append((pending[d][0], index.items[i][0], share))
             pending.clear()
@@ -242,10 +287,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     for k in range(blocks):
         part = listed.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else listed
         own = [(r[0], ws) for r in part.collect() if len(ws := words(r[1])) >= MIN_WORDS]  # at most ITEMS_PER_BLOCK on average
-        shared = spark.sparkContext.broadcast(sorted(own))
+        shared = spark.sparkContext.broadcast(Index(sorted(own)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            return _scan(Index(shared.value), batches)
+            return _scan(shared.value, batches)
 
         found = rows.mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)
