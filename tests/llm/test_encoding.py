@@ -14,6 +14,35 @@ def _texts(n=250):
     return [f"{draw.choice(SENTENCES)} {draw.choice(SENTENCES)}" for _ in range(n)]
 
 
+def test_lossy_chains_are_named_but_not_undone():
+    model = E.train(_texts())
+    named = 0
+    for s in SENTENCES:
+        lost = E.garble(s, "cp1252>utf-8 lossy")
+        if lost and "\ufffd" in lost:
+            damaged, chain, restored = model.judge(f"{lost} {lost}")
+            assert damaged and restored is None
+            named += chain in E.LOSSY
+    assert named >= 6
+
+
+def test_many_texts_at_once_as_one_by_one(monkeypatch):
+    model = E.train(_texts())
+    texts = [E.garble(s, c) or s for s in SENTENCES for c in list(E.CHAINS)[:12]] + [None, "", "plain", "caf\ufffd", *SENTENCES]
+    alone = [model.judge(t) for t in texts]
+    for size in (1, 700, 10**6):
+        monkeypatch.setattr(E, "CHUNK", size)
+        assert model.judge_all(texts) == alone
+
+
+def test_training_takes_texts_of_any_length(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(E, "train", lambda texts: seen.extend(texts))
+    long = " ".join(SENTENCES[i % len(SENTENCES)] + f" № {i}." for i in range(3000))
+    E.fit(spark.createDataFrame([(1, long), (2, SENTENCES[0]), (3, "plain"), (4, None)], "decode_id long, text string"))
+    assert sorted(map(len, seen))[0] <= len(SENTENCES[0]) and len(seen) == 2 and len(E.sentences(max(seen, key=len))) <= E.TEXT_SENTENCES + 1
+
+
 def test_every_chain_inverts_exactly():
     for chain in E.CHAINS:
         for s in SENTENCES:
