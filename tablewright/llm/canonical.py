@@ -4,13 +4,14 @@ A prefix-filter set-similarity join. A value is stripped of decoration (numberin
 words), folded, and becomes the set of letter pairs of its words, so that the order of words does not matter. Tokens
 are ordered by how rare they are over all values and entries; for a similarity of at least ``threshold`` two sets must
 share one of their ``size - ceil(threshold * size) + 1`` rarest tokens, so only these prefixes are joined; length and
-position then bound the overlap and the remaining candidates get their exact Jaccard similarity. An exact check on
-words follows: every word of one side must be a word of the other up to slips of the keyboard or as a plain
-abbreviation. Of the accepted entries the most similar is kept, ties by the smaller term_id.
+position then bound the overlap and the remaining candidates get their exact Jaccard similarity, by which they are
+ranked. An exact check on words follows: every word of one side must be a word of the other up to slips of the keyboard
+or as a plain abbreviation. Of the entries that pass, the one of the highest Jaccard similarity is kept; slips per
+letter and then the smaller term_id only break ties. A value of two words may also be two wordings of one term.
 
 Values enter once per distinct text (pre-aggregated), however often they occur; results are joined back by text. The
-canonical list is small; its rows (terms, other wordings, abbreviations made by rule) are broadcast only if they are
-checked to be at most MOST_ENTRIES, and joined by token otherwise.
+index (the prefix tokens of terms, other wordings and abbreviations made by rule, with their token sets) is written
+before the join and broadcast only if its counted tokens are at most MOST_INDEX_TOKENS; otherwise it is joined by token.
 
 Edge cases (tested): null and blank values are not cases; a value without letters or digits matches nothing (-1); an
 empty list maps everything to -1; a value equal to a term as stored is no case; repeated rows give one result; a term
@@ -27,14 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import ship
+from tablewright.session import shared_dir, ship
 
 THRESHOLD = 0.3
-MOST_ENTRIES = 20_000
+#: Tokens of an index that may be broadcast, about 60 bytes each.
+MOST_INDEX_TOKENS = 500_000
 
-#: Words that only introduce a label, and remarks that may close one.
+#: Words that only introduce a label; any short remark in brackets and punctuation that close one.
 _LEAD = re.compile(r"^(?:the|a|an|data|dataset|project)\b[\s:.\-]+(?=\S)")
-_TAIL = re.compile(r"(?:\s*(?:[(\[](?:if any|optional|required|s|es|iso|utc|t/f|y/n|\d+|\d+ dec\.?|[a-z]{1,3})[)\]]|\*+\d*|:|\.|,|;))+\s*$")
+_TAIL = re.compile(r"(?:\s*(?:[(\[][^()\[\]]{1,20}[)\]]|\*+\d*|:|\.|,|;))+\s*$")
 _NUMBERING = re.compile(r"^\s*(?:section\s+\d+\s*[-:.]?|[(\[]?\d{1,3}[)\].:]|\d{1,3}\s+(?=\D)|[a-z]\d{1,2}[.):]?\s)\s*")
 
 
@@ -167,21 +169,25 @@ def abbreviations(words: str) -> list[str]:
     return sorted(w for w in out if len(w) >= 3)
 
 
+def _parts(text: str | None) -> list[dict]:
+    whole = readings(text or "")
+    out = [{"reading": w, "rank": i, "parts": 1, "tokens": pairs(w)} for i, w in enumerate(whole)]
+    for i, w in enumerate(whole):
+        if w.count(" ") == 1 and len(set(w.split())) == 2:
+            out += [{"reading": part, "rank": len(whole) + i, "parts": 2, "tokens": pairs(part)} for part in w.split()]
+    return out
+
+
 def _read_values(text: pd.Series) -> pd.Series:
-    return pd.Series([[{"reading": w, "rank": i, "tokens": pairs(w)} for i, w in enumerate(readings(t or ""))] for t in text])
+    return pd.Series([_parts(t) for t in text])
 
 
-_READING = "array<struct<reading:string,rank:int,tokens:array<string>>>"
+_READING = "array<struct<reading:string,rank:int,parts:int,tokens:array<string>>>"
 
 
 def _entry_forms(term: str | None, also: list[str] | None) -> list[tuple[str, bool]]:
     full = [_words(fold(t)) for t in [term, *(list(also) if also is not None else [])] if t]
     forms = {w: False for w in full if w}
-    single = [w for w in dict.fromkeys(full) if w and " " not in w]
-    for a in single:
-        for b in single:
-            if a != b:
-                forms.setdefault(f"{a} {b}", False)
     for w in full:
         if w.endswith("s") and len(w) > 4:
             forms.setdefault(w[:-1], False)
@@ -232,22 +238,27 @@ def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHO
     left = _ordered(forms, order, ["domain", "reading"], threshold)
     right = _ordered(entries, order, ["term_id", "domain", "entry", "short"], threshold)
     probe = left.select("domain", "reading", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("i", "token"))
+    shared_dir(values.sparkSession)
     index = right.select(
         "term_id", "domain", "entry", "short", F.col("tokens").alias("entry_tokens"), F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("j", "token")
-    )
-    index = F.broadcast(index) if listed.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES else index
+    ).checkpoint()
+    held = index.agg(F.coalesce(F.sum(F.size("entry_tokens")), F.lit(0))).first()[0]
+    index = F.broadcast(index) if held <= MOST_INDEX_TOKENS else index.hint("merge")
     a, b = F.size("tokens"), F.size("entry_tokens")
     need = F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
     met = probe.join(index, ["domain", "token"]).filter((a >= threshold * b) & (b >= threshold * a))
     met = met.filter(F.least(a - F.col("i"), b - F.col("j")) >= need)  # the first shared token stands at places i and j
-    pairs_met = met.dropDuplicates(["domain", "reading", "term_id", "entry"])
     both = F.size(F.array_intersect("tokens", "entry_tokens"))
-    scored = pairs_met.withColumn("jaccard", both / (a + b - both)).filter(F.col("jaccard") >= threshold)
+    scored = met.withColumn("jaccard", both / (a + b - both)).filter(F.col("jaccard") >= threshold)
+    scored = scored.groupBy("domain", "reading", "term_id", "entry").agg(F.max("jaccard").alias("jaccard"), F.min("short").alias("short"))
+    scored = scored.repartition("reading", "entry")  # the check on words is spread evenly
     distance = F.pandas_udf(_verify, "double")("reading", "entry", "short")
     accepted = scored.withColumn("distance", distance).filter("distance is not null")
-    per_reading = accepted.groupBy("domain", "reading").agg(F.min(F.struct("distance", (-F.col("jaccard")).alias("less"), "term_id")).alias("best"))
-    best = read.select("domain", "value", "reading", "rank").join(per_reading, ["domain", "reading"])
-    best = best.groupBy("domain", "value").agg(F.min(F.struct("best.distance", "rank", "best.less", "best.term_id"))["term_id"].alias("term_id"))
+    per_reading = accepted.groupBy("domain", "reading").agg(F.min(F.struct((-F.col("jaccard")).alias("less"), "distance", "term_id")).alias("best"))
+    best = read.select("domain", "value", "reading", "rank", "parts").join(per_reading, ["domain", "reading"])
+    # The parts of a value must mean one term.
+    best = best.groupBy("domain", "value", "rank", "best.term_id").agg(F.count(F.lit(1)).alias("met"), F.first("parts").alias("parts"), F.avg("best.less").alias("less"), F.sum("best.distance").alias("distance")).filter("met = parts")
+    best = best.groupBy("domain", "value").agg(F.min(F.struct("less", "rank", "distance", "term_id"))["term_id"].alias("term_id"))
     return distinct.join(best, ["domain", "value"], "left").select("domain", "value", F.coalesce("term_id", F.lit(-1)).alias("term_id"))
 
 

@@ -34,7 +34,7 @@ def test_the_join_finds_all_pairs_of_the_threshold(spark):
                     j = len(p & q) / len(p | q)
                     w = (0.05 if reading == entry else None) if short else C.word_distance(reading, entry)
                     if j >= C.THRESHOLD and w is not None:
-                        best.append((w, rank, -j, i))
+                        best.append((-j, rank, w, i))
         assert got[v] == (min(best)[3] if best else -1)
 
 
