@@ -35,6 +35,12 @@ def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), table(spark, sf, "pack_limits"))
 
 
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Every container's distance from the target mixture, beside the least that so many whole items allow."""
+    limits, sizes = table(spark, sf, "pack_limits"), packing.measured(table(spark, sf, "documents"))
+    return packing.mixture(packing.pack_sizes(sizes, limits), packing.target_shares(sizes), limits)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.found(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -44,5 +50,5 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "doc_ratings"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_restored": p5_restored, "p7_pack": p7_pack, "p8_found": p8_found, "p9_levels": p9_levels}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_restored": p5_restored, "p7_pack": p7_pack, "p7_mixture": p7_mixture, "p8_found": p8_found, "p9_levels": p9_levels}
 ORACLE: dict[str, str] = {}
