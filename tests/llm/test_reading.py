@@ -5,16 +5,33 @@ import pytest
 from tablewright.llm import reading as R
 
 
-def test_coverage_rank():
-    assert R.coverage_rank([1, 1, 1, 1, 9], 0.8) == 1
-    assert R.coverage_rank([1, 1, 1, 1, 9], 0.9) == 9
-    assert R.coverage_rank([4], 0.5) == 4
+def test_coverage_place():
+    at = lambda ranks, share: sorted(ranks)[R.coverage_place(len(ranks), share)]
+    assert at([1, 1, 1, 1, 9], 0.8) == 1
+    assert at([1, 1, 1, 1, 9], 0.9) == 9
+    assert at([4], 0.5) == 4
 
 
 def test_ranks_count_all_documents(spark):
-    docs = spark.createDataFrame([(i, "en-US", "the the plot") for i in range(5)] + [(9, None, "le le la les des parcelles"), (10, "en", None)], "doc_id long, lang string, text string")
-    got = {(r.lang, r.word): r["rank"] for r in R.word_ranks(docs).collect()}
-    assert got[("en", "the")] == 1 and got[("en", "plot")] == 2 and got[("fr", "le")] == 1
+    docs = spark.createDataFrame([(i, "en-US", "the the plot") for i in range(5)] + [(9, None, "le le la les des parcelles"), (10, "en", None), (11, "EN", "rare odd")], "doc_id long, lang string, text string")
+    got = {(r.lang, r.word): r["rank"] for r in R.word_ranks(R.word_counts(docs)).collect()}
+    assert got[("en", "the")] == 1 and got[("en", "plot")] == 2 and got[("en", "rare")] == got[("en", "odd")] == 4 and got[("fr", "le")] == 1
+
+
+@pytest.mark.parametrize("sent", [0, 1, 5, 40, 10**6])
+def test_the_number_of_words_sent_changes_nothing(spark, sent):
+    """Any rank, in any of many languages, against brute force."""
+    draw = random.Random(4)
+    rows = [(i, f"x{chr(97 + i % 26)}", " ".join(f"w{'abcdefgh'[min(7, int(draw.expovariate(0.5)))]}{'abcdefghij'[draw.randrange(1 + i % 10)]}" for _ in range(draw.randrange(1, 80)))) for i in range(150)]
+    counts: dict = {}
+    for _, lang, text in rows:
+        for w in text.split():
+            counts[lang, w] = counts.get((lang, w), 0) + 1
+    rank = {(lang, w): sum(1 for (o, _), m in counts.items() if o == lang and m >= n) for (lang, w), n in counts.items()}
+    got = {r.doc_id: r for r in R.features(spark.createDataFrame(rows, "doc_id long, lang string, text string"), sent).collect()}
+    for i, lang, text in rows:
+        ranks = sorted(rank[lang, w] for w in text.split())
+        assert [got[i][f"rank_{round(100 * s)}"] for s in R.SHARES] == [ranks[R.coverage_place(len(ranks), s)] for s in R.SHARES]
 
 
 def test_levels_follow_ratings(spark):
@@ -34,3 +51,5 @@ def test_levels_follow_ratings(spark):
     assert all(got[i] == pytest.approx(5 if i % 2 else 1, abs=0.8) for i in range(60, 120))
     assert {r.level for r in R.reading_levels(docs, rated.limit(0)).collect()} == {None}
     assert R.reading_levels(docs.limit(0), rated).collect() == []
+    parts = {r.features: r for r in R.ablation(docs, rated).collect()}
+    assert parts["coverage+sentence+letters"].documents == 60 and parts["coverage"].correlation > 0.9
