@@ -1,18 +1,28 @@
 """Quantities recorded in different units, brought to the common unit of each quantity (problem 2).
 
-An automaton over all unit aliases finds every alias in a text in one pass; of overlapping finds the longest wins.
-Where it stands decides whether it names the unit of the values: a field that is meant for a unit must be covered by
-the alias; in names and descriptions the alias must close the text and follow a cue (a bracket, comma, colon, the
-words in/are/unit, or the joint of a name), and a number before it ("a 50 m line") or a quantity that its field rules
-out makes it something else. The fields are asked in order: unit, header_unit, the definition's unit, original_name,
-name, description; the first that states a unit decides. Conversion factors are joined from unit_list (broadcast: the
-list is checked to hold at most MOST_UNITS rows, beyond that it is joined by key).
-
-The alias table is built by rule from unit names, SI prefixes and spellings.
+An automaton over all unit aliases finds every alias in a text in one pass; of overlapping finds the longest wins. It
+reads all six fields; what stands around a find decides whether it is the unit of the values:
+
+* a field that is meant for a unit (unit, header_unit, the definition's unit) must hold nothing else than the alias,
+  brackets, stops and cue words (in, unit), or go on with ``per`` and a noun or with a preposition (kg per animal);
+* in names and descriptions the alias must follow a cue (a bracket, comma, colon, the words in/are/as/unit, or the joint
+  of a name) and close the text, or follow a cue word and go on with a preposition (depth in m below surface);
+* a number right before the alias makes it an amount (a 50 m line, visits of 10 min), not the unit of the values, in
+  every field; only the number one is nothing (1 kg);
+* a single letter or a unit of another quantity than the word before it names, without a cue, is part of the name.
+
+The fields are asked in order: unit, header_unit, the definition's unit, original_name, name, description; the first that
+states a unit decides. Conversion factors are joined from unit_list (broadcast: the list is checked to hold at most
+MOST_UNITS rows, beyond that it is joined by key).
+
+The alias table is built by rule from unit names, SI prefixes and spellings, with every quotient of base units; units
+that unit_list lacks (W/m2, kWh, mol/L) are recognised under a made code, so that they state something, but are not
+converted. A unit field of five letters or more may be one insertion, deletion or exchange of a letter away from a
+single alias; a swap of neighbours is two exchanges and states nothing, nor does a slip in names or descriptions.
 
 Edge cases (tested): nulls, blanks, placeholders, percentages and words for no unit state nothing and the next field is
-asked; unknown unit texts of five letters or more may be one slip away from a single alias; repeated rows count once;
-a null def_id joins nothing and does not gather in one partition; empty tables give no rows; extra columns are ignored.
+asked; repeated rows count once; a null def_id joins nothing and does not gather in one partition; empty tables give no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,14 +73,35 @@ def alias_table() -> dict[str, str]:
     heads = ["ind", "inds", "individual", "individuals"]
     table["each"] = [*heads, *(f"{n} {h}" for n in ("n", "no of", "number of") for h in heads), "each", "head", "count"]
     table["kilo_each"] = ["kilo each", "thousand", "thousands", "x1000", "'000", "10^3", *(f"{n} {h}" for n in ("thousand", "thousands", "thousands of", "x1000", "x 1000", "'000", "10^3", "1000") for h in heads)]
-    return {alias: code for code, aliases in table.items() for alias in aliases}
+    own = {alias: code for code, aliases in table.items() for alias in aliases}
+    return {alias: code for code, aliases in _quotients(table).items() for alias in aliases} | own
+
+
+def _quotients(table: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Units beyond the list: watts, watt hours, moles and the quotients of base units, under codes such as w_per_m2."""
+    more = {
+        "w": _si("", "w", ["watt"]), "kw": _si("k", "w", ["watt"]), "wh": ["wh", "watt hour", "watt hours"], "kwh": ["kwh", "kw h", "kilowatt hour", "kilowatt hours"],
+        "mol": ["mol", "mols", "mole", "moles"], "mmol": ["mmol", "millimole", "millimoles"], "umol": ["umol", "micromole", "micromoles"], "v": ["volt", "volts"], "hz": ["hz", "hertz"], "ppm": ["ppm"], "ppb": ["ppb"],
+    }
+    symbols = {**{c: a for c, a in table.items() if c in _BASE}, **more}
+    out = {c: a for c, a in more.items()}
+    for top, tops in symbols.items():
+        for bottom in _BELOW:
+            if top != bottom:
+                symbol, words = tops[0], [w for w in table[bottom] if len(w) > 3 and w.isalpha()][:4]
+                low = table[bottom][0].rstrip("23")
+                power = table[bottom][0][len(low) :]
+                out[f"{top}_per_{bottom}"] = [f"{symbol}{join}{table[bottom][0]}" for join in ("/", " / ", " per ")] + [f"{symbol}{gap}{low}-{power or 1}" for gap in (" ", ".", "")] + [f"{t} per {w}" for t in tops if t.isalpha() for w in words]
+    return out
+
 
+_BASE = ("g", "kg", "mg", "ug", "m", "cm", "mm", "km", "l", "ml", "kj", "joule", "mj", "each")
+_BELOW = ("m2", "m3", "cm2", "ha", "l", "ml", "g", "kg", "s", "min", "h", "day", "m", "km", "kelvin")
 
 #: The quantity that words in a name or description point to.
 _HINTS = {
-    "mass": "mass weight wt weighs", "length": "length len height depth dist distance span width", "temperature": "temp temperature", "volume": "vol volume milk poured",
-    "concentration": "nitrate phosphate chloride carbon dissolved filtrate", "duration": "time duration long bout spent", "area": "area canopy range plot surface extent",
-    "pressure": "press pressure baro", "energy": "energy heat", "speed": "speed wind flow", "headcount": "flock larvae fish animals",
+    "mass": "mass weight wt weighs", "length": "length len height depth dist distance span width diameter thickness", "temperature": "temp temperature", "volume": "vol volume", "concentration": "conc concentration dissolved",
+    "duration": "time duration long", "area": "area surface extent", "pressure": "press pressure", "energy": "energy heat", "speed": "speed velocity wind flow", "headcount": "number count animals",
 }
 _HINT_OF = {word: quantity for quantity, words in _HINTS.items() for word in words.split()}
 _QUANTITY_OF_CODE = {
@@ -80,7 +111,11 @@ _QUANTITY_OF_CODE = {
 
 _SUPERSCRIPTS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻−–µμ·", "0123456789---uu ")
 _SURE = re.compile(r"(?:[(\[,;:_]|\b(?:in|are|unit|units|as))\s*$")
+_CUE_WORD = re.compile(r"\b(?:in|are|as|units?)[\s:]*$")
 _NUMBER_BEFORE = re.compile(r"[0-9]\s*$")
+_ONE_BEFORE = re.compile(r"(?:^|[^0-9.,])1\s*$")
+_GOES_ON = re.compile(r"[\s)\]]*(?:per\s+[^\W\d_]{3,}|(?:above|below|from|of|at|on|under|over|for|since|after|before|between)\b)")
+_FILLING = re.compile(r"(?:[\s()\[\]{}.,:;*]|\b(?:in|units?)\b)*")
 
 
 def fold(text: str) -> str:
@@ -102,16 +137,27 @@ def _automaton():
 
 @lru_cache(maxsize=1)
 def _slips() -> dict[str, set[str]]:
-    """Each alias of five letters or more by its texts with one letter left out."""
+    """Aliases of five letters or more by their texts with one letter left out."""
     out: dict[str, set[str]] = {}
-    for alias, code in alias_table().items():
+    for alias in alias_table_cached():
         if len(alias) >= 5 and alias.isalpha():
-            for i in range(len(alias)):
-                out.setdefault(alias[:i] + alias[i + 1 :], set()).add(code)
-            out.setdefault(alias, set()).add(code)
+            for part in _lessened(alias):
+                out.setdefault(part, set()).add(alias)
     return out
 
 
+def _lessened(word: str) -> list[str]:
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
+def one_off(a: str, b: str) -> bool:
+    """Whether one letter inserted, left out or exchanged turns one word into the other."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+
+
 def find_aliases(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, unit_code) of aliases in a folded text that stand as words, leftmost and longest first."""
     edge = lambda c: not c.isalnum()
@@ -134,14 +180,15 @@ def stated_unit(text: str | None) -> str | None:
     if text is None:
         return None
     folded = fold(text)
-    while len(folded) > 1 and folded[0] + folded[-1] in ("()", "[]", "{}"):
-        folded = folded[1:-1].strip()
-    table = alias_table_cached()
-    for form in (folded, folded.rstrip(". "), folded.strip(" .,:;*")):
-        if form in table:
-            return table[form]
-    if len(folded) >= 5 and folded.isalpha():
-        near = set().union(*(_slips().get(f, set()) for f in [folded, *(folded[:i] + folded[i + 1 :] for i in range(len(folded)))]))
+    for begin, end, code in find_aliases(folded):
+        before, after = folded[:begin], folded[end:]
+        if _ONE_BEFORE.search(before):
+            before = before.rstrip()[:-1]
+        if _FILLING.fullmatch(before) and (_FILLING.fullmatch(after) or _GOES_ON.match(after)):
+            return code
+    body = folded.strip("()[]{} .,:;*")
+    if len(body) >= 5 and body.isalpha():
+        near = {alias_table_cached()[alias] for part in _lessened(body) for alias in _slips().get(part, ()) if one_off(body, alias)}
         if len(near) == 1:
             return near.pop()
     return None
@@ -162,9 +209,10 @@ def unit_in_text(text: str | None, name: bool) -> str | None:
     if body.endswith("(us") or re.search(r"\(us\)[)\]]$", folded):
         body = body if body.endswith("(us)") else body + ")"
     spaced = re.sub(r"_+", lambda m: "_" * len(m[0]), body)
-    finds = [h for h in find_aliases(spaced.replace("_", " ")) if h[1] >= len(spaced)]
-    for begin, _, code in finds:
+    for begin, end, code in find_aliases(spaced.replace("_", " ")):
         before = spaced[:begin]
+        if end < len(spaced) and not (_CUE_WORD.search(before) and _GOES_ON.match(spaced[end:])):
+            continue
         if _NUMBER_BEFORE.search(before) and not before.rstrip().endswith(("_",)):
             continue
         joint = name and before.endswith(("_", " ")) and before.strip(" _")

@@ -19,7 +19,7 @@ def test_stated_units(text, code):
     [
         ("Score given after 10 min of watching", False, None), ("Visits seen along a 50 m line", False, None), ("Energy taken in", False, None), ("Energy taken in, in kilojoule", False, "kj"), ("Soil depth; unit: cm", False, "cm"),
         ("Size (given in sq m)", False, "m2"), ("Wind at the mast. Values are km/h", False, "km_per_h"), ("Wing Span2, micrometre", True, "um"), ("heat_out_kj", True, "kj"), ("air_temp_a", True, None), ("n_leaves_1", True, None),
-        ("WATER_USED_1, l", True, "l"), ("Canopy [ha]", True, "ha"), (None, True, None),
+        ("WATER_USED_1, l", True, "l"), ("Canopy [ha]", True, "ha"), (None, True, None), ("Depth in m below surface", False, "m"), ("Time in min of the second test", False, "min"), ("Taken in 5 min of watching", False, None), ("Heat in kWh", False, "kwh"), ("Weight of 12 kg animals", False, None), ("Plants in m2 plots", False, None),
     ],
 )
 def test_units_in_texts(text, name, code):
