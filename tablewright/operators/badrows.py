@@ -1,21 +1,27 @@
 """Rows that fail to parse, apart from those that load (problem 4).
 
-A record is parsed by minimum-cost error parsing: a dynamic program walks the characters of the record through the
-states of a delimited-text reader (start of a field, inside an unquoted field, inside quotes, after a quote that
-closes) and may, at cost 1 each, insert or delete a quote or a delimiter. Cost 0 with the expected number of fields
-means the record is well formed; its fields are then held against their types. Otherwise the edits state the reason:
+A record is parsed by minimum-cost error parsing: the states of a delimited-text reader (start of a field, inside an
+unquoted field, inside quotes, after a quote that closes) are walked through the record, and a quote or a delimiter may
+be inserted or deleted at cost 1 each. A path of cost 0 is an ordinary parse; records that have one with the expected
+number of fields are well formed, and their fields are held against their types. For all others the edits of the
+cheapest path state the reason:
 
-* ``quoting``      no cost-0 parse exists whatever the number of fields: a quote must be inserted or deleted;
-* ``field_count``  a cost-0 parse exists, but reaching field_count fields needs delimiters inserted or deleted;
-* ``value``        the parse costs nothing, but a field does not fit its type.
+* ``quoting``      the cheapest path to any number of fields holds edits: a quote or delimiter is amiss;
+* ``field_count``  that path is free, but the cheapest one to field_count fields inserts or deletes delimiters;
+* ``value``        the record parses, but a field does not fit its type.
 
-Layout. Dialect and column rules of a dataset travel as one text per dataset, joined to its lines by key; records are
-then independent, so a dataset with a third of all lines is split freely (adaptive skew join, no grouping by dataset).
+The search goes by cost: from all places reached at one cost the free steps are followed, then single edits lead to the
+next cost. It visits as many states as the record is long, times the cost, whatever its length, so there is no bound on
+records. Runs of ordinary characters are one step. Without any quote in the record the edits are known at once.
+
+Layout. The lines of a dataset are exchanged once in chunks of CHUNK line numbers, without their dialect; the dialect and
+column rules of a dataset travel as one text per chunk and meet the lines there. A dataset with a third of all lines is
+many chunks.
 
 Edge cases (tested): a null or blank record is no record; lines up to header_row are not records; a null delimiter
 makes the whole record one field; the word ``tab`` is the tabulator; a null quote_char makes quotes ordinary; a null
 field_count is not checked; a column without a rule accepts anything; repeated lines count once; a dataset without
-structure row is left out; very long records keep a linear path unless they are malformed.
+structure row is left out; records of any length are parsed whole and get their edits.
 """
 
 from __future__ import annotations
@@ -35,9 +41,8 @@ from tablewright.session import ship
 
 #: States of the reader.
 START, PLAIN, QUOTED, CLOSED = range(4)
-#: Edit repair of the dynamic program is reported for records up to this many characters; beyond, the cost alone
-#: decides (the reason needs no repair).
-REPAIR_CHARS = 4000
+#: Line numbers in a chunk.
+CHUNK = 500
 
 _INTEGER = re.compile(r"[+-]?[0-9]+")
 _NUMBER = re.compile(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?")
@@ -70,59 +75,68 @@ def read_fields(record: str, delimiter: str | None, quote: str | None) -> list[s
             return fields
 
 
+def _marks(record: str, delimiter: str | None, quote: str | None) -> list[tuple[str, int]]:
+    """The record as (kind, place): ``d`` a delimiter, ``q`` a quote, ``x`` a run of anything else."""
+    out: list[tuple[str, int]] = []
+    for place, char in enumerate(record):
+        kind = "d" if char == delimiter else "q" if quote is not None and char == quote else "x"
+        if kind != "x" or not out or out[-1][0] != "x":
+            out.append((kind, place))
+    return out
+
+
+#: The reader: what each mark makes of each state; None where no free step exists.
+_STEP = {"d": (START, START, QUOTED, START), "q": (QUOTED, PLAIN, CLOSED, QUOTED), "x": (PLAIN, PLAIN, QUOTED, None)}
+
+
 def least_edits(record: str, delimiter: str | None, quote: str | None, width: int | None) -> tuple[int, list[tuple[str, int]]]:
     """The least number of quotes and delimiters to insert or delete so that the record has ``width`` fields.
 
     Returns the cost and the edits as (kind, place in the record); width None accepts any number of fields.
-    The table has len(record) x states x width entries, each from at most three predecessors.
     """
-    limit = width if width is not None else 1
-    count = lambda k: min(k + 1, limit) if width is None else k + 1
-    best: dict[tuple[int, int], tuple[int, tuple]] = {(START, 1): (0, ())}
-
-    def relax(table: dict, key: tuple[int, int], cost: int, path: tuple) -> None:
-        if (width is None or key[1] <= width) and (key not in table or cost < table[key][0]):
-            table[key] = (cost, path)
-
-    def insertions(table: dict, place: int) -> None:
-        for _ in range(2):
-            for (state, k), (cost, path) in list(table.items()):
-                if delimiter and state != QUOTED:
-                    relax(table, (START, count(k)), cost + 1, (path, ("insert delimiter", place)))
-                if quote is not None:
-                    if state == START:
-                        relax(table, (QUOTED, k), cost + 1, (path, ("insert quote", place)))
-                    elif state == QUOTED:
-                        relax(table, (CLOSED, k), cost + 1, (path, ("insert quote", place)))
-                    elif state == CLOSED:
-                        relax(table, (QUOTED, k), cost + 1, (path, ("insert quote", place)))
-
-    for place, char in enumerate(record):
-        insertions(best, place)
-        after: dict[tuple[int, int], tuple[int, tuple]] = {}
-        for (state, k), (cost, path) in best.items():
-            if char == delimiter:
-                relax(after, (state, k), cost + 1, (path, ("delete delimiter", place)))
-                if state == QUOTED:
-                    relax(after, (QUOTED, k), cost, path)
-                else:
-                    relax(after, (START, count(k)), cost, path)
-            elif quote is not None and char == quote:
-                relax(after, (state, k), cost + 1, (path, ("delete quote", place)))
-                relax(after, ({START: QUOTED, PLAIN: PLAIN, QUOTED: CLOSED, CLOSED: QUOTED}[state], k), cost, path)
-            elif state == QUOTED:
-                relax(after, (QUOTED, k), cost, path)
-            elif state != CLOSED:
-                relax(after, (PLAIN, k), cost, path)
-        best = after
-    insertions(best, len(record))
-    ends = [v for (state, k), v in best.items() if state != QUOTED and (width is None or k == width)]
-    cost, path = min(ends, key=lambda v: v[0])
-    edits: list[tuple[str, int]] = []
-    while path:
-        path, edit = path
-        edits.append(edit)
-    return cost, edits[::-1]
+    if width is not None and (quote is None or quote not in record):
+        places = [i for i, c in enumerate(record) if c == delimiter] if delimiter else []
+        surplus = len(places) + 1 - width
+        if surplus >= 0:
+            return surplus, [("delete delimiter", p) for p in places[len(places) - surplus :]]
+        if delimiter:
+            return -surplus, [("insert delimiter", len(record))] * -surplus
+    marks = _marks(record, delimiter, quote)
+    size = len(marks)
+    here = [place for _, place in marks] + [len(record)]
+    # A node is (mark, state, fields); fields stay 0 where any number will do.
+    count = 0 if width is None else 1
+    seen: dict[tuple[int, int, int], tuple | None] = {}
+    front: list[tuple[tuple[int, int, int], tuple | None]] = [((0, START, count), None)]
+    cost = 0
+    while front:
+        edge: list[tuple[tuple[int, int, int], tuple | None]] = []
+        for node, path in front:
+            while node not in seen:
+                seen[node] = path
+                at, state, fields = node
+                more = fields + 1 if width is not None else 0
+                if at == size and state != QUOTED and (width is None or fields == width):
+                    edits = []
+                    while path is not None:
+                        path, edit = path
+                        edits.append(edit)
+                    return cost, edits[::-1]
+                if delimiter and state != QUOTED and (width is None or more <= width):
+                    edge.append(((at, START, more), (path, ("insert delimiter", here[at]))))
+                if quote is not None and state != PLAIN:
+                    edge.append(((at, CLOSED if state == QUOTED else QUOTED, fields), (path, ("insert quote", here[at]))))
+                if at == size:
+                    break
+                kind = marks[at][0]
+                if kind != "x":
+                    edge.append(((at + 1, state, fields), (path, ("delete delimiter" if kind == "d" else "delete quote", here[at]))))
+                after = _STEP[kind][state]
+                if after is None or (kind == "d" and state != QUOTED and width is not None and more > width):
+                    break
+                node = (at + 1, after, more if kind == "d" and state != QUOTED else fields)
+        front, cost = edge, cost + 1
+    return -1, []  # no delimiter to reach the width with
 
 
 @lru_cache(maxsize=1024)
@@ -177,12 +191,13 @@ class Spec:
 
     def judge(self, record: str) -> tuple[str | None, int, str | None, list[str] | None]:
         """(reason, cost, edits or offending field, fields)."""
-        fields = read_fields(record, self.delimiter, self.quote)
+        fields = read_fields(record, self.delimiter, self.quote)  # the path of cost 0, if there is one
         if fields is None or (self.width is not None and len(fields) != self.width):
-            reason = "quoting" if fields is None else "field_count"
-            if len(record) > REPAIR_CHARS:
-                return reason, -1, None, None
-            cost, edits = least_edits(record, self.delimiter, self.quote, None if fields is None else self.width)
+            reason = "quoting"
+            cost, edits = least_edits(record, self.delimiter, self.quote, None) if self.quote is not None else (0, [])
+            if not edits:
+                reason = "field_count"
+                cost, edits = least_edits(record, self.delimiter, self.quote, self.width)
             return reason, cost, "; ".join(f"{kind} at {place}" for kind, place in edits), None
         for pos, field in enumerate(fields, 1):
             value = field.strip(" ")
@@ -208,25 +223,30 @@ _SCHEMA = "dataset_id long, line_no long, reason string, cost int, detail string
 
 
 def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spec_of = lru_cache(maxsize=65536)(Spec)
     types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
     for batch in batches:
         out: list[list] = [[] for _ in types]
-        for dataset_id, line_no, record, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            spec = spec_of(text)
-            if line_no > spec.header_row:
-                for column, value in zip(out, (dataset_id, line_no, *spec.judge(record))):
-                    column.append(value)
+        for dataset_id, numbers, records, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            spec = Spec(text)
+            for line_no, record in zip(numbers, records):
+                if line_no > spec.header_row:
+                    for column, value in zip(out, (dataset_id, line_no, *spec.judge(record))):
+                        column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["dataset_id", "line_no", "reason", "cost", "detail", "fields"])
 
 
 def judged_rows(raw_rows: DataFrame, structures: DataFrame, variables: DataFrame) -> DataFrame:
     """Every record with its reason (null if it loads), edit cost, edits and fields."""
     ship(raw_rows.sparkSession)
-    blank = F.coalesce(F.regexp_replace("raw_line", r"[\s ]+", ""), F.lit("")) == ""
-    lines = raw_rows.select(F.col("dataset_id").cast("long"), F.col("line_no").cast("long"), "raw_line")
-    lines = lines.filter(~blank & F.col("line_no").isNotNull()).dropDuplicates(["dataset_id", "line_no", "raw_line"])
-    return lines.join(dataset_specs(structures, variables), "dataset_id").select("dataset_id", "line_no", "raw_line", "spec").mapInArrow(_judge_batches, _SCHEMA)
+    blank = F.coalesce(F.regexp_replace("raw_line", r"[\s ]+", ""), F.lit("")) == ""
+    numbered = raw_rows.select(F.col("dataset_id").cast("long").alias("dataset_id"), F.col("line_no").cast("long").alias("line_no"), "raw_line").filter("line_no is not null")
+    chunk = F.floor(F.col("line_no") / CHUNK).alias("chunk")
+    # A chunk has at most CHUNK different lines; repeated deliveries fall together.
+    chunks = numbered.filter(~blank).groupBy("dataset_id", chunk).agg(F.collect_set(F.struct("line_no", "raw_line")).alias("lines"))
+    parts = numbered.select("dataset_id", chunk).distinct()
+    specs = parts.join(dataset_specs(structures, variables), "dataset_id")
+    lines = chunks.join(specs.hint("merge"), ["dataset_id", "chunk"])
+    return lines.select("dataset_id", "lines.line_no", "lines.raw_line", "spec").mapInArrow(_judge_batches, _SCHEMA)
 
 
 def failed_rows(raw_rows: DataFrame, structures: DataFrame, variables: DataFrame) -> DataFrame:

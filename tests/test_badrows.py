@@ -44,6 +44,45 @@ def test_edits_lead_to_a_sound_record():
         assert fields is not None and len(fields) == 3 and len(edits) == cost, (record, edits)
 
 
+def brute_force(record, delimiter, quote, width):
+    """The least cost by trying all edits, cheapest first."""
+    from itertools import count
+
+    level, seen = {record}, {record}
+    for cost in count():
+        for text in level:
+            fields = B.read_fields(text, delimiter, quote)
+            if fields is not None and width in (None, len(fields)):
+                return cost
+        near = {text[:i] + text[i + 1 :] for text in level for i, c in enumerate(text) if c in (delimiter, quote)}
+        near |= {text[:i] + c + text[i:] for text in level for i in range(len(text) + 1) for c in (delimiter, quote) if c}
+        level = near - seen
+        seen |= near
+
+
+@pytest.mark.parametrize("quote", ['"', None])
+def test_least_cost_equals_brute_force(quote):
+    draw = random.Random(7)
+    for _ in range(120):
+        record = "".join(draw.choice('ab,,""') for _ in range(draw.randrange(1, 8)))
+        fields = B.read_fields(record, ",", quote)
+        width = draw.choice([None, 1, 2, 3])
+        best = brute_force(record, ",", quote, width)
+        if best <= 3:
+            assert B.least_edits(record, ",", quote, width)[0] == best, (record, width, fields)
+
+
+def test_long_records_get_their_edits():
+    field = "word " * 20_000
+    assert B.least_edits(f'1;"{field};{field}', ";", '"', None)[0] == 1
+    assert B.least_edits(f'1;"{field}";{field};x', ";", '"', 3)[0] == 1
+    many = ",".join(f'"a{i}"' for i in range(20_000))
+    assert B.least_edits(many + ',"b', ",", '"', None)[0] == 1
+    assert B.least_edits(many, ",", '"', 20_002)[0] == 2 and B.least_edits("x," * 50_000, ",", '"', 3)[0] == 49_998
+    spec = B.Spec('{"delimiter": ",", "quote_char": "\\"", "field_count": 20000}')
+    assert spec.judge(many)[0] is None and spec.judge(many + ',"b')[0] == "quoting" and spec.judge(many + ",b")[0] == "field_count"
+
+
 RAW = "dataset_id long, line_no long, raw_line string, ingested_at string, spec string"
 STRUCTURE = "dataset_id long, delimiter string, quote_char string, header_row int, field_count int, raw_line string"
 VARIABLE = "dataset_id long, load_no int, pos int, var_type string, var_format string, missing_values array<string>"
