@@ -1,14 +1,17 @@
 """Column-level data quality profile from maintained value-count tables (problem 6).
 
 The state of a column is a value-count table: one row per distinct trimmed value with the number of cells that
-hold it. A load replaces the content of its table, so it enters the state as signed deltas: ``+n`` for the values
-it brings, ``-n`` for those of the load before. Every metric is derived from maintained counts, never from cells,
-and is exact.
-
-Plan. Cells are exchanged once by (dataset_id, pos); dropping repeated deliveries, counting values, forming the
-deltas and profiling then run inside that partitioning. Columns that hold more than ``max(HOT_ROWS, total /
-HOT_GROUPS)`` cells (by construction fewer than HOT_GROUPS of them) would make one task too long: they take the same
-steps with natural exchanges on the full keys, pre-aggregated before each.
+hold it. A load replaces the content of its table, so it enters the state as signed deltas: what it brings of a value
+(``arrived``) less what the load before it held (``left``). The deltas are kept in a persistent table, with what each
+value is under the rules of its load; maintain() adds to it, and every profile, check and entropy is derived from this
+table, never from cells, and is exact: the state after a load is the sum of all deltas up to it, which is what arrived
+with it.
+
+Plan. Cells are exchanged once by (dataset_id, pos); dropping repeated deliveries, counting values, judging them and
+forming the deltas then run inside that partitioning, and the table is written from there. Columns with more than HOT_ROWS
+cells, the HOT_GROUPS largest at most (any further one holds less than a HOT_GROUPS-th of all cells), would make one task
+too long: they take the same steps with natural exchanges on the full keys, pre-aggregated before each. Profiles are
+one pass over the table with partial sums.
 
 Edge cases (all tested): a null or blank cell is missing; a null ``missing_values`` is an empty list; a null or
 unknown ``var_type`` is a string without pattern; a row delivered twice counts once; a column without a variable row
@@ -17,8 +20,6 @@ is not profiled; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,25 +204,32 @@ def profile(deltas: DataFrame) -> DataFrame:
 
 
 def hot_columns(cells: DataFrame, least: int = HOT_ROWS, groups: int = HOT_GROUPS) -> list[tuple[int, int]]:
-    """The columns with more than max(least, total/groups) cells: fewer than ``groups`` of them, whatever the data."""
-    sizes = cells.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n"))
-    total = cells.count()
-    if total <= least:
-        return []
-    return [(r[0], r[1]) for r in sizes.filter(F.col("n") > max(least, total // groups)).collect()]
+    """The largest columns of more than ``least`` cells, ``groups`` at most; one pass over two columns."""
+    sizes = cells.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    return [(r[0], r[1]) for r in sizes.orderBy(F.desc("n"), *COLUMN).limit(groups).collect()]
 
 
-def profiles(table_cells: DataFrame, variables: DataFrame, least: int = HOT_ROWS) -> DataFrame:
-    """profile() of whole tables, hot columns apart."""
+def maintain(table_cells: DataFrame, variables: DataFrame, path: str, least: int = HOT_ROWS) -> None:
+    """Appends the signed deltas of the loads in the cells to the persistent table at path, hot columns apart."""
     cells, rules, known = trimmed_cells(table_cells), variable_rules(variables), frequent_patterns(variables)
     hot = hot_columns(table_cells.select(F.col("dataset_id").cast("long"), F.col("pos").cast("int")), least)
-    path = lambda part, own, hint: profile(signed_deltas(judged_counts(value_counts(part), own, known, hint), JUDGED))
+
+    def add(part: DataFrame, own: DataFrame, hint: str) -> None:
+        deltas = signed_deltas(judged_counts(value_counts(part), own, known, hint), JUDGED)
+        deltas.write.mode("append").option("compression", "zstd").parquet(path)
+
     if not hot:
-        return path(cells.repartition(*COLUMN), rules, "shuffle_hash")
-    spark = table_cells.sparkSession
-    few = F.broadcast(spark.createDataFrame(hot, "dataset_id long, pos int"))
-    cold = path(cells.join(few, COLUMN, "left_anti").repartition(*COLUMN), rules, "shuffle_hash")
-    return cold.unionByName(path(cells.join(few, COLUMN, "left_semi"), rules.join(few, COLUMN, "left_semi"), "broadcast"))
+        add(cells.repartition(*COLUMN), rules, "shuffle_hash")
+        return
+    few = F.broadcast(table_cells.sparkSession.createDataFrame(hot, "dataset_id long, pos int"))
+    add(cells.join(few, COLUMN, "left_anti").repartition(*COLUMN), rules, "shuffle_hash")
+    add(cells.join(few, COLUMN, "left_semi"), rules.join(few, COLUMN, "left_semi"), "broadcast")
+
+
+def maintained_profile(table_cells: DataFrame, variables: DataFrame, path: str, least: int = HOT_ROWS) -> DataFrame:
+    """profile() of all loads, from the persistent table."""
+    maintain(table_cells, variables, path, least)
+    return profile(table_cells.sparkSession.read.parquet(path))
 
 
 def check(profiled: DataFrame, rules: DataFrame) -> DataFrame:
@@ -254,28 +262,13 @@ def check(profiled: DataFrame, rules: DataFrame) -> DataFrame:
     return p.filter(F.col("cells") > 0).select(*COLUMN, "load_no", F.explode(names).alias("check_name"))
 
 
-def quality_checks(table_cells: DataFrame, variables: DataFrame, least: int = HOT_ROWS) -> DataFrame:
-    return check(profiles(table_cells, variables, least), variable_rules(variables))
+def quality_checks(table_cells: DataFrame, variables: DataFrame, path: str, least: int = HOT_ROWS) -> DataFrame:
+    return check(maintained_profile(table_cells, variables, path, least), variable_rules(variables))
 
 
-def full_profile(spark: SparkSession, table_cells: DataFrame, variables: DataFrame, path: str) -> DataFrame:
-    """Profiles read back from the persistent table: each load's deltas are appended once, states are their sums.
-
-    entropy is in bits over the non-missing values, from maintained counts.
-    """
-    append_deltas(signed_deltas(value_counts(trimmed_cells(table_cells))), path)
-    log = spark.read.parquet(path)
-    loads = variables.select("load_no").distinct().collect()  # load numbers only
-    rules = variable_rules(variables)
-    out = []
-    for load in sorted(r[0] for r in loads if r[0] is not None):
-        state = log.filter(F.col("load_no") <= load).groupBy(*COLUMN, "value").agg(F.sum("delta").alias("n")).filter("n > 0")
-        out.append(state.select(*COLUMN, F.lit(load).cast("int").alias("load_no"), "value", "n"))
-    if not out:
-        out = [log.select(*COLUMN, "load_no", "value", F.col("delta").alias("n")).limit(0)]
-    states = judged_counts(reduce(DataFrame.unionByName, out), rules, frequent_patterns(variables))
-    blank = [F.lit(0).cast("long").alias("left"), F.lit(None).cast("int").alias("state0"), F.lit(None).cast("int").alias("shares0"), F.lit(None).cast("double").alias("x0")]
-    p = profile(states.select("*", F.col("n").alias("arrived"), *blank))
+def full_profile(table_cells: DataFrame, variables: DataFrame, path: str, least: int = HOT_ROWS) -> DataFrame:
+    """The metrics of every column after every load, from the persistent table; entropy in bits over the values that are not missing."""
+    p = maintained_profile(table_cells, variables, path, least).filter("cells > 0")
     present = F.col("cells") - F.col("missing")
     return p.select(
         *COLUMN,

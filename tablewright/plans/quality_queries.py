@@ -8,19 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.operators import badrows, quality, units
-from tablewright.session import shared_dir
+from tablewright.session import remove, shared_dir
 from tablewright.sources.tables import table
 
 
-def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality_checks(table(spark, sf, "table_cells"), table(spark, sf, "dataset_variables"))
+def _from_counts(spark: SparkSession, sf: str, read) -> DataFrame:
+    """read(cells, variables, path) over a value-count table in the shared folder, which goes once the result is kept."""
+    path = f"{shared_dir(spark)}/value_counts_{uuid.uuid4().hex}"
+    out = read(table(spark, sf, "table_cells"), table(spark, sf, "dataset_variables"), path).checkpoint()
+    remove(spark, path)
+    return out
 
 
-def p6_profile(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/value_counts_{uuid.uuid4().hex}"
-    return quality.full_profile(spark, table(spark, sf, "table_cells"), table(spark, sf, "dataset_variables"), path)
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _from_counts(spark, sf, quality.quality_checks)
 
 
+def p6_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return _from_counts(spark, sf, quality.full_profile)
 
 
 def _p4_tables(spark: SparkSession, sf: str) -> list[DataFrame]:

@@ -27,11 +27,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, one machine) a local folder is made and set for the session.
+    Only on one machine (a local master, as in tests) a folder is made where the setting is absent; on a cluster that
+    is an error, as no folder of one machine would do.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not configured:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tablewright_")
         spark.conf.set("spark.checkpoint.dir", configured)
     if context.getCheckpointDir() is None:
@@ -39,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared place, whatever file system it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable by the Python workers of the session, once per context."""
     context = spark.sparkContext

@@ -1,7 +1,10 @@
+import tempfile
+from collections import Counter
 from datetime import datetime
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import quality as Q
 
@@ -19,9 +22,13 @@ def variable(d, load, pos, kind, form="default", role="measure", tokens=("NA",),
     return (d * 100 + load * 10 + pos, d, load, pos, kind, form, role, list(tokens) if tokens is not None else None, missing, distinct, low, high, "v")
 
 
+def checks(frame, v, least=Q.HOT_ROWS):
+    path = f"{tempfile.mkdtemp()}/counts"
+    return [tuple(r) for r in Q.quality_checks(frame, v, path, least).collect()]
+
+
 def run(spark, columns, variables, least=Q.HOT_ROWS):
-    v = spark.createDataFrame(variables, VARIABLE)
-    return {tuple(r) for r in Q.quality_checks(cells(spark, columns), v, least).collect()}
+    return set(checks(cells(spark, columns), spark.createDataFrame(variables, VARIABLE), least))
 
 
 @pytest.mark.parametrize("least", [Q.HOT_ROWS, 3])
@@ -57,9 +64,24 @@ def test_repeated_deliveries_empty_tables_and_columns_without_rules(spark):
     columns = {(1, 1, 1): ["1", "2"], (2, 1, 1): ["x"]}
     v = [variable(1, 1, 1, "integer", missing=0, distinct=2, low="1", high="2")]
     twice = cells(spark, columns).unionByName(cells(spark, columns))
-    assert Q.quality_checks(twice, spark.createDataFrame(v, VARIABLE)).collect() == []
-    assert Q.quality_checks(cells(spark, {}), spark.createDataFrame(v, VARIABLE)).collect() == []
-    assert Q.quality_checks(twice, spark.createDataFrame([], VARIABLE)).collect() == []
+    assert checks(twice, spark.createDataFrame(v, VARIABLE)) == []
+    assert checks(cells(spark, {}), spark.createDataFrame(v, VARIABLE)) == []
+    assert checks(twice, spark.createDataFrame([], VARIABLE)) == []
+
+
+@pytest.mark.parametrize("least", [Q.HOT_ROWS, 3])
+def test_the_maintained_table_holds_states_and_profiles(spark, tmp_path, least):
+    columns = {(1, 1, 1): ["a", "a", "b", None], (1, 2, 1): ["b", "c", "NA"], (1, 3, 1): ["c", "c"]}
+    path = str(tmp_path / "counts")
+    v = spark.createDataFrame([variable(1, load, 1, "string") for load in (1, 2, 3)], VARIABLE)
+    got = {r.load_no: r for r in Q.full_profile(cells(spark, columns), v, path, least).collect()}
+    assert {k: (r.n_cells, r.n_missing, r.n_distinct) for k, r in got.items()} == {1: (4, 1, 2), 2: (3, 1, 2), 3: (2, 0, 1)}
+    assert got[1].entropy_bits == 0.9183 and got[3].entropy_bits == 0.0
+    table = spark.read.parquet(path)
+    for load in (1, 2, 3):
+        state = table.filter(F.col("load_no") <= load).groupBy("value").agg(F.sum(F.col("arrived") - F.col("left")).alias("n")).filter("n <> 0")
+        want = Counter((x or "").strip() for x in columns[1, load, 1])
+        assert {r.value: r.n for r in state.collect()} == want
 
 
 def test_state_of_the_persistent_table_equals_counts(spark, tmp_path):
