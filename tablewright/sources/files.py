@@ -92,6 +92,15 @@ def magic_kind(content: Column) -> Column:
     return F.when(start == "504B0304", "zip").when(start == "D0CF11E0", "ole").when(start.startswith("25504446"), "pdf").otherwise("none")
 
 
+def date_range(text: str | None) -> tuple[str | None, str | None]:
+    """(start, end) of ``A to B``, or of the only ISO date twice."""
+    days = re.findall(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text or "")
+    between = re.search(r"[0-9]{4}-[0-9]{2}-[0-9]{2}\s*(?:to|–|-|through|until)\s*[0-9]{4}-[0-9]{2}-[0-9]{2}", text or "")
+    if between:
+        return tuple(re.findall(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", between[0]))
+    return (days[0], days[0]) if len(days) == 1 else (None, None)
+
+
 def safe_unzip(path: str, target: str, config: Config = Config()) -> list[tuple[str, str]]:
     """Extracts members with safe paths within the limits; returns (member, issue code) of those left out."""
     issues: list[tuple[str, str]] = []

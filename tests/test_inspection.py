@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from tablewright.config import Config, load_config
 from tablewright.functions import text as T
+from tablewright.functions import lines as L
 from tablewright.operators import documents as D
 from tablewright.operators import histogram as H
 from tablewright.operators import matching as M
+from tablewright.operators import prose as P
+from tablewright.operators import reader
 from tablewright.plans import inspect as I
 from tablewright.sources import delimited, files, office
 
@@ -104,14 +107,103 @@ def test_unsafe_members_are_left_out(tmp_path):
 
 
 def test_missing_codes_abbreviations_relations():
-    assert D.missing_codes("NA, -99 (not measured) or blank") == ["NA", "-99", ""]
-    assert D.missing_codes("none") == []
-    assert D.missing_codes_in_prose("Missing values are coded as -999.") == ["-999"]
-    assert D.missing_codes_in_prose("Here -9 indicates missing data.") == ["-9"]
-    assert D.abbreviations("We took dissolved organic carbon (DOC) and more.") == [("DOC", "dissolved organic carbon")]
-    assert D.relations("See a.csv and b.csv, joined on plot_id.")[0][1:] == (["a.csv", "b.csv"], ["plot_id"])
-    assert D.absence_sentence("All good. Names were redacted here.") == "Names were redacted here."
-    assert D.definition_line("- depth (m): how deep it was") == ("depth", "how deep it was", "m")
+    assert P.missing_codes("NA, -99 (not measured) or blank") == ["NA", "-99", ""]
+    assert P.missing_codes("none") == []
+    assert P.missing_codes_in_prose("Missing values are coded as -999.") == ["-999"]
+    assert P.missing_codes_in_prose("Here -9 indicates missing data.") == ["-9"]
+    assert reader.abbreviations("We took dissolved organic carbon (DOC) and more.") == [("DOC", "dissolved organic carbon")]
+    assert P.relations("See a.csv and b.csv, joined on plot_id.")[0][1:] == (["a.csv", "b.csv"], ["plot_id"])
+    assert P.absence_sentence("All good. Names were redacted here.") == "Names were redacted here."
+    assert reader.definition_line("- depth (m): how deep it was") == ("depth", "how deep it was", "m")
+
+
+def test_left_out_and_linked():
+    absent = ["x was removed from the public dataset.", "It is not included.", "Not shared with anyone.", "It is available upon reasonable request.", "Coordinates (withheld)", "They were dropped, sadly."]
+    present = ["The outliers were excluded from the analysis.", "It was not included in the mean.", "We removed the lid from each jar.", "Nothing is missing here."]
+    assert [P.absence_sentence(t) for t in absent] == absent and [P.absence_sentence(t) for t in present] == [None] * 4
+    assert P.announces_exclusion("Variables not included") and P.announces_exclusion("Withheld") and not P.announces_exclusion("Additional related data that was not included")
+    assert P.excluded_names("Excluded variables", "ssn, home address and phone") == ["ssn", "phone"]
+    assert P.relations("Relationship between files: a.csv and b.csv share the site column\nLinkage: none") == [("Relationship between files: a.csv and b.csv share the site column", ["a.csv", "b.csv"], ["site"])]
+    assert P.relations("The files a.csv and b.csv can be linked via `plot_id` and visit_no.")[0][2] == ["plot_id"] or P.relations("The files a.csv and b.csv can be linked via `plot_id` and visit_no.")[0][2] == ["plot_id", "visit_no"]
+    assert P.relations("a.csv and b.csv were combined using R.")[0][2] == [] and P.relations("a.csv came before b.csv.") == []
+    assert [P.scope_hint(t, True).file for t in ("## survey.csv", "Dataset: plots", "Variables in x.tab:", "Note: none")] == ["survey.csv", "plots", "x.tab", None]
+    assert P.scope_hint("Sheet: Field data").sheet == "Field data"
+    codes = {"Missing value code = -9": ["-9"], "values of 9999 represent no data": ["9999"], "'.' means no data": ["."], "Blank cells indicate missing data.": [""], "missing values are left blank": [""], "The missing data codes are NA and -99.": ["NA", "-99"], "All is there.": []}
+    assert {t: P.missing_codes_in_prose(t) for t in codes} == codes
+    assert [P.is_missing_label(t) for t in ("missing by design", "Not recorded", "n/a", "unknown", "refused")] == [True, True, True, False, False]
+
+
+LINES = ["", "---", "-", "| a | b |", "# Title", "DATA FILES", "Name: x", "ORCID:", "Variable List:", "see http://x.example/a", "time 12:30 at noon", "10:30", "a  b  c", "1. First thing", "- item", "doi: 10.1/2", "plain words here", "<provide a name>", "Key <note to you>: v", "A VERY LONG LINE IN CAPITALS THAT GOES ON AND ON", "x\ty: z", "“Quoted: line”", "ENDS HERE.", "1) Title: of it", "ünï: çødé", " 	"]
+
+
+def test_lines_are_read_alike_by_both_engines_and_in_python(spark):
+    import duckdb
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "i int, raw string").withColumn("line", L.cleaned(F.col("raw")))
+    got = {r.i: (r.line, r.kind, r.aligned) for r in rows.select("i", "line", L.kind(F.col("line")).alias("kind"), L.is_aligned(F.col("line")).alias("aligned")).collect()}
+    assert got == {i: (reader.clean(x), reader.kind(reader.clean(x)), len(reader.aligned_cells(reader.clean(x))) >= 2) for i, x in enumerate(LINES)}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t AS SELECT unnest(?) AS raw, unnest(range(?)) AS i", [LINES, len(LINES)])
+    sql = {i: (a, b, d) for i, a, b, d in c.sql(f"SELECT i, line, {L.KIND_SQL}, {L.ALIGNED_SQL} FROM (SELECT i, {L.CLEANED_SQL} AS line FROM t)").fetchall()}
+    assert sql == got
+
+
+def test_people_and_metadata():
+    text = "This file was generated on 2024-05-01 by X\n\nGENERAL INFORMATION\nTitle of Dataset: Plots\nTitel of dataset: other\nAuthor:\nName: Ann Lee\nORCID: 0000\nInstitution: Uni\nName: Bo Li\nEmail: b@x.example\nContact person:\nName: Cy Ho\n\nFunding sources: NSF; DFG\nDate of data collection: 2020-01-01 to 2020-02-01\nRelated publications: http://x.example/1, http://x.example/2\nHumidity: wet\n\nMETHODS USED\nWe looked.\n\nVARIABLE LIST\nName: depth\nUnit: m"
+    p = reader.project(reader.sections(text), text)
+    assert [(q.name, q.role, q.orcid, q.affiliation, q.email) for q in p.people] == [("Ann Lee", "author", "0000", "Uni", None), ("Bo Li", "author", None, None, "b@x.example"), ("Cy Ho", "contact", None, None, None)]
+    assert {k: v for k, (v, _) in p.values.items()} == {"readme_generated_on": "2024-05-01", "title": "Plots", "collection_period": "2020-01-01 to 2020-02-01"}
+    assert p.funding == ["NSF", "DFG"] and p.publications == ["http://x.example/1", "http://x.example/2"] and p.methods == [("METHODS USED", "We looked.")] and ("Humidity", "wet") in [o[:2] for o in p.other]
+    assert reader.field_of("Titel of dataset") == "title" and reader.field_of("licence") == "license" and reader.field_of("weather") is None and reader.field_of(None) is None
+
+
+def test_layouts_of_variable_lists():
+    aligned = "VARIABLE   DESCRIPTION      UNIT\ndepth      how deep         cm\nsite                        m\nend of it"
+    rows = list(enumerate(aligned.split("\n"), 1))
+    assert reader.recognise(rows) == ("aligned_table", [{"name": "depth", "description": "how deep", "unit": "cm", "line_start": 2, "line_end": 2}, {"name": "site", "unit": "m", "line_start": 3, "line_end": 3}])
+    pipe = "| Field | Definition | Units |\n|---|---|---|\n| ph | acidity | |\n| t | warmth | °C |"
+    assert [d["name"] for d in reader.recognise(list(enumerate(pipe.split("\n"), 1)))[1]] == ["ph", "t"]
+    found, everywhere = reader.groups(reader.sections("Missing data codes: -9\n\n# Variables of a.csv\n- x: length (cm)\n- y: width\n\nThe following variables were removed from the public release:\n- name\n- street: where\n\n# Variables of b.csv\nNumber of variables: 2\n- z: depth"))
+    assert [(g.file, g.declared_variables, g.codes) for g in found] == [("a.csv", None, ["-9"]), ("b.csv", 2, ["-9"])] and everywhere == ["-9"]
+    assert {d["name"]: "absent" in d for d in found[0].variables} == {"x": False, "y": False, "street": True}
+
+
+@pytest.mark.parametrize("header, kind", [(["Variable", "Description"], True), (["name", "label"], False), (["name", "label", "unit"], True), (["code", "description"], True), (["id", "value"], False)])
+def test_dictionary_headers(header, kind):
+    assert (delimited.dictionary_columns(header) is not None) == kind
+
+
+def test_evidence_of_tables():
+    assert delimited.tabular_evidence("age,Age of the respondent in full years at the interview\nsex,Sex of the respondent as told to the interviewer\nh,Height of the respondent in cm without any shoes") == 1.0
+    assert delimited.tabular_evidence("All of us went out early, and it rained on us for the whole day.\nThen at last it stopped again, but we had already gone home by then.\nAs far as I know, nobody minded that very much in the end.") == 0.0
+    assert delimited.tabular_evidence("Variable List:\nid, number\nage, years\nsite, place\nx, y") == 0.25 and delimited.tabular_evidence("a,b\n1,2") == 0.5
+
+
+def test_large_tables_are_read_by_lines(spark):
+    rows = [(1, i, line) for i, line in enumerate(["A title", "id;day;note", "1;2;x", '2;3;"a;b"', "3;4", "", "4;5;6"], 1)] + [(2, i, line) for i, line in enumerate(["a,b", "1,2", "3,4"], 1)]
+    lines = spark.createDataFrame([*rows, rows[2]], "dataset_id long, line_no long, raw_line string")
+    layout = delimited.layouts(delimited.head_of(lines))
+    got = {(r.dataset_id, r.line_no, r["name"]): r.raw for r in delimited.read_lines(lines, layout).collect()}
+    assert got[1, 4, "note"] == "a;b" and got[1, 5, "note"] == "" and got[1, 7, "note"] == "6" and got[2, 3, "b"] == "4" and len(got) == 4 * 3 + 2 * 2
+
+
+def test_rivals_count_unless_a_strictly_better_pair_owns_them(spark):
+    scored = spark.createDataFrame(
+        [("d", "a", 1, "x", 1, 0.97, 0.95, False, "normalized"), ("d", "a", 1, "y", 2, 0.95, 0.95, False, "normalized"), ("d", "b", 2, "y", 2, 0.95, 0.95, False, "normalized"), ("e", "a", 1, "x", 1, 0.9, 0.9, False, "token_set"), ("e", "a", 1, "y", 2, 0.88, 0.88, False, "fuzzy"), ("e", "b", 2, "y", 2, 1.0, 1.0, False, "exact"), ("f", "a", 1, "x", 1, 0.9, 0.9, True, "token_set")],
+        "dataset_id string, column string, column_pos int, name string, definition_pos int, score double, base double, contradicted boolean, method string",
+    )
+    got = {(r.dataset_id, r.column): (r["name"], r.status, r.confidence) for r in M.assign(scored).collect()}
+    assert got["d", "a"] == ("x", "ambiguous", 0.97) and got["e", "a"] == ("x", "matched", 0.95) and got["f", "a"] == ("x", "matched", 0.9)
+
+
+@pytest.mark.parametrize("most", [10**6, 2])
+def test_quartiles_by_ranges(spark, most):
+    values = {"a": [3.0, 1.0, 2.0, 2.0, 9.0, 4.0, 4.0], "b": [5.0], "c": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, x) for k, v in values.items() for x in v], "k string, x double").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
+    import numpy as np
+
+    got = {r.k: (r.q1, r.median, r.q3) for r in H.quartiles(df.repartition(5), ["k"], most).collect()}
+    assert got == {k: pytest.approx(tuple(np.percentile(v, [25, 50, 75]))) for k, v in values.items()}
 
 
 def test_settings(tmp_path):
@@ -142,10 +234,16 @@ def test_workbooks(tmp_path):
     assert office.sheets(b"junk", ".xlsx")[1] == [("", "EXCEL_CORRUPT")]
 
 
+def _kept_schema(tmp_path):
+    place = tmp_path.parent / f"{tmp_path.name}_schema.json"
+    place.write_text(I.schema_json())
+    return place
+
+
 def test_a_repository_end_to_end(spark, tmp_path):
     (tmp_path / "survey.csv").write_text("id,age,score,site\n1,20,1.5,a\n2,-99,2.5,b\n3,40,NA,c\n")
     (tmp_path / "sites.tab").write_text("site\tdepth_m\na\t1.5\nb\t2.5\nc\t3.5\n")
-    (tmp_path / "README.txt").write_text("VARIABLES\nFilename: survey.csv\nMissing data codes: -99\n- id: number of the person\n- age: age in years\n- score: result (%)\n- weight: weight of the person\n\nThe tables survey.csv and sites.tab are joined on site.\n")
+    (tmp_path / "README.txt").write_text("VARIABLES\nFilename: survey.csv\nMissing data codes: -99\n- id: number of the person\n- age: age in years\n- score: result (%)\n- weight: weight of the person\n\nThe tables survey.csv and sites.tab are joined by the key site.\n")
     _workbook(tmp_path / "book.xlsx")
     events = []
     doc = I.run(spark, str(tmp_path), Config(), events.append)
@@ -157,7 +255,8 @@ def test_a_repository_end_to_end(spark, tmp_path):
     assert any(r["type"] == "shared_variable" and r["variable"] == "site" for r in doc["relationships"])
     assert any(r["type"] == "documented" and r["variables"] == ["site"] for r in doc["relationships"])
     codes = {(i["code"], i["location"]) for i in doc["issues"]}
-    assert ("DOCUMENTED_VARIABLE_NOT_IN_DATA", "weight") in codes
+    assert any(i["code"] == "DOCUMENTED_VARIABLE_NOT_IN_DATA" and i["detail"] == "weight" for i in doc["issues"]) and by["survey"]["unmatched_documented_variables"] == ["weight"]
+    assert I.violations(doc) == [] and I.violations({}) != [] and I.main(["--schema", "--check", str(_kept_schema(tmp_path))]) == 0
     assert [e["seq"] for e in events] == list(range(1, len(events) + 1))
     assert I.run(spark, str(tmp_path / "none"))["issues"][0]["code"] == "INPUT_NOT_FOUND"
 
