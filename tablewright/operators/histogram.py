@@ -160,6 +160,15 @@ def infer_types(hist: DataFrame, config: Config = Config()) -> DataFrame:
     return a.select(*KEY, "name", "type", "format", F.when(total == 0, "text").otherwise(role).alias("role"), "total", "distinct", "ambiguous_date")
 
 
+DATE_SHAPE = r"\A[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}\z"
+
+
+def date_fits(values: DataFrame, keys: list[str], formats: dict[str, str]) -> DataFrame:
+    """For each format (strptime name: output column) whether all values (value) of a key fit it."""
+    fits = [F.every(F.try_to_timestamp("value", F.lit(DATE_FORMATS[f])).isNotNull()).alias(name) for f, name in formats.items()]
+    return values.groupBy(*keys).agg(*fits)
+
+
 def blocking_examples(hist: DataFrame, config: Config = Config(), most: int = 5) -> DataFrame:
     """Up to five values per column that keep it from being numeric."""
     stubborn = present(hist, config).filter(~is_number(F.col("value")))

@@ -261,3 +261,13 @@ def name_owners(columns: DataFrame) -> DataFrame:
 
 def decision(score: Column, config: Config = Config()) -> Column:
     return F.when(score >= config.match_accept_threshold, "accept").when(score >= config.match_review_threshold, "review").otherwise("unmatched")
+
+
+def claimed(matches: DataFrame) -> DataFrame:
+    """(dataset_id, name, n): how many columns claim each definition."""
+    return matches.filter("name is not null").groupBy("dataset_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def set_relation(codes: Column, seen: Column) -> tuple[Column, Column]:
+    """Whether all codes are among the values seen, and whether none is."""
+    return (F.size(F.array_except(codes, seen)) == 0).alias("subset"), (~F.arrays_overlap(codes, seen)).alias("disjoint")

@@ -1,21 +1,13 @@
-"""Queries on single steps of reading, classifying, matching and parsing, with SQL twins where SQL can say it."""
+"""Queries on single steps of typing and scoping, with their SQL twins."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.config import DATE_FORMATS, Config
-from tablewright.functions import text as T
-from tablewright.operators import documents as D
 from tablewright.operators import histogram as H
 from tablewright.operators import linking as L
-from tablewright.operators import matching as M
-from tablewright.plans.table_queries import _NORM, _TYPES, _pairs, hist, hist_sql
-from tablewright.plans.text_queries import _KIND, _KV, _LINES, _scoping, lines
-from tablewright.session import ship
-from tablewright.sources import delimited, files, office
+from tablewright.plans.table_queries import _TYPES, hist, hist_sql
+from tablewright.sources import files
 from tablewright.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,26 +24,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _python(spark: SparkSession, f, kind: str):
-    """A function of one text as an Arrow-batched expression."""
-    ship(spark)
-
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([f(None if v is None or v != v else v) for v in values], dtype=object)
-
-    return F.pandas_udf(run, kind)
-
-
-_TABLE_TEXT = "array_join(transform(array_sort(collect_list(struct(line_no, raw_line))), x -> coalesce(x.raw_line, '')), '\\n')"
-
-
-def _pending(spark, sf):
-    """(dataset_id, text) of every pending table, as its file."""
-    raw = table(spark, sf, "raw_rows").dropDuplicates(["dataset_id", "line_no"])
-    return raw.groupBy("dataset_id").agg(F.expr(_TABLE_TEXT).alias("text"))
-
-
-# Files.
 @query("a05_magic", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'ole' ELSE 'none' END AS kind FROM documents")
 def a05(spark, sf):
     k = F.col("doc_id") % 4
@@ -60,162 +32,6 @@ def a05(spark, sf):
     return table(spark, sf, "documents").select("doc_id", files.magic_kind(content).alias("kind"))
 
 
-@query("a06_role_of_text")
-def a06(spark, sf):
-    """Role by content: documents and pending tables as files of doubtful extension."""
-    role = _python(spark, lambda t: files.role_of_file("thing.txt", (t or "").encode(), delimited.tabular_evidence(t or "")), "string")
-    a = table(spark, sf, "documents").select(F.lit("document").alias("origin"), role("text").alias("role"))
-    b = _pending(spark, sf).select(F.lit("table").alias("origin"), role("text").alias("role"))
-    return a.unionByName(b).groupBy("origin", "role").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("a08_text_or_binary", "SELECT doc_id, doc_id % 3 <> 0 OR coalesce(text, '') = '' AS is_text FROM documents")
-def a08(spark, sf):
-    ship(spark)
-
-    def run(contents: pd.Series) -> pd.Series:
-        return pd.Series([files.is_text(bytes(c)) for c in contents])
-
-    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    content = F.when((F.col("doc_id") % 3 == 0) & (F.coalesce("text", F.lit("")) != ""), F.concat(F.unhex(F.lit("0001")), body)).otherwise(body)
-    return table(spark, sf, "documents").select("doc_id", F.pandas_udf(run, "boolean")(content).alias("is_text"))
-
-
-@query("a13_quote_fallback", "WITH r AS (SELECT DISTINCT dataset_id, line_no, raw_line FROM raw_rows) SELECT dataset_id, sum(length(coalesce(raw_line, '')) - length(replace(coalesce(raw_line, ''), '\"', ''))) % 2 = 1 AS fallback FROM r GROUP BY dataset_id")
-def a13(spark, sf):
-    """Tables whose quotes do not pair up are read with quoting off."""
-    r = table(spark, sf, "raw_rows").select("dataset_id", "line_no", F.coalesce("raw_line", F.lit("")).alias("x")).dropDuplicates()
-    return r.groupBy("dataset_id").agg((F.sum(F.length("x") - F.length(F.replace("x", F.lit('"'), F.lit("")))) % 2 == 1).alias("fallback"))
-
-
-@query("a14_tolerant_rows", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL) SELECT doc_id, line_no, array_to_string(list_resize(string_split(line, ',')[1:3], 3, ''), '|') AS cells FROM l")
-def a14(spark, sf):
-    """Ragged rows padded or cut to three columns."""
-    rows = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.array_join(F.slice(F.concat(F.split("line", ","), F.array_repeat(F.lit(""), 3)), 1, 3), "|").alias("cells"))
-
-
-@query("a18_notes_text")
-def a18(spark, sf):
-    """Two-cell rows become key: value."""
-    f = _python(spark, lambda t: office.notes_text([x.split(",") for x in (t or "").split("\n")]), "string")
-    return table(spark, sf, "documents").select("doc_id", f("text").alias("notes"))
-
-
-@query("a22_dictionary_definitions", "SELECT DISTINCT def_id, name, coalesce(description, '') AS description FROM variable_definitions WHERE method = 'dictionary'")
-def a22(spark, sf):
-    """Definitions of dictionary tables, through the pipe-table layout."""
-    d = table(spark, sf, "variable_definitions").filter("method = 'dictionary'").select("def_id", "name", F.coalesce("description", F.lit("")).alias("description")).distinct()
-    rows = F.transform(F.array(F.concat_ws(" | ", F.lit("|"), "name", F.replace("description", F.lit("|"), F.lit("/")), F.lit("|"))), lambda x: x)
-    text = F.concat_ws("\n", F.lit("| Variable | Description |"), rows)
-    f = _python(spark, lambda t: next((d["name"] for d in D.recognise(list(enumerate(t.split("\n"))))[1]), None), "string")
-    return d.withColumn("read", f(text)).select("def_id", F.coalesce("read", "name").alias("name"), "description")
-
-
-@query("a26_schema_drift", "SELECT 'lineitem' AS name, true AS same UNION ALL SELECT 'orders', true")
-def a26(spark, sf):
-    """The schema read again equals the schema kept as JSON."""
-    from pyspark.sql.types import StructType
-
-    out = []
-    for name in ("lineitem", "orders"):
-        kept = table(spark, sf, name).schema.json()
-        out.append((name, StructType.fromJson(__import__("json").loads(kept)) == table(spark, sf, name).schema))
-    return spark.createDataFrame(out, "name string, same boolean")
-
-
-@query("a27_settings", "SELECT 'header_scan_rows' AS name, '30' AS value UNION ALL SELECT 'match_accept_threshold', '0.85' UNION ALL SELECT 'max_records_per_dataset', '50000'")
-def a27(spark, sf):
-    c = Config()
-    return spark.createDataFrame([(n, str(getattr(c, n))) for n in ("header_scan_rows", "match_accept_threshold", "max_records_per_dataset")], "name string, value string")
-
-
-# Dialect and header.
-@query("b04_dialects")
-def b04(spark, sf):
-    """The dialect sniffed from each pending table beside the recorded one."""
-    f = _python(spark, lambda t: delimited.sniff(t or "").delimiter, "string")
-    kept = table(spark, sf, "dataset_structures").select("dataset_id", F.when(F.lower("delimiter") == "tab", "\t").otherwise(F.col("delimiter")).alias("recorded")).distinct()
-    return _pending(spark, sf).select("dataset_id", f("text").alias("sniffed")).join(kept, "dataset_id").select("dataset_id", "sniffed", "recorded")
-
-
-@query("b01_candidate_widths", "WITH l AS (SELECT DISTINCT dataset_id, line_no, raw_line FROM raw_rows WHERE trim(coalesce(raw_line, ''), ' ') <> ''), c(d) AS (VALUES (','), (';'), (chr(9)), ('|')) SELECT dataset_id, d AS delimiter, len(string_split(raw_line, d)) AS width, count(*) AS n FROM l, c GROUP BY ALL")
-def b01(spark, sf):
-    """Row widths of every line under each candidate delimiter: four, a constant, so the lines are not multiplied by data."""
-    l = table(spark, sf, "raw_rows").select("dataset_id", "line_no", "raw_line").filter("trim(coalesce(raw_line, '')) <> ''").dropDuplicates()
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("delimiter"), F.size(F.split("raw_line", p)).cast("long").alias("width")) for d, p in ((",", ","), (";", ";"), ("\t", "\t"), ("|", r"\|"))]))
-    return l.select("dataset_id", each.alias("e")).groupBy("dataset_id", "e.delimiter", "e.width").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("b03_preamble", "WITH d AS (SELECT DISTINCT dataset_id, CASE WHEN lower(delimiter) = 'tab' THEN chr(9) ELSE delimiter END AS dl, field_count FROM dataset_structures), w AS (SELECT DISTINCT dataset_id, line_no, len(string_split(coalesce(raw_line, ''), dl)) = field_count AS fits FROM raw_rows JOIN d USING (dataset_id)), r AS (SELECT dataset_id, line_no, fits AND lead(fits, 1, false) OVER o AND lead(fits, 2, false) OVER o AS run FROM w WINDOW o AS (PARTITION BY dataset_id ORDER BY line_no)) SELECT dataset_id, min(line_no) AS first_line FROM r WHERE run GROUP BY dataset_id")
-def b03(spark, sf):
-    d = table(spark, sf, "dataset_structures").select("dataset_id", F.when(F.lower("delimiter") == "tab", "\t").otherwise(F.col("delimiter")).alias("dl"), "field_count").distinct()
-    width = F.length(F.coalesce("raw_line", F.lit(""))) - F.length(F.replace(F.coalesce("raw_line", F.lit("")), F.col("dl"), F.lit(""))) + 1
-    w = table(spark, sf, "raw_rows").join(d, "dataset_id").select("dataset_id", "line_no", (width == F.col("field_count")).alias("fits")).distinct()
-    o = Window.partitionBy("dataset_id").orderBy("line_no")
-    run = F.col("fits") & F.lead("fits", 1, False).over(o) & F.lead("fits", 2, False).over(o)
-    return w.withColumn("run", run).filter("run").groupBy("dataset_id").agg(F.min("line_no").alias("first_line"))
-
-
-@query("b05_header_rows")
-def b05(spark, sf):
-    """The chosen header row of each pending table with its confidence."""
-    return _header_rows(spark, sf)
-
-
-def _header_rows(spark, sf):
-    ship(spark)
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            d = delimited.sniff(t or "")
-            place, confidence, ambiguous = delimited.choose_header(delimited.parse(t or "", d.delimiter, None), d.width)
-            rows.append((None if place is None else place + 1, round(confidence, 6), ambiguous))
-        return pd.DataFrame(rows, columns=["header", "confidence", "ambiguous"]).astype({"header": "Int32"})
-
-    return _pending(spark, sf).select("dataset_id", F.pandas_udf(run, "header int, confidence double, ambiguous boolean")("text").alias("h")).select("dataset_id", "h.*")
-
-
-@query("b07_row_features", "WITH l AS (SELECT DISTINCT dataset_id, line_no, raw_line FROM raw_rows WHERE raw_line LIKE '%;%'), c AS (SELECT dataset_id, line_no, list_filter(list_transform(string_split(raw_line, ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS filled, len(string_split(raw_line, ';')) AS width FROM l) SELECT dataset_id, line_no, round(len(filled) / width, 6)::DOUBLE AS fill, round(CASE WHEN len(filled) = 0 THEN 0 ELSE len(list_distinct(filled)) / len(filled) END, 6)::DOUBLE AS uniqueness FROM c")
-def b07(spark, sf):
-    l = table(spark, sf, "raw_rows").filter("raw_line like '%;%'").select("dataset_id", "line_no", "raw_line").distinct()
-    cells = F.split("raw_line", ";")
-    filled = F.filter(F.transform(cells, lambda x: F.trim(x)), lambda x: x != "")
-    return l.select("dataset_id", "line_no", F.round(F.size(filled) / F.size(cells), 6).alias("fill"), F.round(F.when(F.size(filled) == 0, 0.0).otherwise(F.size(F.array_distinct(filled)) / F.size(filled)), 6).alias("uniqueness"))
-
-
-@query("b10_unit_cells")
-def b10(spark, sf):
-    """Header units that read as units."""
-    f = _python(spark, lambda t: delimited.is_unit_cell(t or ""), "boolean")
-    return table(spark, sf, "column_contexts").select("header_unit").distinct().withColumn("is_unit", f("header_unit"))
-
-
-@query("c07_dictionary_tables")
-def c07(spark, sf):
-    """Which pending tables are data dictionaries, and which are notes."""
-    def kind(t):
-        r = delimited.read(t or "", ".csv")
-        return "dictionary" if delimited.is_dictionary(r.original, r.rows) else "notes" if delimited.is_notes(r.rows) else "data"
-
-    return _pending(spark, sf).select("dataset_id", _python(spark, kind, "string")("text").alias("kind"))
-
-
-@query("c09_width_consistency", "WITH l AS (SELECT DISTINCT dataset_id, line_no, raw_line FROM raw_rows WHERE trim(coalesce(raw_line, ''), ' ') <> ''), w AS (SELECT dataset_id, len(string_split(raw_line, ',')) AS width, count(*) AS n FROM l GROUP BY ALL) SELECT dataset_id, round(max(n) / sum(n), 6)::DOUBLE AS consistency FROM w GROUP BY dataset_id")
-def c09(spark, sf):
-    l = table(spark, sf, "raw_rows").filter("trim(coalesce(raw_line, '')) <> ''").select("dataset_id", "line_no", "raw_line").distinct()
-    w = l.groupBy("dataset_id", F.size(F.split("raw_line", ",")).alias("width")).agg(F.count(F.lit(1)).alias("n"))
-    return w.groupBy("dataset_id").agg(F.round(F.max("n") / F.sum("n"), 6).alias("consistency"))
-
-
-# Columns.
-@query("d04_rows_as_maps", "SELECT r_regionkey, r_name FROM region")
-def d04(spark, sf):
-    r = table(spark, sf, "region").select("r_regionkey", "r_name")
-    kind = dict(r.dtypes)["r_regionkey"]
-    back = r.select(F.from_json(F.to_json(F.create_map(F.lit("k"), F.col("r_regionkey").cast("string"), F.lit("n"), F.col("r_name"))), "map<string,string>").alias("m"))
-    return back.select(F.col("m")["k"].cast(kind).alias("r_regionkey"), F.col("m")["n"].alias("r_name"))
 
 
 @query("d07_all_in_set", f"WITH {hist_sql('lineitem', 'orders')} SELECT dataset_id, pos, bool_and(value IN ('A','N','R','F','O','P')) AS coded FROM pres GROUP BY ALL")
@@ -228,255 +44,14 @@ def d08(spark, sf):
     return H.present(hist(spark, sf, "part", "customer")).groupBy(*H.KEY).agg(F.bool_or(F.col("value").rlike(H.LEADING_ZERO)).alias("zeros"))
 
 
-@query("d09_date_formats", "WITH v AS (SELECT DISTINCT dataset_id, pos, trim(raw, ' ') AS value FROM table_cells WHERE regexp_full_match(trim(raw, ' '), '[0-9]{2}/[0-9]{2}/[0-9]{4}')) SELECT dataset_id, pos, bool_and(try_strptime(value, '%d/%m/%Y') IS NOT NULL) AS day_first, bool_and(try_strptime(value, '%m/%d/%Y') IS NOT NULL) AS month_first FROM v GROUP BY ALL")
-def d09(spark, sf):
-    v = table(spark, sf, "table_cells").select("dataset_id", "pos", F.trim("raw").alias("value")).filter(F.col("value").rlike(r"\A[0-9]{2}/[0-9]{2}/[0-9]{4}\z")).distinct()
-    fits = lambda f: F.every(F.try_to_timestamp("value", F.lit(DATE_FORMATS[f])).isNotNull())
-    return v.groupBy("dataset_id", "pos").agg(fits("%d/%m/%Y").alias("day_first"), fits("%m/%d/%Y").alias("month_first"))
-
-
 @query("d13_text_roles", f"WITH {hist_sql('customer', 'part')}, {_TYPES} SELECT dataset_id, pos, CASE WHEN dist <= 20 AND dist < total THEN 'categorical' WHEN dist = total THEN 'identifier' ELSE 'text' END AS role FROM t WHERE type = 'string'")
 def d13(spark, sf):
     return H.infer_types(hist(spark, sf, "customer", "part")).filter("type = 'string'").select(*H.KEY, "role")
 
 
-# Links.
-def _link(name: str, test_sql: str, test):
-    sql = f"WITH d AS (SELECT DISTINCT dataset_id, name FROM variable_definitions), c AS (SELECT DISTINCT dataset_id, name FROM column_contexts) SELECT c.dataset_id, c.name AS column, d.name FROM c JOIN d ON c.dataset_id = d.dataset_id AND {test_sql}"
-
-    @query(name, sql)
-    def run(spark, sf):
-        d = table(spark, sf, "variable_definitions").select("dataset_id", "name").distinct().withColumn("key", test(F.col("name")))
-        c = table(spark, sf, "column_contexts").select("dataset_id", F.col("name").alias("column")).distinct().withColumn("key", test(F.col("column")))
-        return c.filter("key <> ''").join(d, ["dataset_id", "key"]).select("dataset_id", "column", "name")
-
-
-_link("f03_case_link", "lower(c.name) = lower(d.name)", F.lower)
-_link("f04_normalized_link", f"{_NORM('c.name')} = {_NORM('d.name')} AND {_NORM('c.name')} <> ''", T.normalize_name)
-_TSET = lambda c: f"array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''))), ' ')"
-_link("f06_token_set_link", f"{_TSET('c.name')} = {_TSET('d.name')} AND {_TSET('c.name')} <> ''", T.token_set)
-
-
-@query("f05_alias_link", "SELECT 'doc' AS column, 'Dissolved Organic Carbon' AS name, 'abbreviation' AS method, 0.9::DOUBLE AS base UNION ALL SELECT 'fi', 'fluorescence index', 'abbreviation', 0.9")
-def f05(spark, sf):
-    pairs = spark.createDataFrame([("doc", "Dissolved Organic Carbon"), ("fi", "fluorescence index")], "column string, name string")
-    aliases = spark.createDataFrame([("DOC", "dissolved organic carbon"), ("FI", "fluorescence_index")], "short string, long string")
-    return M.ladder(pairs, aliases=aliases).select("column", "name", "method", "base")
-
-
-@query("f07_token_abbreviation_link", "SELECT 'BWsmth_chg' AS column, 'BWsmooth_chg' AS name, 'token_abbreviation' AS method UNION ALL SELECT 'soil_tmp', 'soil_temperature', 'token_abbreviation' UNION ALL SELECT 'milk_prt', 'milk_fat', 'fuzzy'")
-def f07(spark, sf):
-    pairs = spark.createDataFrame([("BWsmth_chg", "BWsmooth_chg"), ("soil_tmp", "soil_temperature"), ("milk_prt", "milk_fat")], "column string, name string")
-    return M.ladder(pairs).select("column", "name", "method")
-
-
-def _column_pairs(spark, sf):
-    """Columns and definitions of the same dataset with their context."""
-    c = table(spark, sf, "column_contexts").dropDuplicates(["dataset_id", "pos"]).select(F.col("dataset_id").cast("string").alias("dataset_id"), F.col("name").alias("column"), F.col("pos").cast("int").alias("column_pos"), "header_unit", F.col("column_type").alias("type"))
-    d = table(spark, sf, "variable_definitions").dropDuplicates(["def_id"]).select(F.col("dataset_id").cast("string").alias("dataset_id"), "name", F.col("pos").cast("int").alias("definition_pos"), "description", "unit")
-    return c, d.dropDuplicates(["dataset_id", "name"])
-
-
-@query("f10_context_nudges")
-def f10(spark, sf):
-    c, d = _column_pairs(spark, sf)
-    return M.contextual(M.ladder(c.join(d, "dataset_id"))).filter("base >= 0.5").select("dataset_id", "column", "name", "method", "base", "nudge", "score")
-
-
-@query("f13_matches_of_all_datasets")
-def f13(spark, sf):
-    """One-to-one matches with status, confidence and alternatives (F11 to F14) for every dataset."""
-    return M.match(*_column_pairs(spark, sf))
-
-
-@query("f14_alternatives", "SELECT dataset_id, variable_id, rank FROM (SELECT dataset_id, variable_id, row_number() OVER (PARTITION BY dataset_id ORDER BY match_confidence DESC, variable_id) AS rank FROM (SELECT DISTINCT dataset_id, variable_id, match_confidence FROM dataset_variables WHERE match_confidence IS NOT NULL)) WHERE rank BETWEEN 2 AND 3")
-def f14(spark, sf):
-    v = table(spark, sf, "dataset_variables").filter("match_confidence is not null").select("dataset_id", "variable_id", "match_confidence").distinct()
-    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc("match_confidence"), "variable_id"))
-    return v.select("dataset_id", "variable_id", rank.cast("long").alias("rank")).filter("rank between 2 and 3")
-
-
 @query("f22_best_sheet", "WITH s AS (SELECT DISTINCT repo_id, dataset_id, worksheet_name, header_confidence AS c FROM dataset_structures WHERE worksheet_name IS NOT NULL), r AS (SELECT *, lead(c, 1, -1) OVER w AS next, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY repo_id ORDER BY c DESC)) SELECT repo_id, worksheet_name AS sheet, c AS coverage FROM r WHERE r = 1 AND c > next")
 def f22(spark, sf):
     s = table(spark, sf, "dataset_structures").filter("worksheet_name is not null").select(F.lit("g").alias("group_id"), F.col("repo_id").alias("file"), "dataset_id", F.col("worksheet_name").alias("sheet"), F.col("header_confidence").alias("coverage")).distinct()
     return L.best_sheet(s).select(F.col("file").alias("repo_id"), "sheet", "coverage")
 
 
-@query("f30_documented_links", "SELECT DISTINCT unnest(regexp_extract_all(value_text, 'https?://[^ ,;]+')) AS link FROM key_values WHERE value_text LIKE '%http%' UNION SELECT 'https://none.example' AS link")
-def f30(spark, sf):
-    k = table(spark, sf, "key_values").filter("value_text like '%http%'").select(F.explode(F.regexp_extract_all("value_text", F.lit("(https?://[^ ,;]+)"), 1)).alias("link"))
-    return k.union(spark.createDataFrame([("https://none.example",)], "link string")).distinct()
-
-
-# Text.
-@query("g02_look_around", f"WITH {_LINES}, k AS (SELECT *, {_KIND} AS kind FROM l) SELECT file, line_no, lag(kind) OVER w AS before, lead(kind) OVER w AS after FROM k WINDOW w AS (PARTITION BY file ORDER BY line_no)")
-def g02(spark, sf, lines=lines):
-    w = Window.partitionBy("file").orderBy("line_no")
-    k = lines(spark, sf).withColumn("kind", T.line_kind(F.col("line")))
-    return k.select("file", F.col("line_no").cast("long").alias("line_no"), F.lag("kind").over(w).alias("before"), F.lead("kind").over(w).alias("after"))
-
-
-@query("g05_layouts")
-def g05(spark, sf):
-    """The layout that each document follows, and how many definitions it yields."""
-    ship(spark)
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [D.recognise(list(enumerate((t or "").split("\n"), 1))) for t in texts]
-        return pd.DataFrame([(m, len(d)) for m, d in found], columns=["method", "definitions"])
-
-    return table(spark, sf, "documents").select("doc_id", F.pandas_udf(run, "method string, definitions int")("text").alias("r")).select("doc_id", "r.*")
-
-
-@query("g07_exclusion_lists", f"WITH {_LINES}, m AS (SELECT *, {_KIND} AS kind, line LIKE 'and continued%' AS opens FROM l), g AS (SELECT *, sum((kind <> 'list_item')::INT) OVER (PARTITION BY file ORDER BY line_no) AS island FROM m), f AS (SELECT file, island FROM g WHERE opens) SELECT g.file, g.line_no FROM g JOIN f USING (file, island) WHERE g.kind = 'list_item'")
-def g07(spark, sf):
-    """List items right after a line that opens an exclusion."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    g = lines(spark, sf).withColumn("kind", T.line_kind(F.col("line"))).withColumn("island", F.sum((F.col("kind") != "list_item").cast("int")).over(w))
-    opened = g.filter(F.col("line").startswith("and continued")).select("file", "island")
-    return g.filter("kind = 'list_item'").join(opened, ["file", "island"]).select("file", F.col("line_no").cast("long").alias("line_no"))
-
-
-@query("g08_duplicate_numbers", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents")
-def g08(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("k"))
-
-
-@query("i02_strip_accents", "SELECT DISTINCT person_id, strip_accents(name) AS plain FROM persons WHERE regexp_full_match(name, '[ -~éèáàíóúñöüäç]*')")
-def i02(spark, sf):
-    """The part of i02_strip_accents_all that DuckDB can say."""
-    return _plain_names(spark, sf).filter(F.col("name").rlike(r"\A[ -~éèáàíóúñöüäç]*\z")).select("person_id", "plain").distinct()
-
-
-def _plain_names(spark, sf):
-    return table(spark, sf, "persons").select("person_id", "name", T.strip_accents(T.spell_out(F.col("name"))).alias("plain"))
-
-
-@query("i02_strip_accents_all")
-def i02_all(spark, sf):
-    return _plain_names(spark, sf).select("person_id", "plain").distinct()
-
-
-@query("i06_ratio_symmetry")
-def i06(spark, sf):
-    """The Indel ratio of neighbouring names, in both directions."""
-    p = table(spark, sf, "part").select("p_name").distinct()
-    w = Window.partitionBy(F.left("p_name", F.lit(1))).orderBy("p_name")
-    q = p.withColumn("next", F.lead("p_name").over(w)).filter("next is not null")
-    return q.select("p_name", "next", F.round(T.indel_ratio(F.col("p_name"), F.col("next")), 4).alias("forth"), F.round(T.indel_ratio(F.col("next"), F.col("p_name")), 4).alias("back"))
-
-
-@query("i09_key_value_split", f"WITH {_KV} SELECT file, key, length(value) AS size FROM kv")
-def i09(spark, sf, lines=lines):
-    return D.key_values(lines(spark, sf)).select("file", "key", F.length("value").cast("long").alias("size"))
-
-
-@query("i10_headings", f"WITH {_LINES} SELECT file, line_no FROM l WHERE {_KIND} = 'heading'")
-def i10(spark, sf, lines=lines):
-    return lines(spark, sf).filter(T.line_kind(F.col("line")) == "heading").select("file", F.col("line_no").cast("long").alias("line_no"))
-
-
-@query("i12_quote_noise", "SELECT doc_id, regexp_replace(regexp_replace(text, '^[\"“”]+', ''), '[\"“”]+$', '') AS bare FROM documents WHERE text IS NOT NULL")
-def i12(spark, sf):
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.regexp_replace(F.regexp_replace("text", r'\A["“”]+', ""), r'["“”]+\z', "").alias("bare"))
-
-
-@query("i14_unit_like")
-def i14(spark, sf):
-    return table(spark, sf, "dataset_variables").select("unit").distinct().withColumn("is_unit", _python(spark, lambda t: D.unit_like(t or ""), "boolean")("unit"))
-
-
-@query("i15_trailing_units", r"SELECT DISTINCT original_name AS name, trim(regexp_replace(original_name, '[(\[][^()\[\]]{1,20}[)\]]\s*$', ''), ' ') AS bare FROM dataset_variables WHERE regexp_matches(original_name, '[(\[][^()\[\]]{1,20}[)\]]\s*$')")
-def i15(spark, sf):
-    pattern = r"[(\[][^()\[\]]{1,20}[)\]]\s*$"
-    v = table(spark, sf, "dataset_variables").select(F.col("original_name").alias("name")).filter(F.col("name").rlike(pattern)).distinct()
-    return v.withColumn("bare", F.trim(F.regexp_replace("name", pattern, "")))
-
-
-@query("i16_units_compared")
-def i16(spark, sf):
-    """Header unit against documented unit of the same column."""
-    from tablewright.operators.units import stated_unit
-
-    c, d = _column_pairs(spark, sf)
-    both = c.join(d, (c.dataset_id == d.dataset_id) & (F.lower("column") == F.lower("name"))).select("column", "header_unit", "unit").filter("header_unit is not null and unit is not null")
-    f = _python(spark, lambda t: stated_unit(t), "string")
-    read = both.withColumn("a", f("header_unit")).withColumn("b", f("unit"))
-    return read.select("column", "header_unit", "unit", F.when(F.col("a").isNull() | F.col("b").isNull(), "unknown").when(F.col("a") == F.col("b"), "agree").otherwise("conflict").alias("verdict"))
-
-
-@query("i17_plausible_names")
-def i17(spark, sf):
-    return table(spark, sf, "key_values").select("label").distinct().withColumn("plausible", _python(spark, lambda t: D.plausible_name((t or "").strip()), "boolean")("label"))
-
-
-@query("i20_missing_sentences", "WITH v(i, t) AS (VALUES (1, 'Missing values are coded as -999.'), (2, 'Here NA means missing.'), (3, 'All is there.')) SELECT i, CASE i WHEN 1 THEN '-999' WHEN 2 THEN 'NA' ELSE '' END AS codes FROM v")
-def i20(spark, sf):
-    v = spark.createDataFrame([(1, "Missing values are coded as -999."), (2, "Here NA means missing."), (3, "All is there.")], "i int, t string")
-    return v.select("i", _python(spark, lambda t: "|".join(D.missing_codes_in_prose(t)), "string")("t").alias("codes"))
-
-
-@query("i21_missing_labels", "WITH v(t) AS (VALUES ('missing'), ('Not recorded'), ('n/a'), ('unknown'), ('refused'), ('no data'), ('missing by design')) SELECT t, regexp_matches(lower(t), '^(missing.*|not recorded|n/?a|no data)$') AS means_missing FROM v")
-def i21(spark, sf):
-    v = spark.createDataFrame([(t,) for t in ("missing", "Not recorded", "n/a", "unknown", "refused", "no data", "missing by design")], "t string")
-    return v.withColumn("means_missing", F.col("t").rlike(T.MISSING_LABEL))
-
-
-@query("i24_list_items", "SELECT DISTINCT kv_id, len(list_filter(list_transform(string_split_regex(value_text, ';|\\n'), lambda x: trim(x, ' ')), lambda x: lower(x) NOT IN ('', 'none', 'n/a', 'not applicable'))) AS n FROM key_values WHERE value_text IS NOT NULL")
-def i24(spark, sf):
-    parts = F.filter(F.transform(F.split("value_text", ";|\n"), lambda x: F.trim(x)), lambda x: ~F.lower(x).isin("", "none", "n/a", "not applicable"))
-    return table(spark, sf, "key_values").filter("value_text is not null").select("kv_id", F.size(parts).cast("long").alias("n")).distinct()
-
-
-#: Fields of a dataset's description with the keys that state them.
-FIELDS = {
-    "title": "title of dataset; dataset title; title", "description": "description of the dataset; dataset description; description; abstract; summary", "identifier": "dataset doi; doi; identifier; persistent identifier",
-    "collection_period": "date of data collection; collection date; dates of collection", "geographic_location": "geographic location of data collection; geographic location; location", "funding": "funding information; funding sources; funding; grant information",
-    "license": "license; licence; licenses; licences; rights", "citation": "recommended citation for this dataset; recommended citation; dataset citation; citation",
-}
-
-
-@query("i25_project_fields")
-def i25(spark, sf):
-    """The description field of each key: its synonym, else the closest one by Indel ratio of at least 85."""
-    known = {w.strip(): field for field, words in FIELDS.items() for w in words.split(";")}
-
-    def field(label):
-        t = " ".join("".join(c if c.isalnum() else " " for c in (label or "").lower()).split())
-        if t in known:
-            return known[t]
-        best = max(((T.py_indel_ratio(t, w), w) for w in known), default=(0, ""))
-        return known[best[1]] if t and best[0] >= 85 else None
-
-    return table(spark, sf, "key_values").select("label").filter("label is not null").distinct().withColumn("field", _python(spark, field, "string")("label"))
-
-
-@query("i26_person_roles", "SELECT DISTINCT person_id, CASE lower(person_role) WHEN 'principal investigator' THEN 'principal_investigator' WHEN 'contact' THEN 'contact' WHEN 'author' THEN 'author' WHEN 'creator' THEN 'author' END AS role FROM persons WHERE person_role IS NOT NULL")
-def i26(spark, sf):
-    roles = F.create_map(*[F.lit(x) for x in ("principal investigator", "principal_investigator", "contact", "contact", "author", "author", "creator", "author")])
-    return table(spark, sf, "persons").filter("person_role is not null").select("person_id", roles[F.lower("person_role")].alias("role")).distinct()
-
-
-@query("i28_absences")
-def i28(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", _python(spark, D.absence_sentence, "string")("text").alias("sentence")).filter("sentence is not null")
-
-
-@query("i32_noise", r"SELECT doc_id, regexp_matches(text, 'https?://') AS has_link, regexp_matches(text, '[A-Za-z0-9_.]+@[A-Za-z0-9_]+\.[A-Za-z]+') AS has_mail FROM documents WHERE text IS NOT NULL")
-def i32(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", t.rlike("https?://").alias("has_link"), t.rlike(r"[A-Za-z0-9_.]+@[A-Za-z0-9_]+\.[A-Za-z]+").alias("has_mail"))
-
-
-@query("i33_json_rows", "SELECT o_orderkey, o_orderstatus FROM orders")
-def i33(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    kind = dict(o.dtypes)["o_orderkey"]
-    return o.select(F.from_json(F.to_json(F.struct("*")), f"o_orderkey {kind}, o_orderstatus string").alias("x")).select("x.*")
-
-
-@query("k10_claims", "SELECT DISTINCT dataset_id, CASE WHEN declared_vars IS NULL THEN 'not stated' WHEN declared_vars = column_count THEN 'agree' ELSE 'differ' END AS variables, (SELECT count(DISTINCT def_id) FROM variable_definitions d WHERE d.dataset_id = s.dataset_id) AS described FROM dataset_structures s")
-def k10(spark, sf):
-    s = table(spark, sf, "dataset_structures").select("dataset_id", F.when(F.col("declared_vars").isNull(), "not stated").when(F.col("declared_vars") == F.col("column_count"), "agree").otherwise("differ").alias("variables")).distinct()
-    d = table(spark, sf, "variable_definitions").groupBy("dataset_id").agg(F.count_distinct("def_id").alias("described"))
-    return s.join(d, "dataset_id", "left").select("dataset_id", "variables", F.coalesce("described", F.lit(0)).alias("described"))

@@ -21,16 +21,15 @@ from tablewright.operators import linking as L
 from tablewright.operators import matching as M
 from tablewright.operators import prose, reader
 from tablewright.operators import review as R
+from tablewright.operators.issues import severity
 from tablewright.sources import delimited, files, office
 
-SEVERITY = {"INPUT_NOT_FOUND": "fatal", "NO_FILES_FOUND": "fatal", "ZIP_LIMIT_EXCEEDED": "fatal", "EXCEL_CORRUPT": "error", "INTERNAL_ERROR": "error"}
-INFO = {"UNSUPPORTED_FILE", "ENCODING_FALLBACK", "README_MULTIPLE", "CONFLICTING_METADATA", "EXCEL_HIDDEN_SHEET", "EXCEL_EMPTY_SHEET", "DOCUMENTED_VARIABLE_INTENTIONALLY_ABSENT", "DOCUMENTED_VARIABLE_IN_OTHER_FILE", "DOCUMENTATION_UNASSIGNED", "DECLARED_ROWS_MISMATCH"}
 #: Weights of the stages in the progress of a run, in per cent.
 STAGES = {"discovery": 5, "structure": 30, "documentation": 20, "scoping": 5, "columns": 30, "assembly": 10}
 
 
 def issue(code: str, place: str, detail: str = "") -> dict:
-    return {"code": code, "severity": SEVERITY.get(code, "info" if code in INFO else "warning"), "location": place, "detail": detail}
+    return {"code": code, "severity": severity(code), "location": place, "detail": detail}
 
 
 @dataclass
@@ -406,6 +405,12 @@ def schema_json() -> str:
     return json.dumps(SCHEMA, indent=2, sort_keys=True)
 
 
+def drift(kept: dict) -> list[str]:
+    """Where a kept schema differs from the present one."""
+    now = json.loads(schema_json())
+    return [k for k in sorted({*kept, *now}) if kept.get(k) != now.get(k)]
+
+
 def violations(document: dict) -> list[str]:
     """What a document lacks of the schema."""
     out = []
@@ -435,7 +440,7 @@ def main(arguments: list[str] | None = None) -> int:
     a = p.parse_args(arguments)
     if a.schema:
         if a.check:
-            return int(json.loads(Path(a.check).read_text()) != json.loads(schema_json()))
+            return int(bool(drift(json.loads(Path(a.check).read_text()))))
         print(schema_json())
         return 0
     if not a.path:

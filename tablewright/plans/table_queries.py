@@ -67,12 +67,6 @@ def e02(spark, sf):
     return H.numeric_stats(hist(spark, sf, "lineitem", "part")).withColumn("mean", F.round("mean", 5))
 
 
-@query("e03_temporal_bounds", "SELECT 'orders' AS dataset_id, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day FROM orders")
-def e03(spark, sf):
-    h = H.present(hist(spark, sf, "orders")).filter("name = 'o_orderdate'").withColumn("day", F.try_to_timestamp("value", F.lit("yyyy-M-d H:m:s")).cast("date"))
-    return h.groupBy("dataset_id").agg(F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
-
-
 @query("e04_top_values", f"WITH {hist_sql('orders', 'customer')}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, pos ORDER BY n DESC, value) AS rank FROM pres) SELECT dataset_id, pos, name, value, n, rank FROM r WHERE rank <= 10")
 def e04(spark, sf):
     return H.top_values(hist(spark, sf, "orders", "customer"))
@@ -125,20 +119,6 @@ def d02(spark, sf):
     return H.typed(_spoiled(spark, sf).withColumn("c_custkey", F.col("c_custkey").cast("string")), {"c_custkey": "integer", "raw": "integer"})
 
 
-@query("d03_record_cap", "SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice, (SELECT count(*) FROM orders) > 1000 AS truncated FROM orders ORDER BY o_orderkey LIMIT 1000")
-def d03(spark, sf):
-    """The feature is the cap: at most this many records go into the document, with a flag whether there are more."""
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
-    return o.orderBy("o_orderkey").limit(1000).withColumn("truncated", F.lit(o.count() > 1000))
-
-
-@query("d05_distinct_values", f"WITH {hist_sql('orders', 'customer')}, s AS (SELECT dataset_id, pos, name, count(*) AS c, string_agg(value, '|' ORDER BY value) AS seen FROM pres GROUP BY ALL) SELECT dataset_id, pos, name, seen FROM s WHERE c <= 200")
-def d05(spark, sf):
-    h = H.present(hist(spark, sf, "orders", "customer"))
-    few = h.groupBy(*H.KEY).agg(F.count(F.lit(1)).alias("c")).filter("c <= 200")
-    return h.join(few, H.KEY, "left_semi").groupBy(*H.KEY, "name").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("seen"))
-
-
 @query("d06_cast_tests", f"WITH {hist_sql('orders', 'part')} SELECT dataset_id, pos, name, bool_and(regexp_full_match(value, {_NUM})) AS all_numbers, bool_and(lower(value) IN {_BOOL}) AS all_boolean, bool_or(regexp_full_match(value, '0[0-9]+')) AS leading_zero, bool_and(regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) AS all_iso_dates FROM pres GROUP BY ALL")
 def d06(spark, sf):
     v = F.col("value")
@@ -159,13 +139,6 @@ def d12(spark, sf):
     return H.blocking_examples(hist(spark, sf, "orders", "part"))
 
 
-@query("d14_retype_with_codes", f"WITH {hist_sql('part')}, p2 AS (SELECT * FROM pres WHERE NOT (name = 'p_size' AND value = '1')) SELECT dataset_id, pos, name, count(*) AS dist, sum(n)::BIGINT AS total, min(value) AS least FROM p2 GROUP BY ALL")
-def d14(spark, sf):
-    codes = spark.createDataFrame([("p_size", "1")], "name string, value string")
-    rest = H.present(hist(spark, sf, "part")).join(F.broadcast(codes), ["name", "value"], "left_anti")
-    return rest.groupBy(*H.KEY, "name").agg(F.count(F.lit(1)).alias("dist"), F.sum("n").alias("total"), F.min("value").alias("least"))
-
-
 _OVER = "SELECT 'orders' AS ds, 'custkey' AS norm, CAST(o_custkey AS VARCHAR) AS v FROM orders UNION SELECT 'customer', 'custkey', CAST(c_custkey AS VARCHAR) FROM customer UNION SELECT 'lineitem', 'suppkey', CAST(l_suppkey AS VARCHAR) FROM lineitem UNION SELECT 'supplier', 'suppkey', CAST(s_suppkey AS VARCHAR) FROM supplier UNION SELECT 'customer', 'nationkey', CAST(c_nationkey AS VARCHAR) FROM customer UNION SELECT 'supplier', 'nationkey', CAST(s_nationkey AS VARCHAR) FROM supplier"
 
 
@@ -204,179 +177,14 @@ def _pairs(spark, sf):
 _NORM = lambda c: f"lower(regexp_replace(regexp_replace(strip_accents({c}), '\\s*[(\\[][^()\\[\\]]*[)\\]]\\s*$', ''), '[\\s_\\-.]+', '', 'g'))"
 
 
-@query("f02_exact_link", f"WITH d AS ({_DEFS}) SELECT n_name AS column, name, CASE WHEN n_name = name THEN 'exact' WHEN lower(n_name) = lower(name) THEN 'case_insensitive' ELSE 'normalized' END AS method, CASE WHEN n_name = name THEN 1.0 WHEN lower(n_name) = lower(name) THEN 0.98 ELSE 0.95 END::DOUBLE AS base FROM nation, d WHERE {_NORM('n_name')} = {_NORM('name')}")
-def f02(spark, sf):
-    c, d = _pairs(spark, sf)
-    met = c.withColumn("norm", T.normalize_name(F.col("column"))).join(d.withColumn("norm", T.normalize_name(F.col("name"))), ["dataset_id", "norm"])
-    return M.ladder(met).select("column", "name", "method", "base")
-
-
-@query("f09_ladder_counts", f"WITH d AS ({_DEFS}), p AS (SELECT CASE WHEN n_name = name THEN 'exact' WHEN lower(n_name) = lower(name) THEN 'case_insensitive' WHEN {_NORM('n_name')} = {_NORM('name')} THEN 'normalized' ELSE 'fuzzy' END AS method FROM nation, d) SELECT method, count(*) AS n FROM p GROUP BY method")
-def f09(spark, sf):
-    c, d = _pairs(spark, sf)
-    return M.ladder(c.join(d, "dataset_id")).withColumn("method", F.when(F.col("method").isin("exact", "case_insensitive", "normalized"), F.col("method")).otherwise("fuzzy")).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("f08_indel", "WITH v(a, b) AS (VALUES ('milkprt', 'milkfat'), ('nationkey', 'nationkeys'), ('bwsmthchg', 'bwsmoothchg'), ('abc', 'xyz')) SELECT a, b, round(CASE a WHEN 'milkprt' THEN 500.0/7 WHEN 'nationkey' THEN 1800.0/19 WHEN 'bwsmthchg' THEN 90.0 ELSE 0.0 END, 4)::DOUBLE AS ratio FROM v")
-def f08(spark, sf):
-    pairs = spark.createDataFrame([("milkprt", "milkfat"), ("nationkey", "nationkeys"), ("bwsmthchg", "bwsmoothchg"), ("abc", "xyz")], "a string, b string")
-    return pairs.withColumn("ratio", F.round(T.indel_ratio(F.col("a"), F.col("b")), 4))
-
-
-@query("f01_scored_pairs")
-def f01(spark, sf):
-    c, d = _pairs(spark, sf)
-    return M.contextual(M.ladder(c.join(d, "dataset_id"))).select("column", "name", "method", "base", "nudge", "score")
-
-
 @query("f12_assignment")
 def f12(spark, sf):
     return M.match(*_pairs(spark, sf))
 
 
-@query("f15_decisions", "SELECT l_orderkey, l_linenumber, CASE WHEN 1 - l_discount::DOUBLE * 4 >= 0.85 THEN 'accept' WHEN 1 - l_discount::DOUBLE * 4 >= 0.7 THEN 'review' ELSE 'unmatched' END AS decision FROM lineitem")
-def f15(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.decision(1 - F.col("l_discount").cast("double") * 4).alias("decision"))
-
-
-@query("f16_undocumented", "SELECT n_name AS name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 3 = 0)")
-def f16(spark, sf):
-    n = table(spark, sf, "nation").select(F.lit("d").alias("dataset_id"), F.col("n_name").alias("name"), "n_nationkey")
-    owned = table(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select("s_nationkey").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("dataset_id", "name")
-    return M.unmatched_definitions(n, owned).select("name")
-
-
-@query("f17_leftover_triage", "SELECT n_name AS name, CASE WHEN n_nationkey % 7 = 0 THEN 'DOCUMENTED_VARIABLE_INTENTIONALLY_ABSENT' WHEN n_regionkey = 1 THEN 'DOCUMENTED_VARIABLE_IN_OTHER_FILE' ELSE 'DOCUMENTED_VARIABLE_NOT_IN_DATA' END AS code FROM nation")
-def f17(spark, sf):
-    n = table(spark, sf, "nation")
-    left = n.select(F.lit("d").alias("dataset_id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 7 == 0).alias("absent"))
-    columns = n.filter("n_regionkey = 1").select(F.lit("e").alias("dataset_id"), F.lower("n_name").alias("column"))
-    return M.triage(left, columns).select("name", "code")
-
-
-@query("f18_out_of_scope", "SELECT c.n_name AS column, lower(c.n_name) AS name, 0.98::DOUBLE AS score FROM nation c WHERE c.n_regionkey = 2")
-def f18(spark, sf):
-    n = table(spark, sf, "nation").filter("n_regionkey = 2")
-    un = n.select(F.lit("a").alias("dataset_id"), F.col("n_name").alias("column"))
-    d = n.select(F.lit("b").alias("dataset_id"), F.lower("n_name").alias("name"))
-    return M.out_of_scope(un, d).select("column", "name", "score")
-
-
-_NAMED = "SELECT dataset_id, col FROM (VALUES ('lineitem','order_key'),('orders','OrderKey'),('orders','Cust Key'),('customer','cust-key'),('part','part_key'),('supplier','nation.key'),('customer','NATION_KEY')) v(dataset_id, col)"
-
-
-@query("f25_same_name_elsewhere", f"WITH c AS (SELECT dataset_id, col, lower(regexp_replace(col, '[\\s_\\-.]+', '', 'g')) AS norm FROM ({_NAMED})) SELECT DISTINCT a.dataset_id, a.col AS column, b.dataset_id AS other FROM c a JOIN c b ON a.norm = b.norm AND a.dataset_id <> b.dataset_id")
-def f25(spark, sf):
-    rows = [("lineitem", "order_key"), ("orders", "OrderKey"), ("orders", "Cust Key"), ("customer", "cust-key"), ("part", "part_key"), ("supplier", "nation.key"), ("customer", "NATION_KEY")]
-    return M.same_name_elsewhere(spark.createDataFrame(rows, "dataset_id string, column string"))
-
-
-# Set operations, ordering, first-wins.
-@query("h01_sorted_files", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size < 10 THEN 0 ELSE 1 END, p_name, p_partkey) AS place FROM part")
-def h01(spark, sf):
-    """Files of each repository in the order of role and path."""
-    from pyspark.sql import Window
-
-    files = table(spark, sf, "part")
-    order = Window.partitionBy("p_brand").orderBy(F.when(F.col("p_size") < 10, 0).otherwise(1), "p_name", "p_partkey")
-    return files.select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
-
-
-@query("h02_top_k", "SELECT c_mktsegment, c_custkey, rank FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 5")
-def h02(spark, sf):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
-    return table(spark, sf, "customer").select("c_mktsegment", "c_custkey", rank.cast("long").alias("rank")).filter("rank <= 5")
-
-
-@query("h03_union_issues", "SELECT 'HEADER_BLANK' AS code, 'warning' AS severity, o_orderkey AS place FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'CSV_PARSE_FAILED', 'warning', c_custkey FROM customer WHERE c_custkey % 40 = 0 UNION ALL SELECT 'INTERNAL_ERROR', 'error', s_suppkey FROM supplier WHERE s_suppkey % 10 = 0")
-def h03(spark, sf):
-    one = lambda t, code, severity, key, every: table(spark, sf, t).filter(F.col(key) % every == 0).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(key).cast("long").alias("place"))
-    return one("orders", "HEADER_BLANK", "warning", "o_orderkey", 50).unionByName(one("customer", "CSV_PARSE_FAILED", "warning", "c_custkey", 40)).unionByName(one("supplier", "INTERNAL_ERROR", "error", "s_suppkey", 10))
-
-
 @query("h04_intersect", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
 def h04(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, sf, "orders").select("o_custkey"))
 
 
-@query("h05_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
-def h05(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").select("o_custkey"))
-
-
-@query("h06_subset_disjoint", "WITH o AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderstatus)) AS seen FROM orders GROUP BY 1) SELECT k, len(list_filter(seen, lambda x: NOT list_contains(['F','O'], x))) = 0 AS subset, NOT list_has_any(seen, ['P']) AS disjoint FROM o")
-def h06(spark, sf):
-    seen = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderstatus").alias("seen"))  # at most three statuses
-    return seen.select("k", (F.size(F.array_except("seen", F.array(F.lit("F"), F.lit("O")))) == 0).alias("subset"), (~F.arrays_overlap("seen", F.array(F.lit("P")))).alias("disjoint"))
-
-
-@query("h07_ordered_unique", "SELECT source, min(doc_id) AS first_seen FROM documents GROUP BY source")
-def h07(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("first_seen"))
-
-
-@query("h08_first_wins", "SELECT lower(trim(name, ' ')) AS person, coalesce(orcid, '') AS id, min(person_id) AS kept FROM persons WHERE trim(coalesce(name, ''), ' ') <> '' GROUP BY 1, 2")
-def h08(spark, sf):
-    p = table(spark, sf, "persons").filter("trim(coalesce(name, '')) <> ''")
-    return p.groupBy(F.lower(F.trim("name")).alias("person"), F.coalesce("orcid", F.lit("")).alias("id")).agg(F.min("person_id").alias("kept"))
-
-
-@query("h09_scalar_merge", "WITH k AS (SELECT repo_id, lower(trim(label, ' ')) AS field, kv_id, value_text FROM (SELECT DISTINCT repo_id, label, kv_id, value_text FROM key_values) WHERE trim(coalesce(label, ''), ' ') <> '' AND trim(coalesce(value_text, ''), ' ') <> '') SELECT repo_id, field, arg_min(value_text, kv_id) AS value, count(DISTINCT value_text) > 1 AS conflict FROM k GROUP BY 1, 2")
-def h09(spark, sf):
-    k = table(spark, sf, "key_values").filter("trim(coalesce(label, '')) <> '' and trim(coalesce(value_text, '')) <> ''")
-    return k.groupBy("repo_id", F.lower(F.trim("label")).alias("field")).agg(F.min_by("value_text", "kv_id").alias("value"), (F.count_distinct("value_text") > 1).alias("conflict"))
-
-
-@query("h10_relation_dedup", "SELECT DISTINCT repo_id, line_start, value_text FROM key_values")
-def h10(spark, sf):
-    return table(spark, sf, "key_values").select("repo_id", "line_start", "value_text").dropDuplicates()
-
-
-@query("h11_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(p_type), 'brass') OR contains(lower(p_brand), '#1')")
-def h11(spark, sf):
-    hit = lambda c, w: F.contains(F.lower(c), F.lit(w))
-    return table(spark, sf, "part").filter(hit("p_name", "an") | hit("p_type", "brass") | hit("p_brand", "#1")).select("p_partkey", "p_name")
-
-
 # Summaries.
-@query("e07_run_summary", "SELECT count(DISTINCT dataset_id) AS datasets, count(*) AS variables, count(*) FILTER (match_confidence >= 0.85) AS matched, count(*) FILTER (def_id IS NULL) AS undocumented FROM (SELECT DISTINCT variable_id, dataset_id, match_confidence, def_id FROM dataset_variables)")
-def e07(spark, sf):
-    v = table(spark, sf, "dataset_variables").select("variable_id", "dataset_id", "match_confidence", "def_id").distinct()
-    return v.agg(F.count_distinct("dataset_id").alias("datasets"), F.count(F.lit(1)).alias("variables"), F.count_if(F.col("match_confidence") >= 0.85).alias("matched"), F.count_if(F.col("def_id").isNull()).alias("undocumented"))
-
-
-@query("e08_severities", f"SELECT severity, count(*) AS n FROM ({ORACLE['h03_union_issues']}) GROUP BY severity")
-def e08(spark, sf):
-    return h03(spark, sf).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("e09_mean_confidence", f"SELECT a, b, round(avg(overlap), 3) AS confidence FROM ({ORACLE['f27_value_overlap']}) GROUP BY a, b")
-def e09(spark, sf):
-    return f27(spark, sf).groupBy("a", "b").agg(F.round(F.avg("overlap"), 3).alias("confidence"))
-
-
-@query("e10_declared_counts", "SELECT DISTINCT dataset_id, declared_vars, column_count, CASE WHEN declared_vars IS NULL THEN 'not stated' WHEN declared_vars = column_count THEN 'agree' ELSE 'differ' END AS variables, CASE WHEN declared_rows IS NULL OR row_count IS NULL THEN 'not stated' WHEN declared_rows = row_count THEN 'agree' ELSE 'differ' END AS observations FROM dataset_structures")
-def e10(spark, sf):
-    claim = lambda a, b: F.when(F.col(a).isNull() | F.col(b).isNull(), "not stated").when(F.col(a) == F.col(b), "agree").otherwise("differ")
-    return table(spark, sf, "dataset_structures").select("dataset_id", "declared_vars", "column_count", claim("declared_vars", "column_count").alias("variables"), claim("declared_rows", "row_count").alias("observations")).distinct()
-
-
-@query("e11_coverage", "WITH d AS (SELECT DISTINCT def_id, dataset_id, lower(regexp_replace(name, '[\\s_\\-.]+', '', 'g')) AS norm FROM variable_definitions), c AS (SELECT DISTINCT dataset_id, lower(regexp_replace(name, '[\\s_\\-.]+', '', 'g')) AS norm FROM column_contexts) SELECT d.dataset_id, round(avg(CASE WHEN c.norm IS NULL THEN 0.0 ELSE 1.0 END), 6)::DOUBLE AS coverage FROM d LEFT JOIN c ON d.dataset_id = c.dataset_id AND d.norm = c.norm GROUP BY d.dataset_id")
-def e11(spark, sf):
-    fold = F.lower(F.regexp_replace("name", r"[\s_\-.]+", ""))
-    d = table(spark, sf, "variable_definitions").select("def_id", "dataset_id", fold.alias("norm")).distinct()
-    c = table(spark, sf, "column_contexts").select("dataset_id", fold.alias("norm"), F.lit(1.0).alias("hit")).distinct()
-    return d.join(c, ["dataset_id", "norm"], "left").groupBy("dataset_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("coverage"))
-
-
-@query("e13_stage_timings", "SELECT event_type AS stage, count(*) AS runs, round(sum(value::DOUBLE), 4) AS total FROM events GROUP BY event_type")
-def e13(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
-
-
-@query("e14_dashboard", "SELECT var_type, count(*) FILTER (match_confidence < 0.95) AS pending, count(*) AS total, round(quantile_cont(match_confidence, 0.5), 6) AS median_confidence FROM (SELECT DISTINCT variable_id, var_type, match_confidence FROM dataset_variables) GROUP BY var_type")
-def e14(spark, sf):
-    v = table(spark, sf, "dataset_variables").select("variable_id", "var_type", "match_confidence").distinct()
-    return v.groupBy("var_type").agg(F.count_if(F.col("match_confidence") < 0.95).alias("pending"), F.count(F.lit(1)).alias("total"), F.round(F.percentile("match_confidence", 0.5), 6).alias("median_confidence"))

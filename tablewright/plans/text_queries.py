@@ -1,21 +1,14 @@
-"""Queries on files, dialects, documentation text, scoping and review (A, B, C, G, I, F19-F34, K), with SQL twins where SQL can say it.
-
-Where there is SQL, documentation lines are derived from the nations and parts in both engines; document_queries has the
-same steps over all documents.
-"""
+"""Queries on decoding, names, scoping and review (A09, B11, I, F19-F26, K), each with its SQL twin where SQL can say it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
-from tablewright.operators import documents as D
 from tablewright.operators import linking as L
 from tablewright.operators import review as R
 from tablewright.plans.table_queries import _NORM
-from tablewright.session import shared_dir, ship
-from tablewright.sources import delimited, files
+from tablewright.sources import files
 from tablewright.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,45 +25,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-#: A small documentation text per nation, the same expression in both engines.
-_TEXT = (
-    "upper(r_name) || chr(10) || 'Name: ' || n_name || chr(10) || 'Filename: ' || lower(n_name) || '.csv' || chr(10) || 'Number of rows: ' || CAST(n_nationkey * 10 AS VARCHAR) || chr(10) || 'Missing data codes: NA, -' || CAST(90 + n_nationkey AS VARCHAR) || chr(10)"
-    " || 'Funding: granted by ' || n_name || chr(10) || 'and continued later' || chr(10) || '- size_' || CAST(n_nationkey AS VARCHAR) || ', the size of the part (cm)' || chr(10) || '| a | b |' || chr(10) || '-----' || chr(10) || 'see ' || lower(n_name) || '.csv and orders.csv, joined on n_nationkey'"
-)
-_DOCS = f"docs AS (SELECT CAST(n_nationkey AS VARCHAR) AS file, {_TEXT} AS text FROM nation JOIN region ON n_regionkey = r_regionkey)"
-_LINES = f"{_DOCS}, l AS (SELECT file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM docs)"
-
-
-def docs(spark: SparkSession, sf: str) -> DataFrame:
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    text = _TEXT.replace("CAST(n_nationkey * 10 AS VARCHAR)", "CAST(n_nationkey * 10 AS STRING)").replace("AS VARCHAR", "AS STRING").replace("chr(10)", "'\\n'")
-    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("file"), F.expr(text).alias("text"))
-
-
-def lines(spark, sf) -> DataFrame:
-    return D.lines_of(docs(spark, sf), "file", "text")
-
-
-def documented(spark, sf) -> DataFrame:
-    """The lines of all documents."""
-    return D.lines_of(table(spark, sf, "documents"), "doc_id", "text")
-
-
-_KIND = r"""CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_full_match(line, '\s*(?:[-=_*]{3,}|-)\s*') THEN 'rule' WHEN regexp_full_match(line, '\s*\|.*\|\s*') THEN 'pipe_row'
- WHEN regexp_matches(line, '^\s*(?:[0-9]+[.)]\s*)?([^:]{1,60}?):\s*(.*)$') THEN 'key_value' WHEN regexp_matches(line, '^\s*(?:[-*•·]|[0-9]+[.)])\s+\S') THEN 'list_item' WHEN upper(trim(line)) = trim(line) AND regexp_matches(line, '[A-Z]') THEN 'heading' ELSE 'text' END"""
-
-
-@query("a04_digest", "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
-def a04(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-
-
-@query("a07_readme_score", "SELECT DISTINCT file_name, CASE WHEN lower(file_name) LIKE '%readme%' OR lower(file_name) LIKE '%read_me%' THEN 1.0 WHEN lower(file_name) LIKE '%codebook%' OR lower(file_name) LIKE '%dictionary%' THEN 0.9 WHEN lower(file_name) LIKE '%metadata%' OR lower(file_name) LIKE '%methods%' THEN 0.7 WHEN lower(file_name) LIKE '%manifest%' OR lower(file_name) LIKE '%about%' OR lower(file_name) LIKE '%info%' OR lower(file_name) LIKE '%notes%' THEN 0.5 ELSE 0.2 END::DOUBLE AS score FROM (SELECT file_name FROM key_values UNION SELECT file_name FROM decoded_texts) WHERE file_name IS NOT NULL AND (lower(file_name) LIKE '%readme%' OR file_name NOT LIKE '%/%')")
-def a07(spark, sf):
-    names = table(spark, sf, "key_values").select("file_name").union(table(spark, sf, "decoded_texts").select("file_name")).distinct().filter("file_name is not null and (lower(file_name) like '%readme%' or not contains(file_name, '/'))")
-    return names.select("file_name", files.readme_score(F.col("file_name")).alias("score"))
-
-
 @query("a09_decode_ladder")
 def a09(spark, sf):
     """The texts written in three encodings, read back through the ladder."""
@@ -81,177 +35,11 @@ def a09(spark, sf):
     return files.decoded(d.select("path", content.alias("content"))).groupBy("encoding", "rung").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a15_sample", "SELECT doc_id, CASE WHEN length(text) <= 200 THEN length(text) ELSE length(regexp_replace(substr(text, 1, 200), '[^\\n]*$', '')) END AS kept FROM documents WHERE text IS NOT NULL")
-def a15(spark, sf):
-    """A sniffing sample: at most so many characters, cut after the last line break."""
-    cut = F.regexp_replace(F.substring("text", 1, 200), r"[^\n]*\z", "")
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.when(F.length("text") <= 200, F.length("text")).otherwise(F.length(cut)).cast("long").alias("kept"))
-
-
-@query("a19_lines", f"WITH {_LINES} SELECT file, line_no, rtrim(line) AS line FROM l")
-def a19(spark, sf, lines=lines):
-    return lines(spark, sf).select("file", F.col("line_no").cast("long").alias("line_no"), "line")
-
-
-@query("a23_json_out", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-def a23(spark, sf):
-    """To JSON and back."""
-    rows = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    text = rows.select(F.to_json(F.struct("n_nationkey", "n_name", "r_name")).alias("j"))
-    kinds = dict(rows.dtypes)
-    return text.select(F.from_json("j", f"n_nationkey {kinds['n_nationkey']}, n_name string, r_name string").alias("x")).select("x.*")
-
-
-@query("a24_event_log", "SELECT row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq, event_type AS stage, event_id FROM events")
-def a24(spark, sf):
-    import uuid
-
-    path = f"{shared_dir(spark)}/events_{uuid.uuid4().hex}"
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    rows = table(spark, sf, "events").select(F.row_number().over(w).cast("long").alias("seq"), F.col("event_type").alias("stage"), "event_id")
-    rows.write.json(path)
-    return spark.read.schema(rows.schema).json(path)
-
-
-@query("a25_excerpt", f"WITH {_LINES} SELECT file, line_no, line FROM l WHERE line_no BETWEEN 3 AND 6")
-def a25(spark, sf, lines=lines):
-    return lines(spark, sf).filter("line_no between 3 and 6").select("file", F.col("line_no").cast("long").alias("line_no"), "line")
-
-
-@query("b02_row_widths", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, len(string_split(line, ',')) AS width, count(*) AS n FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, width DESC) AS r, sum(n) OVER (PARTITION BY doc_id) AS total FROM w) SELECT doc_id, width, round(n / total, 6) AS consistency FROM r WHERE r = 1")
-def b02(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
-    widths = rows.groupBy("doc_id", F.size(F.split("line", ",")).cast("long").alias("width")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("doc_id")
-    r = F.row_number().over(w.orderBy(F.desc("n"), F.desc("width")))
-    return widths.withColumn("total", F.sum("n").over(w)).withColumn("r", r).filter("r = 1").select("doc_id", "width", F.round(F.col("n") / F.col("total"), 6).alias("consistency"))
-
-
-def _tables_udf(spark):
-    """Each pending table's lines as one text, read with the sniffing reader."""
-    ship(spark)
-
-    def run(texts):
-        import pandas as pd
-
-        rows = []
-        for text in texts:
-            t = delimited.read(text or "", ".csv")
-            rows.append((t.dialect.delimiter, t.dialect.quote, t.dialect.width, t.header_row, len(t.rows), "|".join(t.header), "|".join(u or "" for u in t.units), delimited.tabular_evidence(text or ""), ",".join(sorted(set(t.issues)))))
-        return pd.DataFrame(rows, columns=["delimiter", "quote", "width", "header_row", "rows", "header", "units", "evidence", "issues"])
-
-    return F.pandas_udf(run, "delimiter string, quote string, width int, header_row int, rows long, header string, units string, evidence double, issues string")
-
-
-@query("a11_read_tables")
-def a11(spark, sf):
-    """Dialect, header, units and rows of every pending table, sniffed from its text (a file is read whole by one task)."""
-    raw = table(spark, sf, "raw_rows").dropDuplicates(["dataset_id", "line_no"])
-    text = raw.groupBy("dataset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw_line"))), lambda x: F.coalesce(x["raw_line"], F.lit(""))), "\n").alias("text"))
-    return text.withColumn("t", _tables_udf(spark)("text")).select("dataset_id", "t.*")
-
-
-@query("b08_literals", "SELECT DISTINCT raw, regexp_full_match(trim(raw, ' '), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') AS is_number, regexp_full_match(trim(raw, ' '), '[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}') AS is_date FROM table_cells WHERE raw IS NOT NULL")
-def b08(spark, sf):
-    v = F.trim("raw")
-    return table(spark, sf, "table_cells").select("raw").filter("raw is not null").distinct().select("raw", v.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z").alias("is_number"), v.rlike(r"\A[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}\z").alias("is_date"))
-
-
-@query("b09_unique_headers", "WITH c AS (SELECT DISTINCT dataset_id, pos, CASE WHEN trim(coalesce(name, '')) = '' THEN 'column_' || pos ELSE regexp_replace(name, '__[0-9]+$', '') END AS base FROM column_contexts), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, base ORDER BY pos) AS k FROM c) SELECT dataset_id, pos, CASE WHEN k > 1 THEN base || '__' || k ELSE base END AS name FROM r")
-def b09(spark, sf):
-    c = table(spark, sf, "column_contexts").select("dataset_id", "pos", F.when(F.trim(F.coalesce("name", F.lit(""))) == "", F.concat(F.lit("column_"), "pos")).otherwise(F.regexp_replace("name", "__[0-9]+$", "")).alias("base")).distinct()
-    k = F.row_number().over(Window.partitionBy("dataset_id", "base").orderBy("pos"))
-    return c.withColumn("k", k).select("dataset_id", "pos", F.when(F.col("k") > 1, F.concat("base", F.lit("__"), "k")).otherwise(F.col("base")).alias("name"))
-
-
 @query("b11_header_units", r"SELECT DISTINCT original_name, nullif(regexp_extract(original_name, '[(\[]([^()\[\]]{1,20})[)\]]\s*$', 1), '') AS unit FROM dataset_variables WHERE original_name IS NOT NULL")
 def b11(spark, sf):
     return table(spark, sf, "dataset_variables").select("original_name").filter("original_name is not null").distinct().withColumn("unit", F.nullif(T.trailing_unit(F.col("original_name")), F.lit("")))
 
 
-@query("b12_fit_width", "SELECT doc_id, list_resize(string_split(coalesce(text, ''), ' ')[1:4], 4, '') AS cells FROM documents")
-def b12(spark, sf):
-    parts = F.split(F.coalesce("text", F.lit("")), " ")
-    return table(spark, sf, "documents").select("doc_id", F.slice(F.concat(parts, F.array_repeat(F.lit(""), 4)), 1, 4).alias("cells"))
-
-
-@query("c01_text_evidence")
-def c01(spark, sf):
-    ship(spark)
-
-    def run(texts):
-        import pandas as pd
-
-        return pd.Series([delimited.tabular_evidence(t or "") for t in texts])
-
-    return table(spark, sf, "documents").select("doc_id", F.pandas_udf(run, "double")("text").alias("evidence"))
-
-
-@query("c03_prose_rows", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, len(list_filter(string_split(line, ','), lambda c: len(string_split(c, ' ')) >= 8)) > 0 AS prose FROM l WHERE trim(line, ' ') <> '') SELECT doc_id, round(avg(prose::INT), 6)::DOUBLE AS share FROM r GROUP BY doc_id")
-def c03(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
-    prose = F.exists(F.split("line", ","), lambda c: F.size(F.split(c, " ")) >= 8)
-    return rows.groupBy("doc_id").agg(F.round(F.avg(prose.cast("int")), 6).alias("share"))
-
-
-@query("c04_identifier_share", "SELECT dataset_id, round(avg((length(name) <= 64 AND len(string_split(name, ' ')) <= 4)::INT), 6)::DOUBLE AS share FROM (SELECT DISTINCT def_id, dataset_id, name FROM variable_definitions WHERE trim(coalesce(name, ''), ' ') <> '') GROUP BY dataset_id")
-def c04(spark, sf):
-    d = table(spark, sf, "variable_definitions").filter("trim(coalesce(name, '')) <> ''").select("def_id", "dataset_id", "name").distinct()
-    ok = (F.length("name") <= 64) & (F.size(F.split("name", " ")) <= 4)
-    return d.groupBy("dataset_id").agg(F.round(F.avg(ok.cast("int")), 6).alias("share"))
-
-
-@query("i11_line_kinds", f"WITH {_LINES} SELECT file, line_no, {_KIND} AS kind FROM l")
-def i11(spark, sf, lines=lines):
-    return lines(spark, sf).select("file", F.col("line_no").cast("long").alias("line_no"), T.line_kind(F.col("line")).alias("kind"))
-
-
-@query("g01_sections", f"WITH {_LINES}, k AS (SELECT *, {_KIND} AS kind0 FROM l), k2 AS (SELECT *, CASE WHEN kind0 = 'text' AND lead(kind0) OVER (PARTITION BY file ORDER BY line_no) = 'rule' THEN 'heading' ELSE kind0 END AS kind FROM k) SELECT file, line_no, CAST(sum((kind = 'heading')::INT) OVER w AS BIGINT) AS section_id, last_value(CASE WHEN kind = 'heading' THEN trim(line) END IGNORE NULLS) OVER w AS section_title FROM k2 WINDOW w AS (PARTITION BY file ORDER BY line_no)")
-def g01(spark, sf, lines=lines):
-    return D.sections(lines(spark, sf)).select("file", F.col("line_no").cast("long").alias("line_no"), "section_id", "section_title")
-
-
-_KV = f"""{_LINES}, k AS (SELECT *, {_KIND} AS kind FROM l), b AS (SELECT *, sum((kind <> 'text')::INT) OVER (PARTITION BY file ORDER BY line_no) AS block FROM k),
-kv AS (SELECT file, max(CASE WHEN kind = 'key_value' THEN trim(split_part(line, ':', 1)) END) AS key, string_agg(CASE WHEN kind = 'key_value' THEN trim(substr(line, position(':' IN line) + 1)) ELSE trim(line) END, ' ' ORDER BY line_no) FILTER (kind IN ('key_value', 'text')) AS value, min(line_no) AS line_start, max(line_no) AS line_end FROM b GROUP BY file, block HAVING key IS NOT NULL)"""
-
-
-@query("g03_key_values", f"WITH {_KV} SELECT file, key, value, line_start, line_end FROM kv")
-def g03(spark, sf, lines=lines):
-    return D.key_values(lines(spark, sf)).select("file", "key", "value", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
-
-
-@query("g04_carried_context", f"WITH {_KV} SELECT file, key, last_value(CASE WHEN key = 'Filename' THEN value END IGNORE NULLS) OVER w AS in_file, last_value(CASE WHEN key = 'Missing data codes' THEN value END IGNORE NULLS) OVER w AS in_codes FROM kv WINDOW w AS (PARTITION BY file ORDER BY line_start)")
-def g04(spark, sf, lines=lines):
-    return D.carried(D.key_values(lines(spark, sf))).select("file", "key", "in_file", "in_codes")
-
-
-@query("g09_positions", "SELECT def_id, row_number() OVER (PARTITION BY dataset_id ORDER BY line_start, def_id) AS place FROM (SELECT DISTINCT def_id, dataset_id, line_start FROM variable_definitions)")
-def g09(spark, sf):
-    d = table(spark, sf, "variable_definitions").select("def_id", "dataset_id", "line_start").distinct()
-    return d.select("def_id", F.row_number().over(Window.partitionBy("dataset_id").orderBy("line_start", "def_id")).cast("long").alias("place"))
-
-
-@query("g10_person_roles", "SELECT person_id, last_value(person_role IGNORE NULLS) OVER (PARTITION BY repo_id ORDER BY recorded_at, person_id) AS role FROM (SELECT DISTINCT ON (person_id) person_id, repo_id, person_role, recorded_at FROM persons ORDER BY person_id, recorded_at)")
-def g10(spark, sf):
-    p = table(spark, sf, "persons").groupBy("person_id").agg(F.min_by(F.struct("repo_id", "person_role", "recorded_at"), "recorded_at").alias("p")).select("person_id", "p.*")
-    w = Window.partitionBy("repo_id").orderBy("recorded_at", "person_id")
-    return p.select("person_id", F.last("person_role", ignorenulls=True).over(w).alias("role"))
-
-
-@query("g11_runner_up", "WITH r AS (SELECT dataset_id, variable_id, match_confidence AS c, lead(match_confidence, 1, 0) OVER w AS next, row_number() OVER w AS r FROM (SELECT DISTINCT variable_id, dataset_id, match_confidence FROM dataset_variables WHERE match_confidence IS NOT NULL) WINDOW w AS (PARTITION BY dataset_id ORDER BY match_confidence DESC, variable_id)) SELECT dataset_id, variable_id, round(c - next, 6) AS margin FROM r WHERE r = 1")
-def g11(spark, sf):
-    v = table(spark, sf, "dataset_variables").filter("match_confidence is not null").select("variable_id", "dataset_id", "match_confidence").distinct()
-    w = Window.partitionBy("dataset_id").orderBy(F.desc("match_confidence"), "variable_id")
-    r = v.withColumn("next", F.lead("match_confidence", 1, 0.0).over(w)).withColumn("r", F.row_number().over(w)).filter("r = 1")
-    return r.select("dataset_id", "variable_id", F.round(F.col("match_confidence") - F.col("next"), 6).alias("margin"))
-
-
-@query("g12_progress", "SELECT event_id, CAST(sum(CAST(round(value::DOUBLE * 100) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done FROM events")
-def g12(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf, "events").select("event_id", F.sum(F.round(F.col("value").cast("double") * 100).cast("long")).over(w).alias("done"))
-
-
 @query("i01_slugs", "SELECT DISTINCT file_name, CASE WHEN trim(regexp_replace(lower(trim(file_name)), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'dataset' ELSE trim(regexp_replace(lower(trim(file_name)), '[^a-z0-9]+', '_', 'g'), '_') END AS slug FROM dataset_structures")
 def i01(spark, sf):
     return table(spark, sf, "dataset_structures").select("file_name", T.slugify(F.col("file_name")).alias("slug")).distinct()
@@ -262,96 +50,6 @@ def i03(spark, sf):
     return table(spark, sf, "part").select(F.col("p_name").alias("name"), T.normalize_name(F.col("p_name")).alias("norm")).distinct()
 
 
-@query("i04_tokenize", "SELECT DISTINCT original_name AS name, list_filter(string_split_regex(lower(regexp_replace(strip_accents(original_name), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS tokens FROM dataset_variables WHERE original_name IS NOT NULL AND regexp_full_match(original_name, '[ -~]*')")
-def i04(spark, sf):
-    """The part of i04_tokenize_all that DuckDB can say."""
-    return i04_all(spark, sf).filter(F.col("name").rlike(r"\A[ -~]*\z"))
-
-
-@query("i04_tokenize_all")
-def i04_all(spark, sf):
-    v = table(spark, sf, "dataset_variables").select(F.col("original_name").alias("name")).filter("original_name is not null").distinct()
-    return v.withColumn("tokens", T.tokenize(T.spell_out(F.col("name"))))
-
-
-@query("i05_abbreviations_of", "WITH v(a, b) AS (VALUES ('chg','change'),('smth','smooth'),('prt','fat'),('x','xylem'),('temp','temperature'),('tmp','temperature'),('ba','ab')) SELECT a, b, a IN ('chg','smth','temp','tmp') AS abbreviates FROM v")
-def i05(spark, sf):
-    v = spark.createDataFrame([("chg", "change"), ("smth", "smooth"), ("prt", "fat"), ("x", "xylem"), ("temp", "temperature"), ("tmp", "temperature"), ("ba", "ab")], "a string, b string")
-    return v.withColumn("abbreviates", T.is_abbreviation(F.col("a"), F.col("b")))
-
-
-@query("i07_labels", r"SELECT DISTINCT label, trim(regexp_replace(regexp_replace(replace(lower(label), '(s)', ''), '^\s*[0-9]+[.)]\s*', ''), '[^a-z0-9]+', ' ', 'g'), ' ') AS norm FROM key_values WHERE label IS NOT NULL AND regexp_full_match(label, '[ -~]*')")
-def i07(spark, sf):
-    """The part of i07_labels_all that DuckDB can say."""
-    return i07_all(spark, sf).filter(F.col("label").rlike(r"\A[ -~]*\z"))
-
-
-@query("i07_labels_all")
-def i07_all(spark, sf):
-    k = table(spark, sf, "key_values").select("label").filter("label is not null").distinct()
-    return k.withColumn("norm", T.normalize_label(F.col("label")))
-
-
-@query("i08_roles")
-def i08(spark, sf):
-    k = table(spark, sf, "key_values").select("label").filter("label is not null").distinct()
-    return k.withColumn("role", T.role_of(T.normalize_label(F.col("label"))))
-
-
-@query("i13_definitions")
-def i13(spark, sf):
-    """Definitions in all documents; the distinct column names are a vocabulary and are collected."""
-    names = [r[0] for r in table(spark, sf, "column_contexts").select("name").filter("name is not null").distinct().collect()]
-    return D.definitions(documented(spark, sf), names).select("file", "name", "description", "unit", "position", "method")
-
-
-@query("i18_value_labels", "WITH v(t) AS (VALUES ('1 = Male; 2 = Female; -9 = missing'), ('a: one, b: two'), ('none')) SELECT t, list_transform(list_filter(string_split_regex(t, '\\s*[;,]\\s*'), lambda x: regexp_matches(x, '^\\s*\\S+\\s*[=:]\\s*\\S')), lambda x: regexp_extract(x, '^\\s*(\\S+?)\\s*[=:]', 1)) AS codes FROM v")
-def i18(spark, sf):
-    v = spark.createDataFrame([("1 = Male; 2 = Female; -9 = missing",), ("a: one, b: two",), ("none",)], "t string")
-    return v.withColumn("codes", F.transform(T.value_labels(F.col("t")), lambda x: x["code"]))
-
-
-@query("i19_missing_codes")
-def i19(spark, sf):
-    ship(spark)
-
-    def run(texts):
-        import pandas as pd
-
-        return pd.Series([D.missing_codes(t) for t in texts])
-
-    read = D.key_values(documented(spark, sf)).select(F.lit("document").alias("origin"), F.concat_ws(":", "file", "line_start").alias("place"), "key", "value")
-    given = table(spark, sf, "key_values").select(F.lit("key_value").alias("origin"), F.col("kv_id").cast("string").alias("place"), F.col("label").alias("key"), F.col("value_text").alias("value")).distinct()
-    return read.unionByName(given).filter(F.col("key").rlike(T.MISSING_KEY)).select("origin", "place", F.pandas_udf(run, "array<string>")("value").alias("codes"))
-
-
-@query("i22_declared_counts", f"WITH {_LINES} SELECT file, line_no, CAST(regexp_extract(line, '([0-9]+)', 1) AS BIGINT) AS n FROM l WHERE line LIKE 'Number of rows:%'")
-def i22(spark, sf, lines=lines):
-    return D.declared_counts(lines(spark, sf)).select("file", F.col("line_no").cast("long").alias("line_no"), "n")
-
-
-@query("i23_date_ranges", r"SELECT kv_id, nullif(regexp_extract(value_text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS start FROM (SELECT DISTINCT kv_id, value_text FROM key_values WHERE value_text IS NOT NULL)")
-def i23(spark, sf):
-    k = table(spark, sf, "key_values").select("kv_id", "value_text").filter("value_text is not null").distinct()
-    return k.select("kv_id", T.date_range(F.col("value_text"))["start"].alias("start"))
-
-
-@query("i29_file_names", f"WITH {_LINES} SELECT file, line_no, list_sort(list_distinct(regexp_extract_all(line, '([A-Za-z0-9_\\-.]+\\.(?:csv|txt|xlsx))', 1))) AS found FROM l WHERE line LIKE 'see %'")
-def i29(spark, sf):
-    return lines(spark, sf).filter("line like 'see %'").select("file", F.col("line_no").cast("long").alias("line_no"), F.sort_array(T.file_names(F.col("line"))).alias("found"))
-
-
-@query("i27_text_facts")
-def i27(spark, sf):
-    """Missing codes in prose, abbreviations, absences and relations of all documents."""
-    return D.text_facts(table(spark, sf, "documents"), "doc_id", "text")
-
-
-@query("i31_relations")
-def i31(spark, sf):
-    return D.text_facts(table(spark, sf, "documents"), "doc_id", "text").filter("kind = 'relation'")
-
-
 @query("i34_rounding", "SELECT l_orderkey, l_linenumber, round(l_extendedprice::DOUBLE, 0) AS whole, least(greatest(l_tax::DOUBLE, 0.02), 0.06) AS clipped FROM lineitem")
 def i34(spark, sf):
     x = F.col("l_extendedprice").cast("double")
@@ -382,20 +80,11 @@ def f20(spark, sf):
     return L.resolve_documents(s.select(F.concat(L.stem(F.col("file")), F.lit("_README.txt")).alias("file")).distinct(), s)
 
 
-@query("f21_group_binding")
-def f21(spark, sf):
-    s, defs, c = _scoping(spark, sf)
-    groups = defs.select("group_id").distinct().select("group_id", F.concat("group_id", F.lit("_readme.txt")).alias("file"), F.lit(None).cast("string").alias("hint"))
-    none = s.limit(0).select(F.lit("").alias("hint"), "dataset_id")
-    named = s.limit(0).select(F.lit("").alias("file"), "dataset_id")
-    return L.bind_groups(groups, none, named, L.coverage(defs, c), s)
-
-
 @query("f23_in_scope", "WITH d AS (SELECT DISTINCT def_id, dataset_id, name, pos FROM variable_definitions) SELECT CAST(dataset_id AS VARCHAR) AS dataset_id, name, min(pos) AS position FROM d GROUP BY ALL")
 def f23(spark, sf):
     s, defs, _ = _scoping(spark, sf)
     bound = s.select(F.concat(F.lit("g"), "dataset_id").alias("group_id"), "dataset_id")
-    return L.in_scope(defs, bound).select("dataset_id", "name", "position")
+    return L.in_scope(defs.withColumn("codes", F.coalesce("codes", F.array().cast("array<string>"))), bound).select("dataset_id", "name", "position")
 
 
 @query("f24_codes_in_force", "SELECT DISTINCT CAST(dataset_id AS VARCHAR) AS dataset_id, unnest(missing_codes) AS code FROM variable_definitions")
@@ -414,34 +103,6 @@ def f26(spark, sf):
     return L.unassigned(d, everywhere, c).select("def_id").distinct()
 
 
-@query("f29_stated_relations")
-def f29(spark, sf):
-    facts = i31(spark, sf).select(F.concat_ws("#", "file", "value").alias("relation_id"), F.split("value", r"\|").alias("files"))
-    s, _, _ = _scoping(spark, sf)
-    hints = L.resolve_hints(facts.select(F.explode("files").alias("hint")).distinct(), s)
-    return L.document_relations(facts, hints)
-
-
-@query("f31_described_datasets", "SELECT 'readme_' || (dataset_id % 5) AS file, count(DISTINCT dataset_id) AS n FROM variable_definitions GROUP BY 1")
-def f31(spark, sf):
-    s, defs, _ = _scoping(spark, sf)
-    groups = defs.select("group_id").distinct().withColumn("file", F.concat(F.lit("readme_"), (F.substring("group_id", 2, 20).cast("long") % 5).cast("string")))
-    bound = s.select(F.concat(F.lit("g"), "dataset_id").alias("group_id"), "dataset_id")
-    return L.described_datasets(bound, groups).select("file", F.size("datasets").cast("long").alias("n"))
-
-
-@query("f32_last_updated", "SELECT repo_id, arg_min(last_updated, dataset_id) AS stamp FROM dataset_structures WHERE last_updated IS NOT NULL GROUP BY repo_id")
-def f32(spark, sf):
-    return table(spark, sf, "dataset_structures").filter("last_updated is not null").groupBy("repo_id").agg(F.min_by("last_updated", "dataset_id").alias("stamp"))
-
-
-@query("f33_file_status", "SELECT DISTINCT s.dataset_id, CASE WHEN r.dataset_id IS NOT NULL THEN 'skipped' WHEN s.row_count IS NULL THEN 'failed' ELSE 'processed' END AS state FROM dataset_structures s LEFT JOIN (SELECT DISTINCT dataset_id FROM raw_rows) r USING (dataset_id)")
-def f33(spark, sf):
-    s = table(spark, sf, "dataset_structures").select("dataset_id", "row_count").distinct()
-    waiting = table(spark, sf, "raw_rows").select("dataset_id").distinct().withColumn("w", F.lit(True))
-    return s.join(waiting, "dataset_id", "left").select("dataset_id", F.when(F.col("w"), "skipped").when(F.col("row_count").isNull(), "failed").otherwise("processed").alias("state")).distinct()
-
-
 # Review overlays: matches are the variables with their confidence.
 _V = "v AS (SELECT DISTINCT CAST(dataset_id AS VARCHAR) AS dataset_id, CAST(variable_id AS VARCHAR) AS col, CASE WHEN def_id IS NOT NULL THEN 'd' || (def_id - def_id % 3) END AS name, coalesce(match_confidence, 0.0) AS confidence, CASE WHEN def_id IS NULL THEN 'unmatched' WHEN variable_id % 13 = 0 THEN 'ambiguous' ELSE 'matched' END AS status FROM dataset_variables), q AS (SELECT dataset_id, CASE status WHEN 'ambiguous' THEN 'ambiguous' WHEN 'unmatched' THEN 'undocumented_column' ELSE 'low_confidence' END AS kind, col AS subject FROM v WHERE NOT (status = 'matched' AND confidence >= 0.95)), qi AS (SELECT *, dataset_id || ':' || kind || ':' || subject AS item_id FROM q), d AS (SELECT item_id, CASE WHEN CAST(subject AS BIGINT) % 2 = 0 THEN 'accept' ELSE 'reject' END AS decision FROM qi WHERE kind <> 'undocumented_column' AND CAST(subject AS BIGINT) % 5 < 3)"
 

@@ -99,6 +99,15 @@ def is_units_row(row: list[str]) -> bool:
     return bool(told) and not any(NUMBER.match(c) for c in told) and sum(map(is_unit_cell, told)) / len(told) >= 0.6
 
 
+def row_features(row: list[str], width: int | None = None) -> tuple[float, float, float]:
+    """(fill, uniqueness, textuality) of a row's cells."""
+    filled = [c.strip() for c in row if c.strip()]
+    if not filled:
+        return 0.0, 0.0, 0.0
+    textual = sum(not NUMBER.match(c) and not DATE.match(c) for c in filled) / len(filled)
+    return min(1.0, len(filled) / max(1, width or len(row))), len(set(filled)) / len(filled), textual
+
+
 def documented_form(name: str) -> str:
     return re.sub(r"[\s_\-.]+", "", name.strip().lower())
 
@@ -110,9 +119,9 @@ def header_scores(grid: list[list[str]], width: int, config: Config = Config(),
         filled = [c.strip() for c in row if c.strip()]
         if not filled:
             continue
-        textual = sum(not NUMBER.match(c) and not DATE.match(c) for c in filled) / len(filled)
+        fill, unique, textual = row_features(row, width)
         contrast = max(0.0, _numeric_share(grid[i + 1 : i + 6]) - _numeric_share([row]))
-        score = 0.30 * min(1.0, len(filled) / max(1, width)) + 0.25 * textual + 0.15 * len(set(filled)) / len(filled) + 0.20 * contrast
+        score = 0.30 * fill + 0.25 * textual + 0.15 * unique + 0.20 * contrast
         if documented:
             score += 0.25 * len({documented_form(c) for c in filled} & documented) / len(filled)
         score -= 0.4 * (len(filled) == 1 and width > 1) + 0.2 * (i > 0 and is_units_row(row))
@@ -254,6 +263,42 @@ def read_lines(lines: DataFrame, layout: DataFrame, key: str = "dataset_id", num
     return cells.select(key, number, "header", F.posexplode("cells").alias("i", "raw")).select(key, number, (F.col("i") + 1).alias("pos"), F.col("header")[F.col("i")].alias("name"), "raw")
 
 
+# Measures of many tables at once, line by line.
+
+
+def unpaired(lines: DataFrame, line: str = "raw_line", quote: str = '"') -> DataFrame:
+    """Adds unpaired: whether a record has an odd number of quotes."""
+    text = F.coalesce(line, F.lit(""))
+    return lines.withColumn("unpaired", (F.length(text) - F.length(F.replace(text, F.lit(quote), F.lit("")))) % 2 == 1)
+
+
+def candidate_widths(lines: DataFrame, key: str = "dataset_id", line: str = "raw_line") -> DataFrame:
+    """(key, delimiter, width, n): how many lines have which width under each candidate delimiter, without quoting."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("delimiter"), F.size(F.split(line, re.escape(d))).cast("long").alias("width")) for d in DELIMITERS]))
+    return lines.filter(F.trim(F.coalesce(line, F.lit(""))) != "").select(key, each.alias("e")).groupBy(key, "e.delimiter", "e.width").agg(F.count(F.lit(1)).alias("n"))
+
+
+def consistency(widths: DataFrame, key: str = "dataset_id") -> DataFrame:
+    """(key, delimiter, width, consistency): the most frequent width, the larger at a tie, and its share; one column is none."""
+    best = widths.groupBy(key, "delimiter").agg(F.max(F.struct("n", "width")).alias("m"), F.sum("n").alias("total"))
+    return best.select(key, "delimiter", "m.width", F.when(F.col("m.width") > 1, F.round(F.col("m.n") / F.col("total"), 6)).otherwise(0.0).alias("consistency"))
+
+
+def width_shares(widths: DataFrame, key: str = "dataset_id") -> DataFrame:
+    """(key, delimiter, share) of the most common width."""
+    return widths.groupBy(key, "delimiter").agg(F.round(F.max("n") / F.sum("n"), 6).alias("share"))
+
+
+def preambles(lines: DataFrame, dialects: DataFrame, key: str = "dataset_id", number: str = "line_no", line: str = "raw_line") -> DataFrame:
+    """(key, first_line): where three lines in a row first have the width of the table. dialects (key, delimiter, width)."""
+    text = F.coalesce(line, F.lit(""))
+    own = (F.length(text) - F.length(F.replace(text, F.col("delimiter"), F.lit("")))) / F.length("delimiter") + 1
+    fits = lines.join(dialects, key).select(key, number, (own == F.col("width")).alias("fits"))
+    w = Window.partitionBy(key).orderBy(number)
+    run = F.col("fits") & F.lead("fits", 1, False).over(w) & F.lead("fits", 2, False).over(w)
+    return fits.withColumn("run", run).filter("run").groupBy(key).agg(F.min(number).alias("first_line"))
+
+
 # Content classification.
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.config import DELIMITED_EXTENSIONS, DOCUMENT_EXTENSIONS, WORKBOOK_EXTENSIONS, Config
@@ -165,10 +165,25 @@ def cleanup(root: str) -> None:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, content, sha256, kind) of all files under a root, spread over the cluster."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.filter(~F.col("path").rlike(r"/(?:\.|__MACOSX)"))
+    return described(files.filter(~F.col("path").rlike(r"/(?:\.|__MACOSX)")))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """(path, length, content, sha256, kind) of files (path, length, content)."""
     return files.select("path", "length", "content", F.sha2("content", 256).alias("sha256"), magic_kind(F.col("content")).alias("kind"))
 
 
+def in_order(names: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, name, place): files in the order they are read, documentation first, then by path."""
+    order = Window.partitionBy(by).orderBy(readme_score(F.col(name)) < 0.5, name)
+    return names.select(by, name, F.row_number().over(order).cast("long").alias("place"))
+
+
+def with_status(records: DataFrame) -> DataFrame:
+    """Adds state to files (role, failed): failed, skipped (no table and no documentation) or processed."""
+    return records.withColumn("state", F.when(F.col("failed"), "failed").when(F.col("role") == "other", "skipped").otherwise("processed"))
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """(path, text, encoding, rung, confidence) of the text files among scanned ones, NFKC."""
     ship(files.sparkSession)
