@@ -70,7 +70,7 @@ def histogram_of(df: DataFrame, dataset_id: str, columns: list[str] | None = Non
             key, text = F.col("key"), F.col("key").cast("string")
             times, days = ([pos for pos, name in some if kinds[name].startswith(t)] for t in ("timestamp", "date"))
             if kind == "double":
-                text = key.cast("decimal(24,4)").cast("string")
+                text = key.try_cast("decimal(24,4)").cast("string")
             if times:
                 text = F.when(F.col("pos").isin(times), F.date_format(F.timestamp_micros(key), "yyyy-MM-dd HH:mm:ss")).otherwise(text)
             if days:

@@ -196,6 +196,19 @@ def test_rivals_count_unless_a_strictly_better_pair_owns_them(spark):
     assert got["d", "a"] == ("x", "ambiguous", 0.97) and got["e", "a"] == ("x", "matched", 0.95) and got["f", "a"] == ("x", "matched", 0.9)
 
 
+def test_histograms_of_typed_tables(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    rows = [(1, 1.5, "a ", date(2024, 1, 2), datetime(2024, 1, 2, 3, 4, 5, 600), Decimal("1.25"), True), (1, 1e15, "a", None, datetime(2024, 1, 2, 3, 4, 5, 700), None, None), (None, 1.50001, " ", None, None, None, False), (2, float("nan"), None, None, None, None, False), (2, -0.00001, None, None, None, None, False)]
+    df = spark.createDataFrame(rows, "i int, x double, s string, d date, t timestamp, c decimal(10,2), b boolean")
+    got = {(r["name"], r.value): r.n for r in H.histogram_of(df, "d").collect()}
+    assert got == {
+        ("i", "1"): 2, ("i", "2"): 2, ("i", None): 1, ("x", "1.5000"): 2, ("x", "1000000000000000.0000"): 1, ("x", None): 1, ("x", "0.0000"): 1, ("s", "a"): 2, ("s", None): 3, ("d", "2024-01-02"): 1, ("d", None): 4,
+        ("t", "2024-01-02 03:04:05"): 2, ("t", None): 3, ("c", "1.2500"): 1, ("c", None): 4, ("b", "true"): 1, ("b", "false"): 3, ("b", None): 1,
+    }
+
+
 @pytest.mark.parametrize("most", [10**6, 2])
 def test_quartiles_by_ranges(spark, most):
     values = {"a": [3.0, 1.0, 2.0, 2.0, 9.0, 4.0, 4.0], "b": [5.0], "c": [1.0, 2.0]}
