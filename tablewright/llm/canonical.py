@@ -226,19 +226,21 @@ def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHO
 
     values: (domain, value), repeated as may be; terms: term_id, term_domain, term, also_written.
     """
-    ship(values.sparkSession)
+    spark = values.sparkSession
+    ship(spark)
+    shared_dir(spark)
     distinct = values.filter("value is not null").select("domain", "value").distinct()
-    read = distinct.withColumn("r", F.explode(F.pandas_udf(_read_values, _READING)("value"))).select("domain", "value", "r.*")
+    read = distinct.withColumn("r", F.explode(F.pandas_udf(_read_values, _READING)("value"))).select("domain", "value", "r.*").checkpoint()
     forms = read.select("domain", "reading", "tokens").dropDuplicates(["domain", "reading"])
     listed = terms.filter("term_id is not null").select(F.col("term_id").cast("long"), F.col("term_domain").alias("domain"), "term", "also_written")
     listed = listed.dropDuplicates(["term_id"])
-    entries = listed.withColumn("e", F.explode(F.pandas_udf(_read_entries, _ENTRY)("term", "also_written"))).select("term_id", "domain", "e.*")
+    entries = listed.withColumn("e", F.explode(F.pandas_udf(_read_entries, _ENTRY)("term", "also_written"))).select("term_id", "domain", "e.*").checkpoint()
     order = forms.select(F.explode("tokens").alias("token")).unionByName(entries.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
-    left = _ordered(forms, order, ["domain", "reading"], threshold)
+    # Few forms meet many entries: they are spread over all tasks, whatever their size, and stay where they are up to the check.
+    left = _ordered(forms, order, ["domain", "reading"], threshold).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "domain", "reading").checkpoint()
     right = _ordered(entries, order, ["term_id", "domain", "entry", "short"], threshold)
     probe = left.select("domain", "reading", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("i", "token"))
-    shared_dir(values.sparkSession)
     index = right.select(
         "term_id", "domain", "entry", "short", F.col("tokens").alias("entry_tokens"), F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("j", "token")
     ).checkpoint()
@@ -251,8 +253,7 @@ def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHO
     both = F.size(F.array_intersect("tokens", "entry_tokens"))
     scored = met.withColumn("jaccard", both / (a + b - both)).filter(F.col("jaccard") >= threshold)
     scored = scored.groupBy("domain", "reading", "term_id", "entry").agg(F.max("jaccard").alias("jaccard"), F.min("short").alias("short"))
-    scored = scored.repartition("reading", "entry")  # the check on words is spread evenly
-    distance = F.pandas_udf(_verify, "double")("reading", "entry", "short")
+    distance = F.pandas_udf(_verify, "double").asNondeterministic()("reading", "entry", "short")  # else it runs again for the filter
     accepted = scored.withColumn("distance", distance).filter("distance is not null")
     per_reading = accepted.groupBy("domain", "reading").agg(F.min(F.struct((-F.col("jaccard")).alias("less"), "distance", "term_id")).alias("best"))
     best = read.select("domain", "value", "reading", "rank", "parts").join(per_reading, ["domain", "reading"])
