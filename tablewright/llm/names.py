@@ -210,7 +210,7 @@ def people(persons: DataFrame, orgs: DataFrame) -> DataFrame:
     selves = forms.select(F.col("name_key").alias("u"), F.col("name_key").alias("v"))
     called = connected_components(same_kind.unionByName(selves)).select(F.col("node").alias("name_key"), F.col("label").alias("call"))
     rows = rows.join(called.hint("merge"), "name_key").withColumn("short", F.size("full") == 1)
-    many = rows.filter("not short").groupBy("call").agg(F.count_distinct("orcid").alias("ids"))
+    many = rows.filter("not short").groupBy("call").agg(F.count_distinct("orcid").alias("ids")).checkpoint()
     rows = rows.join(many.hint("merge"), "call", "left").drop("full", "blocks").checkpoint()
 
     # A short name (family and initial) and the full names it may stand for.
@@ -220,6 +220,7 @@ def people(persons: DataFrame, orgs: DataFrame) -> DataFrame:
         .join(called.select(F.col("name_key").alias("f"), F.col("call").alias("full_call")).hint("merge"), "f")
         .select("short_call", "full_call")
         .distinct()
+        .checkpoint()
     )
     single = stands.groupBy("short_call").agg(F.count(F.lit(1)).alias("calls"), F.min("full_call").alias("full_call")).filter("calls = 1")
 
