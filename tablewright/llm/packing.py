@@ -27,12 +27,14 @@ corpus gives no rows; sources without a target earn nothing and come last.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +65,13 @@ def tokenizer(path: str):
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens)."""
+    """(doc_id, source, tokens). The vocabulary is sent to the executors; it need only be where the driver runs."""
     ship(documents.sparkSession)
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             sizes = pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], names=["doc_id", "source", "tokens"])
