@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.strings import slips
 from tablewright.session import shared_dir, ship
 
 THRESHOLD = 0.3
@@ -82,21 +83,6 @@ def pairs(text: str) -> list[str]:
     return sorted(out)
 
 
-@lru_cache(maxsize=200_000)
-def slips(a: str, b: str) -> int:
-    """Insertions, deletions, exchanges and swaps of neighbours between two words."""
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        before, last = last, row
-    return last[-1]
-
-
 def allowed_slips(size: int) -> int:
     return 0 if size <= 2 else 1 if size <= 6 else 2 if size <= 10 else 3
 
