@@ -20,24 +20,31 @@ KNOWN_CODES = {"na", "n/a", "n.a.", "nan", "null", "nd", "-", "--", "."}
 #: Wordings of a label that mean a missing value; unknown and refused are categories.
 MISSING_LABELS = ("missing", "not recorded", "not available", "not measured", "not collected", "not applicable", "no data", "n/a", "na")
 
+#: The words that statements on missing values are made of.
 _MARKING = {"coded", "represented", "indicated", "denoted", "recorded", "marked", "given", "shown", "entered", "reported", "written", "filled", "identified", "flagged"}
 _LINKER = {"as", "by", "with", "using"}
-_MEANING = {s + e for s in ("indicate", "denote", "represent", "mean", "mark") for e in ("", "s")} | {"signify", "signifies"}
-_HOLE = {"blank", "empty", "blanks"}
+_MEANING = {"indicate", "indicates", "denote", "denotes", "represent", "represents", "mean", "means", "mark", "marks", "signify", "signifies"}
+_HOLE = {"blank", "blanks", "empty"}
+#: The words that say that something is not in the data, and what it can be absent from.
 _HIDDEN = {"withheld", "redacted"}
 _LEFT_OUT = {"removed", "excluded", "omitted", "dropped"}
 _NOT_THERE = {"included", "provided"}
 _NOT_GIVEN = {"released", "shared"}
 _DATA = {"data", "dataset", "datasets", "file", "files", "release", "package", "repository", "deposit", "spreadsheet", "table", "csv", "version", "archive", "download", "public"}
 _VARIABLE = {"variable", "variables", "column", "columns", "field", "fields", "attribute", "attributes", "measure", "measures"}
+#: Beginnings and words that link files, words that make their neighbour a name, and words that never are one.
 _RELATING = ("join", "link", "merg", "relat", "combin", "match", "correspond")
 _SHARING = {"key", "keys", "common", "shared"}
 _ROLES = {"key", "keys", "column", "columns", "field", "fields", "variable", "variables"}
-#: Words beside on, key or column that name nothing.
-_PLAIN = set(
-    "the a an this that these those each both all and or of to in with its their it them one other another between per as for is are be was were can has have which using via by on share same unique primary foreign common shared linking link"
-    " join joining joined matching match merge merged merging identifying following file files dataset datasets data table tables row rows record records value values name names".split()
-) | _ROLES
+_PLAIN = {
+    "the", "a", "an", "this", "that", "these", "those", "each", "both", "all", "and", "or", "of", "to", "in",
+    "with", "its", "their", "file", "files", "dataset", "datasets", "data", "table", "tables", "common",
+    "shared", "same", "unique", "primary", "foreign", "key", "keys", "column", "columns", "field", "fields",
+    "variable", "variables", "can", "be", "is", "are", "was", "were", "which", "using", "via", "by", "on",
+    "row", "rows", "record", "records", "value", "values", "name", "names", "it", "them", "one", "other",
+    "another", "between", "per", "linking", "link", "join", "joining", "joined", "matching", "match",
+    "merge", "merged", "merging", "identifying", "following", "as", "for", "has", "have", "share",
+}
 
 
 def sentences(text: str | None) -> list[str]:
