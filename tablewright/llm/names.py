@@ -16,7 +16,7 @@ Evidence joins rows through key nodes (orcid, mail, name at place), never row by
 box or name adds edges in proportion to its rows. Names are compared once per distinct form, blocks hold 64-bit hashes
 and the forms' numbers only.
 
-Edge cases (tested): null or blank names and affiliations join nothing; repeated rows count once; equal spellings of
+Edge cases (tested): null or blank names and affiliations and rows without a person_id join nothing; repeated rows count once; equal spellings of
 different people stay apart if their ORCIDs differ; empty tables give no rows; extra columns are ignored.
 """
 
@@ -253,7 +253,7 @@ def clusters(persons: DataFrame) -> DataFrame:
     """(field, key, cluster, members): each person row and affiliation spelling with the least key of its cluster and the cluster's size."""
     orgs = organisations(persons).checkpoint()
     members = people(persons, orgs).select(F.lit("name").alias("field"), F.col("person").alias("group"), F.col("person_id").alias("key"))
-    members = members.unionByName(orgs.select(F.lit("affiliation").alias("field"), F.col("org").alias("group"), F.col("first_id").alias("key"))).checkpoint()
+    members = members.unionByName(orgs.select(F.lit("affiliation").alias("field"), F.col("org").alias("group"), F.col("first_id").alias("key"))).filter("key is not null").checkpoint()
     sizes = members.groupBy("field", "group").agg(F.min("key").alias("cluster"), F.count(F.lit(1)).alias("members"))
     return members.join(sizes, ["field", "group"]).select("field", "key", "cluster", "members")
 

@@ -72,7 +72,7 @@ def test_a_slip_never_hides_a_pair():
 
 
 def test_clusters_have_every_row_once(spark):
-    rows = [(1, "Ann Lee", None, "University of Tigo", None), (2, "Lee, Ann", None, "Tigo Univ.", None), (3, "Bo Chan", None, None, None), (4, None, None, "  ", None)]
+    rows = [(1, "Ann Lee", None, "University of Tigo", None), (2, "Lee, Ann", None, "Tigo Univ.", None), (3, "Bo Chan", None, None, None), (4, None, None, "  ", None), (None, "Bo Chan", None, "Elsewhere Institute", None)]
     got = {tuple(r) for r in N.clusters(spark.createDataFrame([(*r, "clash") for r in rows], PERSON)).collect()}
     assert got == {("name", 1, 1, 2), ("name", 2, 1, 2), ("name", 3, 3, 1), ("affiliation", 1, 1, 2), ("affiliation", 2, 1, 2)}
 
