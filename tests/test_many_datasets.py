@@ -75,3 +75,30 @@ def test_group_binding_without_pairs(spark, tmp_path):
     got, most = most_rows(registry.QUERIES["f21_group_binding"](spark, kept(spark, tmp_path, rows, rows)))
     assert {(r.group_id, r.dataset_id, r.method) for r in got} == {(f"g{d}", str(d), "coverage") for d in range(1, n + 1)}
     assert most < 20 * n  # pairs: n * n and more
+
+
+def elsewhere(columns, definitions):
+    norm, out = T.py_normalize_name, {}
+    defined = {(d, n) for d, n in definitions if d is not None and n is not None}
+    known = {(d, norm(n)) for d, n in defined}
+    for d, c in {(d, c) for d, c in columns if d is not None and c is not None and norm(c) and (d, norm(c)) not in known}:
+        met = [(-(1.0 if c == n else 0.98 if c.lower() == n.lower() else 0.9), str(b), n) for b, n in defined if b != d and norm(n) == norm(c)]
+        if met:
+            below, b, n = min(met)
+            out[str(d), c] = (n, b, -below)
+    return out
+
+
+def test_definitions_elsewhere_as_by_brute_force(spark, tmp_path):
+    odd = [(1, "É"), (2, "e"), (3, "E"), (4, "()"), (5, None), (None, "e"), (6, "a-b"), (6, "A_b"), (7, "AB"), (10, "AB"), (7, "ab")]
+    columns, definitions = some_sets(1, 30, 40, 5) + odd, some_sets(2, 30, 40, 5) + [(d + 3 if d else d, n) for d, n in odd]
+    got = {(r.dataset_id, r.column): (r.name, r.bound_to, r.score) for r in registry.QUERIES["f18_out_of_scope"](spark, kept(spark, tmp_path, columns, definitions)).collect()}
+    assert got == elsewhere(columns, definitions) and {score for _, _, score in got.values()} == {1.0, 0.98, 0.9}
+
+
+def test_definitions_elsewhere_without_pairs(spark, tmp_path):
+    n = 1000
+    sf = kept(spark, tmp_path, [(d, "remarks") for d in range(1, n + 1)], [(d + n, "Remarks") for d in range(1, n + 1)])
+    got, most = most_rows(registry.QUERIES["f18_out_of_scope"](spark, sf))
+    assert {tuple(r) for r in got} == {(str(d), "remarks", "Remarks", "1001", 0.98) for d in range(1, n + 1)}
+    assert most < 20 * n  # pairs: n * n
