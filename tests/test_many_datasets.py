@@ -102,3 +102,28 @@ def test_definitions_elsewhere_without_pairs(spark, tmp_path):
     got, most = most_rows(registry.QUERIES["f18_out_of_scope"](spark, sf))
     assert {tuple(r) for r in got} == {(str(d), "remarks", "Remarks", "1001", 0.98) for d in range(1, n + 1)}
     assert most < 20 * n  # pairs: n * n
+
+
+def covered(columns, definitions):
+    groups, datasets = sets(definitions), sets(columns)
+    shares = {(f"g{g}", d if d is None else str(d)): len((names & own) - {None}) / len(names) for g, names in groups.items() if g is not None for d, own in datasets.items()}
+    return {pair: round(share, 6) for pair, share in shares.items() if share}
+
+
+def test_coverage_as_by_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tablewright.operators.linking.CELL", 7)
+    wide = [(d, f"v{n}") for d in (901, 902) for n in range(d % 5, 90)]
+    columns = some_sets(1, 100, 50, 9) + wide + [(3, None), (4, ""), (5, "é"), (6, "v1")]
+    definitions = some_sets(2, 100, 50, 9) + wide + [(3, None), (4, ""), (5, "E"), (6, "v1"), (7, None)]
+    got = [tuple(r) for r in registry.QUERIES["e11_coverage"](spark, kept(spark, tmp_path, columns, definitions)).collect()]
+    assert len(got) == len({r[:2] for r in got}) and {(g, d): c for g, d, c in got} == covered(columns, definitions)
+
+
+def test_coverage_moves_no_pairs(spark, tmp_path):
+    n = 300
+    rows = [(d, x) for d in range(1, n + 1) for x in ("remarks", "tag", f"own{d}")]
+    df = registry.QUERIES["e11_coverage"](spark, kept(spark, tmp_path, rows, rows))
+    got = df.collect()
+    assert len(got) == n * n and {(r.group_id[1:] == r.dataset_id, r.coverage) for r in got} == {(True, 1.0), (False, 0.666667)}
+    written = [x.metrics().get("shuffleRecordsWritten") for x in nodes(df._jdf.queryExecution().executedPlan())]
+    assert 0 < max(m.get().value() for m in written if m.isDefined()) < 20 * n  # pairs: n * n
